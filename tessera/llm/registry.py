@@ -16,6 +16,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_repeated_lines
+
+    out = drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", "longest_run", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -30,11 +37,57 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("h")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k
 
     return exact_top_k(_table(spark, sf_dir, "embeddings"), lambda c: c % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_mix, op5_token_counts, op10_topk)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_line_dedup, op4_mix, op5_token_counts, op6_simhash, op8_toxicity, op9_decontaminate, op10_topk)}
+
+#: The contract's word pattern and the letters to lower-case.
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op9_decontaminate": f"""
+        with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+        i as (select distinct cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark),
+        iw as (select distinct item_id, least(len(w), 10) as n, array_to_string(list_slice(w, s, s + least(len(w), 10) - 1), ' ') as g
+               from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as s from i where len(w) > 0)),
+        sizes as (select distinct n from iw),
+        dw as (select r, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') as g
+               from (select r, w, n, unnest(range(1, len(w) - n + 2)) as s from d, sizes where len(w) >= n)),
+        m as (select dw.r, dw.s, dw.n, iw.item_id from dw join iw on dw.g = iw.g and dw.n = iw.n),
+        hit as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n)) as p from m) group by r),
+        its as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, item_id from m) group by r)
+        select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+               sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (r) left join its using (r)""",
+    "op10_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w
+                   from embeddings where vec_id is not null and embedding is not null
+                   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) as bigint) as score
+              from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        t as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+        select * from t where rank <= 5""",
+}
