@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Stands for a secret that a deployment passes to pseudonymise().
+KEY = "example key"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import shared_passages
+
+    return shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .compression_quality import quality_report
 
@@ -43,6 +53,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_report
 
@@ -61,7 +77,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), lambda c: c % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_line_dedup, op4_mix, op5_token_counts, op6_simhash, op8_toxicity, op9_decontaminate, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_quality, op3_line_dedup, op4_mix, op5_token_counts, op6_simhash, op7_pii, op8_toxicity, op9_decontaminate, op10_topk)}
 
 #: The contract's word pattern and the letters to lower-case.
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
