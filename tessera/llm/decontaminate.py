@@ -44,8 +44,8 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def build_index(docs: DataFrame, vocabulary: DataFrame, tables: Tables, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings (term, id, h, pos) of the terms in vocabulary (word, term), and a length posting (term 0, pos = number of words) of each row. h is the text's hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.concat(words(text), F.array(F.lit(LENGTH)))).alias("pos", "w"))
-    every = every.select("id", "h", "pos", folded(F.col("w")).alias("word"))
+    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.concat(words(text), F.array(F.lit(LENGTH))).alias("all"))  # below the explode, so once a document
+    every = every.select("id", "h", F.posexplode("all").alias("pos", "w")).select("id", "h", "pos", folded(F.col("w")).alias("word"))
     return tables.keep(every.join(vocabulary, "word").select("term", "id", "h", "pos"))
 
 
@@ -77,14 +77,15 @@ def phrase_matches(docs: DataFrame, items: DataFrame, found: DataFrame, *, windo
     """id, h, hits (positions of words inside an occurrence of a window), item_ids, for each document with an occurrence."""
     per = found.join(items, "item").groupBy("id", "h").agg(F.collect_list(F.struct("at", "item_id", F.col("words").alias("item"))).alias("tries"))
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    both = src.join(per.withColumnsRenamed({"id": "id2", "h": "h2"}), src["id"].eqNullSafe(F.col("id2")) & (src["h"] == F.col("h2"))).select("id", "h", F.transform(words(F.col("text")), folded).alias("words"), F.explode("tries").alias("t"))
+    both = src.join(per.withColumnsRenamed({"id": "id2", "h": "h2"}), src["id"].eqNullSafe(F.col("id2")) & (src["h"] == F.col("h2"))).select("id", "h", F.transform(words(F.col("text")), folded).alias("words"), "tries")
+    both = both.select("id", "h", "words", F.explode("tries").alias("t"))
 
     def starts(item: Column, at: Column) -> Column:
         """Window starts in the item at which all words agree."""
         n = F.size(item)
         width = F.least(n, F.lit(window))
         same = F.transform(item, lambda x, j: F.coalesce(F.get("words", F.greatest(at + j, F.lit(-1))) == x, F.lit(False)))
-        return F.filter(F.sequence(F.lit(0), n - width), lambda s: F.forall(F.slice(same, s + 1, width), lambda x: x))
+        return F.transform(F.array(same), lambda a: F.filter(F.sequence(F.lit(0), n - width), lambda s: F.forall(F.slice(a, s + 1, width), lambda x: x)))[0]
 
     begun = both.select("id", "h", F.col("t.item_id").alias("item_id"), F.col("t.at").alias("at"), F.least(F.size("t.item"), F.lit(window)).alias("width"), starts(F.col("t.item"), F.col("t.at")).alias("starts")).where(F.size("starts") > 0)
     hits = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(F.col("at") + s, F.col("at") + s + F.col("width") - 1))))
