@@ -134,7 +134,7 @@ def html_block_split(spark, sf_dir):
 
 @query
 def recent_records(spark, sf_dir):
-    return R.recent(R.dated(docs_of(spark, sf_dir), spark, sf_dir), 7, 50).select("doc_id", "created_at", "source")
+    return R.recent(R.dated(docs_of(spark, sf_dir), spark, sf_dir), 30, 50).select("doc_id", "created_at", "source")
 
 
 @query
@@ -233,7 +233,7 @@ def category_distribution(spark, sf_dir):
 @query
 def daily_activity(spark, sf_dir):
     e = table(spark, sf_dir, "events").where(F.col("ts") >= F.lit("2024-01-02").cast("date"))
-    return e.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).orderBy(F.desc("day")).limit(30)
+    return e.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n")).orderBy(F.desc("day")).limit(30)
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -566,7 +566,7 @@ def temporal_expansion(spark, sf_dir):
 
 @query
 def daily_window_metrics(spark, sf_dir):
-    return ingest.daily_metrics(metrics(spark, sf_dir)).select("day", "n", dec("avg_ms"), *long("slow"))
+    return ingest.daily_metrics(metrics(spark, sf_dir)).select(F.col("day").cast("string").alias("day"), "n", dec("avg_ms"), *long("slow"))
 
 
 @query
