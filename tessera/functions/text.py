@@ -94,7 +94,7 @@ def code_penalty(text: Column) -> Column:
 def recency_weight(created: Column, as_of: Column, decay: float = 365.0) -> Column:
     """exp(-whole days / decay), at most 1; 0.5 without a time."""
     days = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / 86_400_000_000)
-    return F.coalesce(F.exp(-F.greatest(days, F.lit(0)) / decay), F.lit(0.5))
+    return F.when(days.isNull(), 0.5).otherwise(F.exp(-F.greatest(days, F.lit(0)) / decay))
 
 
 def any_of(text: Column, needles: list[str]) -> Column:

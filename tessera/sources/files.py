@@ -41,7 +41,7 @@ def is_takeout_text(name: Column) -> Column:
 
 def is_binary(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 2048))
-    zeros = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.length(head) / 2 - 1), lambda i: F.substring(head, (2 * i + 1).cast("int"), F.lit(2))), lambda b: b == "00"))
+    zeros = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.length(head), F.lit(2)), lambda i: F.substring(head, i, F.lit(2))), lambda b: b == "00"))
     return F.when(F.length(content) == 0, False).otherwise((F.substring(content, 1, 4) == F.lit(b"%PDF")) | (zeros > 4))
 
 
