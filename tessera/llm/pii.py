@@ -13,7 +13,7 @@ Found and validated values are permuted under a key within their own format, so
 Strings go through a Feistel network that adds keyed digits position by position (mod 10 or 26 by the kind of
 character, which stays); pairs of numbers through one that adds mod the size of each half, so no value outside the
 domain arises. Punctuation and spacing stay, so two spellings of one number are pseudonymised alike.
-DD/MM dates with a day up to 12 are read as MM/DD. Months and days of one digit may come back with two.
+DD/MM dates with a day up to 12 are read as MM/DD; those with a later day are permuted among each other, so these two forms aren't linked to one another. Months and days of one digit may come back with two.
 
 Cases: null stays null; values that fail validation stay; every occurrence is replaced; repeated rows are
 treated alike; texts of any length are processed whole; other columns pass through (n_found is replaced); an empty table gives no rows.
@@ -38,6 +38,11 @@ KINDS = ("email", "iban", "date", "ipv4", "card", "ssn", "phone")
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value evaluated once: a lambda's variable, where an expression would be evaluated at each use."""
+    return F.transform(F.array(value), then)[0]
+
+
 def full(m: Column, pattern: str) -> Column:
     return m.rlike(f"^(?:{pattern})$")
 
@@ -54,6 +59,10 @@ def number(hexadecimal: Column) -> Column:
 
 def permute_text(s: Column, key: str, tag: str, inverse: bool = False) -> Column:
     """Permutes strings of one format: digits among digits, A-Z among A-Z, a-z among a-z, others fixed."""
+    return let(s, lambda v: _permute_text(v, key, tag, inverse))
+
+
+def _permute_text(s: Column, key: str, tag: str, inverse: bool) -> Column:
     half = F.floor(F.length(s) / 2).cast("int")
     sign = -1 if inverse else 1
 
@@ -97,13 +106,19 @@ def digits_of(m: Column) -> Column:
 
 def put_back(m: Column, pattern: str, chars: Column) -> Column:
     """m with its characters that match pattern replaced in turn by those of chars."""
-    parts = F.split(m, "")
-    place = F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), lambda a, c: F.when(c.rlike(pattern), F.struct(F.concat(a["out"], F.substring(chars, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))), lambda a: a["out"])
-    return place
+    return let(chars, lambda c: _put_back(m, pattern, c))
+
+
+def _put_back(m: Column, pattern: str, chars: Column) -> Column:
+    return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), lambda a, c: F.when(c.rlike(pattern), F.struct(F.concat(a["out"], F.substring(chars, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))), lambda a: a["out"])
 
 
 def luhn_sum(digits: Column) -> Column:
     """Of digits whose last is the check digit."""
+    return let(digits, _luhn_sum)
+
+
+def _luhn_sum(digits: Column) -> Column:
     n = F.length(digits)
 
     def add(acc: Column, j: Column) -> Column:
@@ -153,38 +168,51 @@ def valid_kind(m: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Column:
     """The value that stands for m (or, inverted, that m stands for)."""
     go = lambda s, tag: permute_text(s, key, tag, inverse)
-    digits, compact = digits_of(m), F.replace(m, F.lit(" "), F.lit(""))
-    last = F.regexp_extract(m, r"\.[A-Za-z]+$", 0)
-    email = F.concat(go(F.substring(m, F.lit(1), F.length(m) - F.length(last)), "email"), last)
-    body = F.concat(F.substring(digits, 1, 1), go(F.substring(digits, F.lit(2), F.length(digits) - 2), "card"))
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    card = put_back(m, "[0-9]", F.concat(body, check))
-    account = go(F.substring(compact, F.lit(5), F.length(compact)), "iban")
-    rest = mod97(F.concat(F.substring(compact, 1, 2), F.lit("00"), account))
-    iban = put_back(m, "[A-Z0-9]", F.concat(F.substring(compact, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), account))
-    keep = F.greatest(F.length(digits) - 10, F.lit(0))
-    phone = put_back(m, "[0-9]", F.concat(F.substring(digits, F.lit(1), keep), go(F.substring(digits, keep + 1, F.length(digits)), "phone")))
-    area, group, serial = (F.substring(digits, *at).cast("int") for at in ((1, 3), (4, 2), (6, 4)))
-    ssn_pair = permute_pair(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, (898, 99 * 9999), key, "ssn", inverse)
+    rest_of = lambda s, at: F.substring(s, F.lit(at), F.length(s))
     pad = lambda c, n: F.lpad(c.cast("long").cast("string"), n, "0")
 
-    def ssn_text(p: Column) -> Column:
-        area = p["x"] + 1 + F.when(p["x"] + 1 >= 666, 1).otherwise(0)
-        return F.concat_ws("-", pad(area, 3), pad(F.floor(p["y"] / 9999) + 1, 2), pad(F.pmod(p["y"], F.lit(9999)) + 1, 4))
+    def email() -> Column:
+        return let(F.regexp_extract(m, r"\.[A-Za-z]+$", 0), lambda last: F.concat(go(F.substring(m, F.lit(1), F.length(m) - F.length(last)), "email"), last))
+
+    def card(d: Column) -> Column:
+        body = F.concat(F.substring(d, 1, 1), go(F.substring(d, F.lit(2), F.length(d) - 2), "card"))
+        check = lambda b: F.pmod(10 - F.pmod(luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+        return put_back(m, "[0-9]", let(body, lambda b: F.concat(b, check(b))))
+
+    def iban(c: Column) -> Column:
+        land = F.substring(c, 1, 2)
+        whole = lambda a: F.concat(land, F.lpad((98 - mod97(F.concat(land, F.lit("00"), a))).cast("string"), 2, "0"), a)
+        return put_back(m, "[A-Z0-9]", let(go(rest_of(c, 5), "iban"), whole))
+
+    def phone(d: Column) -> Column:
+        keep = F.greatest(F.length(d) - 10, F.lit(0))
+        return put_back(m, "[0-9]", F.concat(F.substring(d, F.lit(1), keep), go(F.substring(d, keep + 1, F.length(d)), "phone")))
 
-    ssn = F.transform(F.array(ssn_pair), ssn_text)[0]
-    o = [F.split(m, r"\.")[i].cast("long") for i in range(4)]
-    ip_pair = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), key, "ipv4", inverse)
-    ip = F.transform(F.array(ip_pair), lambda p: F.concat_ws(".", F.floor(p["x"] / 256), F.pmod(p["x"], F.lit(256)), F.floor(p["y"] / 256), F.pmod(p["y"], F.lit(256))))[0]
+    def ssn(d: Column) -> Column:
+        area, group, serial = (F.substring(d, *at).cast("int") for at in ((1, 3), (4, 2), (6, 4)))
+        pair = permute_pair(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, (898, 99 * 9999), key, "ssn", inverse)
+        number = lambda p: p["x"] + 1 + F.when(p["x"] + 1 >= 666, 1).otherwise(0)
+        return let(pair, lambda p: F.concat_ws("-", pad(number(p), 3), pad(F.floor(p["y"] / 9999) + 1, 2), pad(F.pmod(p["y"], F.lit(9999)) + 1, 4)))
+
+    def ip(o: Column) -> Column:
+        pair = permute_pair(o[0].cast("long") * 256 + o[1].cast("long"), o[2].cast("long") * 256 + o[3].cast("long"), (65536, 65536), key, "ipv4", inverse)
+        return let(pair, lambda p: F.concat_ws(".", F.floor(p["x"] / 256), F.pmod(p["x"], F.lit(256)), F.floor(p["y"] / 256), F.pmod(p["y"], F.lit(256))))
 
     def dated(pattern: str, form: str) -> Column:
+        day_of = lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS[1] + p["y"]).cast("int"))
+        turn = lambda x, y: permute_pair(x, y, DAYS, key, "date", inverse)
+
+        def moved(n: Column) -> Column:
+            pair = turn(F.floor(n / DAYS[1]), F.pmod(n, F.lit(DAYS[1])))
+            if form in ("dd/MM/yyyy", "d/M/yyyy"):  # on to the next day that can't be read as MM/DD either
+                pair = F.aggregate(F.sequence(F.lit(1), F.lit(64)), pair, lambda p, _: F.when(F.dayofmonth(day_of(p)) > 12, p).otherwise(turn(p["x"], p["y"])))
+            return let(pair, lambda p: F.date_format(day_of(p), form))
+
         day = F.try_to_timestamp(m, F.lit(form)).cast("date")
-        n = day_number(day)
-        pair = permute_pair(F.floor(n / DAYS[1]), F.pmod(n, F.lit(DAYS[1])), DAYS, key, "date", inverse)
-        return F.when(full(m, pattern) & day.isNotNull(), F.transform(F.array(pair), lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS[1] + p["y"]).cast("int")), form))[0])
+        return F.when(full(m, pattern) & day.isNotNull(), let(day_number(day), moved))
 
-    date = F.coalesce(*[dated(p, f) for p, f in date_forms(m)])
-    values = dict(zip(KINDS, (email, iban, date, ip, card, ssn, phone), strict=True))
+    digits, compact = digits_of(m), F.replace(m, F.lit(" "), F.lit(""))
+    values = {"email": email(), "iban": let(compact, iban), "date": F.coalesce(*[dated(p, f) for p, f in date_forms(m)]), "ipv4": let(F.split(m, r"\."), ip), "card": let(digits, card), "ssn": let(digits, ssn), "phone": let(digits, phone)}
     out = F.when(kind.isNull(), m)
     for k in KINDS:
         out = out.when(kind == k, values[k])
@@ -194,12 +222,12 @@ def pseudonym(m: Column, kind: Column, key: str, inverse: bool = False) -> Colum
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """docs with the text pseudonymised and n_found, the number of values replaced, appended."""
     text = F.col(text_col)
-    src = docs.drop("n_found").withColumn("__hit", text.rlike("[0-9]") & text.rlike(ANY))
     values = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), valid_kind(m).alias("kind")))
-    src = src.withColumn("__values", F.when(F.col("__hit"), values))
-    new = F.transform("__values", lambda v: F.struct(v["kind"].alias("kind"), pseudonym(v["m"], v["kind"], key, inverse).alias("new")))
-    src = src.withColumn("__new", new)
-    gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("__new", i)["new"], F.lit("")))), "")
-    count = F.coalesce(F.size(F.filter("__new", lambda v: v["kind"].isNotNull())), F.lit(0))
-    return src.withColumn("n_found", F.when(F.col("__hit"), count).otherwise(0).cast("long")).withColumn(text_col, F.when(F.col("__hit"), joined).otherwise(text)).drop("__hit", "__values", "__new")
+    new = lambda vs: F.transform(vs, lambda v: F.struct(v["kind"].alias("kind"), pseudonym(v["m"], v["kind"], key, inverse).alias("new")))
+    joined = lambda vs: F.array_join(F.transform(F.split(text, ANY, -1), lambda g, i: F.concat(g, F.coalesce(F.get(vs, i)["new"], F.lit("")))), "")
+    done = lambda vs: F.struct(joined(vs).alias("text"), F.size(F.filter(vs, lambda v: v["kind"].isNotNull())).cast("long").alias("n"))
+    out = F.when(text.rlike("[0-9@]") & text.rlike(ANY), let(let(values, new), done)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
+    src = docs.drop("n_found")
+    # an explode keeps later projections from computing it again for each column
+    once = src.withColumn("__out", F.array(out)).select(*[F.col(c) for c in src.columns if c != text_col], F.explode("__out").alias("__out"))
+    return once.select(*[F.col("__out.text").alias(text_col) if c == text_col else F.col(c) for c in src.columns], F.col("__out.n").alias("n_found"))
