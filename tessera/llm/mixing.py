@@ -5,7 +5,7 @@ documents is then due target / size copies: the whole part is certain, the rest
 probability. The flight phase moves these probabilities inside the null-space of the balancing
 constraints (number of documents, number of words) until almost all are 0 or 1. It runs in shards of a
 fixed number of documents, so a source of any size is spread out; the few probabilities each shard leaves
-fractional go on to the next flight, until one shard is left for each source. There size octaves are
+fractional, and a few documents of all sizes that it leaves out, go on to the next flight, until one shard is left for each source. There size octaves are
 flown one after the other, from the largest documents down: landing rounds the last two or three of an octave so that the
 words come nearest, and the next octave's probabilities make up for what it is off by.
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Tables
 
 EDGE = 1e-9
+RESERVE = 16
 
 
 def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -91,6 +92,29 @@ def settle(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.nda
         s = sizes[at]
         out[at] = landing(flight(np.clip(p[at] - off / s.sum(), 0.0, 1.0), s, rng), s)
         off += float((out[at] * s).sum() - (p[at] * s).sum())
+    return refine(out, p, sizes)
+
+
+def refine(out: np.ndarray, p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ends the landing: takes up, drops or exchanges single documents while that brings the words nearer."""
+    out = out.copy()
+    for _ in range(100):
+        off = float(((out - p) * sizes).sum())
+        taken, free = np.flatnonzero(out > 0.5), np.flatnonzero(out < 0.5)
+        moves = [(abs(off - sizes[i]), (i,)) for i in taken] if off > 0 else [(abs(off + sizes[j]), (j,)) for j in free]
+        if len(taken) and len(free):
+            order = free[np.argsort(sizes[free], kind="stable")]
+            want = sizes[taken] - off  # the size that would make up for each one dropped
+            for k in (0, 1):
+                j = order[np.clip(np.searchsorted(sizes[order], want) - k, 0, len(order) - 1)]
+                gap = np.abs(want - sizes[j])
+                i = int(gap.argmin())
+                moves.append((float(gap[i]), (taken[i], j[i])))
+        best = min(moves, key=lambda m: m[0], default=(np.inf, ()))
+        if best[0] >= abs(off) - EDGE:
+            break
+        for i in best[1]:
+            out[i] = 1 - out[i]
     return out
 
 
@@ -112,7 +136,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
             rows = rows.sort_values(["size", "id"], ascending=[False, True], kind="stable")
             s = rows["size"].to_numpy()
             rng = np.random.default_rng(zlib.crc32(repr((seed, *map(str, key))).encode()))
-            rows["p"] = (settle if last else flight)(rows["p"].to_numpy(float), s, rng)
+            p = rows["p"].to_numpy(float, copy=True)
+            if last:
+                p = settle(p, s, rng)
+            elif len(p) > RESERVE:
+                fly = np.ones(len(p), bool)
+                fly[np.linspace(0, len(p) - 1, RESERVE).astype(int)] = False
+                p[fly] = flight(p[fly], s[fly], rng)
+            rows["p"] = p
             return rows
 
         return flown
@@ -128,6 +159,6 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
         done = done.unionByName(flown.where(settled))
         if last:
             break
-        left, per = flown.where(~settled).drop("salt"), -(-per // shard) * 3
+        left, per = flown.where(~settled).drop("salt"), -(-per // shard) * (RESERVE + 2)
     copies = (F.col("whole") + F.round("p")).cast("long")
     return done.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
