@@ -163,7 +163,43 @@ KEYWORD_TERMS = lst(["tion", "thon", "license"])
 CTX = "'[' || rank || '] ' || coalesce(nullif(source, ''), 'unknown') || ': ' || left(text, 500)"
 LISTED = "l as (select doc_id // 40 as query_id, doc_id % 40 as rank, doc_id, left(text, 60) as text from documents)"
 
+WIDE = ", ".join(f"when '{k}' then {lst(v[:2])}" for k, v in V.RETRIEVAL_EXPANSIONS.items()).replace(", when", " when")
+
+
+def recursive_chunks(texts: str) -> str:
+    """CTEs up to every(doc_id, o, t): structure-aware chunks of texts(doc_id, text)."""
+    seps = " ".join(f"when contains(text, {x}) then {x}" for x in ("chr(10) || chr(10)", "chr(10)", q(". "), q("。"), q("! "), q("? "), q("; "), q(" ")))
+    cut = strip("substr(text, cast(x as bigint) + 1, 512)")
+    return f"""s as (select doc_id, text, case {seps} end as sep from ({texts}) where length({strip('text')}) >= 50),
+        {packed("select doc_id, unnest(range(1, len(ps) + 1)) as i, unnest(ps) as part, sep from (select doc_id, sep, string_split(text, sep) as ps from s where length(text) > 512 and sep is not null)", 'p.sep')},
+        every as (select doc_id, o, t from good union all select doc_id, 0, {strip('text')} from s where length(text) <= 512
+          union all select doc_id, x, {cut} from s, unnest(range(0, length(text), 512)) as u(x) where length(text) > 512 and sep is null and length({cut}) >= 50)"""
+
+
+def window_end(start: str) -> str:
+    """Where a sliding window that begins at start ends."""
+    stop = f"least({start} + 512, n)"
+    part = f"substr(text, {start} + 410, {stop} - {start} - 409)"
+    found = " ".join(f"when strpos(reverse({part}), reverse({b})) > 0 and length({part}) - strpos(reverse({part}), reverse({b})) - length({b}) + 1 > 0 then {start} + 409 + length({part}) - strpos(reverse({part}), reverse({b})) + 1" for b in ("chr(10) || chr(10)", q(". "), q("。"), "chr(10)", q("! "), q("? ")))
+    return f"case when {start} + 512 >= n then n {found} else {stop} end"
+
+
 ORACLES: dict[str, str] = {
+    "expand_queries": f"""select query_id, {EXPAND_INDEX} as index_query, array_to_string(list_concat(ts, flatten(list_transform(ts, lambda t: case t {WIDE} else [] end))), ' ') as retrieval_terms
+        from (select *, {retrieval_tokens(ascii_lower('query'))} as ts from {values([*QUESTIONS, 'docker gpu server', 'project age', 'fan model'])})""",
+    "rerank_hook": f"""with l as (select doc_id // 40 as query_id, doc_id % 40 as rank, doc_id, text from documents where doc_id // 40 < 5),
+        j as (select *, {signature("'the of and tion'")} as a, {signature('text').replace('200', '2000')} as b from l), r as (select query_id, doc_id, rank, {jaccard('a', 'b')} as rerank from j),
+        k as (select query_id, row_number() over (partition by query_id order by round(rerank, 9) desc, rank) as rank, doc_id, rerank from r) select query_id, rank, doc_id, round(rerank, 6) as rerank from k where rank <= 10""",
+    "chunk_sliding": f"""with recursive d as (select doc_id, text, length(text) as n from documents where length({strip('text')}) >= 50),
+        walk as (select doc_id, cast(0 as bigint) as start, cast({window_end('0')} as bigint) as stop from d
+          union all select doc_id, b, cast({window_end('b')} as bigint) from (select w.doc_id, greatest(w.stop - 64, w.start + 1) as b, text, n from walk w join d using (doc_id) where w.stop < n)),
+        p as (select doc_id, start, stop, {strip('substr(text, start + 1, stop - start)')} as t from walk join d using (doc_id))
+        select doc_id, row_number() over (partition by doc_id order by start) - 1 as chunk_index, start as start_char, stop as end_char, sha256(t) as chunk_hash from p where length(t) >= 50""",
+    "auto_chunk": f"""with recursive {recursive_chunks("select doc_id, text from documents where doc_id % 4 <> 1")},
+        f as (select doc_id, '```' || chr(10) || '```' || chr(10) || '```' || chr(10) || '```' || text as t from documents where doc_id % 4 = 1),
+        fx as (select doc_id, t, {strip('substr(t, cast(s as bigint) + 1, 512)')} as piece from f, unnest(range(0, length(t), 512)) as u(s) where length({strip('t')}) >= 50)
+        select 'recursive' as strategy, count(*) as n_chunks, count(distinct doc_id) as n_docs from every having count(*) > 0
+        union all select 'fixed', count(*), count(distinct doc_id) from fx where length(piece) >= 50 or length(t) <= 512 having count(*) > 0""",
     "manifest_upsert": """with d as (select cast(doc_id as varchar) as path, sha256(text) as hash, doc_id from documents),
         o as (select path, case when doc_id % 5 = 0 then 'stale' else hash end as hash from d where doc_id % 3 <> 0), n as (select path, hash from d where doc_id % 7 <> 0)
         select coalesce(n.path, o.path) as path, coalesce(n.hash, o.hash) as hash, case when o.hash is null or coalesce(n.hash, o.hash) <> o.hash then 'pending' else 'ingested' end as status from n full join o on n.path = o.path""",
@@ -232,10 +268,7 @@ ORACLES: dict[str, str] = {
         select doc_id, coalesce({TITLES}[1], {SPOKEN}[1], case when {FIRST_WORDS} <> '' then '[CHAT] ' || left({FIRST_WORDS}, 80) || '...' end) as title, left(list_filter(ls, lambda x: length(x) > 20)[1], 80) as fallback from l""",
     "score_bands": f"with {METRICS} select case when top_score * 1.5 > 5 then 'high' when top_score * 1.5 > 2 then 'mid' else 'low' end as band, count(*) as n from m group by 1",
     "chunk_fixed": f"with {FIXED} select doc_id, chunk_index, cast(pos as bigint) as start_char, cast(stop as bigint) as end_char, sha256(piece) as chunk_hash from fixed",
-    "chunk_recursive": f"""with recursive s as (select doc_id, text, case {' '.join(f'when contains(text, {x}) then {x}' for x in ('chr(10) || chr(10)', 'chr(10)', q('. '), q('。'), q('! '), q('? '), q('; '), q(' ')))} end as sep from documents where length({strip('text')}) >= 50),
-        {packed("select doc_id, unnest(range(1, len(ps) + 1)) as i, unnest(ps) as part, sep from (select doc_id, sep, string_split(text, sep) as ps from s where length(text) > 512 and sep is not null)", 'p.sep')},
-        every as (select doc_id, o, t from good union all select doc_id, 0, {strip('text')} from s where length(text) <= 512
-          union all select doc_id, x, {strip('substr(text, cast(x as bigint) + 1, 512)')} from s, unnest(range(0, length(text), 512)) as u(x) where length(text) > 512 and sep is null and length({strip('substr(text, cast(x as bigint) + 1, 512)')}) >= 50)
+    "chunk_recursive": f"""with recursive {recursive_chunks("select doc_id, text from documents")}
         select doc_id, row_number() over (partition by doc_id order by o) - 1 as chunk_index, sha256(t) as chunk_hash from every""",
     "chunk_semantic": f"""with recursive s as (select doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> '') as ps from documents where length({strip('text')}) >= 50),
         {packed("select doc_id, unnest(range(1, len(ps) + 1)) as i, unnest(ps) as part from s", 'chr(10) || chr(10)')}
