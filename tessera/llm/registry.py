@@ -83,7 +83,24 @@ QUERIES = {f.__name__: f for f in (op1_substrings, op2_quality, op3_line_dedup,
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_BLANK = "(' ' || chr(9) || chr(13) || chr(11) || chr(12))"
+
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": f"""
+        with d as (select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as ls from documents),
+        n as (select r, doc_id, ln, raw, trim(raw, {_BLANK}) as line from (select r, doc_id, unnest(range(len(ls))) as ln, unnest(ls) as raw from d)),
+        l as (select *, row_number() over (partition by r order by ln) as k from n where line <> ''),
+        m as (select *, lead(line) over (partition by r order by k) as nxt, row_number() over (partition by line order by doc_id nulls first, k) > 1 as later from l),
+        p as (select *, nxt is not null and row_number() over (partition by line, nxt order by doc_id nulls first, k) > 1 as pair from m),
+        g as (select *, (later and regexp_matches(line, '\\S+\\s+\\S')) or pair or coalesce(lag(pair) over (partition by r order by k), false) as gone from p),
+        a as (select x.r, x.k, y.r as r2, x.k - y.k as diagonal from l x join l y on x.line = y.line and (x.r <> y.r or x.k <> y.k)),
+        i as (select r, k - row_number() over (partition by r, r2, diagonal order by k) as island, r2, diagonal from a),
+        longest as (select r, max(size) as longest_run from (select r, count(*) as size from i group by r, r2, diagonal, island) group by r),
+        c as (select r, count(*) as n_lines, count(*) filter (gone) as n_deleted from g group by r),
+        t as (select n.r, string_agg(n.raw, chr(10) order by n.ln) as rest, bool_or(n.line <> '') as any_line from n left join g on g.r = n.r and g.ln = n.ln where not coalesce(g.gone, false) group by n.r)
+        select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted, coalesce(longest_run, 0) as longest_run,
+               sha256(case when coalesce(n_deleted, 0) = 0 then text when any_line then rest else '' end) as text_sha256
+        from d left join c using (r) left join longest using (r) left join t using (r)""",
     "op9_decontaminate": f"""
         with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
         i as (select distinct cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark),

@@ -40,43 +40,67 @@ class Transducer:
         for p in scores:
             if SPACE in p[1:] and p.strip(SPACE):
                 raise ValueError("a piece continues from a non-space to a space")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[tuple[str | None, str], bool] = {}
+        self.made: dict[str, tuple | None] = {}  # one entry for each piece, and for each unknown character met
         self.words: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
         self.keys, self.ids, self.next = [START], {START: 0}, [{}]
 
-    def bpe(self, text: str) -> list[str]:
-        """Merging by best score, leftmost first: the definition, for short texts."""
-        parts, scores = list(text), self.scores
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def merges(self, piece: str) -> tuple | None:
+        """How a piece comes about from its characters: (score, its first part, its last part) after each merge; None if it doesn't."""
+        if piece not in self.made:
+            parts, scores, out = list(piece), self.scores, [(0.0, piece[0], piece[-1])]
+            while len(parts) > 1:
+                found = [(s, -i) for i in range(len(parts) - 1) if (s := scores.get(parts[i] + parts[i + 1])) is not None]
+                if not found:
+                    break
+                s, i = max(found)
+                parts[-i : 2 - i] = [parts[-i] + parts[1 - i]]
+                out.append((s, parts[0], parts[-1]))
+            self.made[piece] = tuple(out) if len(parts) == 1 else None
+        return self.made[piece]
 
     def fits(self, left: str | None, piece: str) -> bool:
-        """Whether piece can follow left in a BPE result."""
-        key = (left or "", piece)
-        if key not in self.pairs:
+        """Whether piece can follow left in a BPE result: both come about by themselves, and no merge across is due before either is whole."""
+        key = (left, piece)
+        fit = self.pairs.get(key)
+        if fit is None:
             if len(self.pairs) > 300_000:
                 self.pairs.clear()
-            self.pairs[key] = self.bpe(key[0] + piece) == ([left, piece] if left else [piece])
-        return self.pairs[key]
+            fit = self.pairs[key] = self.follows(left, piece)
+        return fit
+
+    def follows(self, left: str | None, piece: str) -> bool:
+        b = self.merges(piece)
+        if b is None or left is None:
+            return b is not None
+        a, scores, none = self.merges(left), self.scores, float("-inf")
+        i = j = 0
+        while True:
+            across = scores.get(a[i][2] + b[j][1])
+            x = a[i + 1][0] if i + 1 < len(a) else none
+            y = b[j + 1][0] if j + 1 < len(b) else none
+            if across is not None and across > x and across >= y:  # of equal scores the leftmost is merged first
+                return False
+            if x == y == none:
+                return True
+            if x >= y:
+                i += 1
+            else:
+                j += 1
 
     def step(self, state: int, ch: str) -> tuple[int, int]:
         """A state's key: (suffix, (length, last piece, relative count)...), for each length of a suffix that a piece may start with."""
         suffix, entries = self.keys[state]
-        end, scores, growing = len(suffix), self.scores, self.growing
+        end, scores, growing, known = len(suffix), self.scores, self.growing, self.pairs
         for length, last, before in entries:  # longest first; length 0 always fits as a last resort
             piece = suffix[end - length :] + ch
-            if (not length or piece in scores) and self.fits(last, piece):
-                break
+            if not length or piece in scores:
+                fit = known.get((last, piece))
+                if fit or (fit is None and self.fits(last, piece)):
+                    break
         delta = before + (1 if piece in scores else len(piece.encode("utf-8", "surrogatepass")))
         kept = [(n + 1, p, c - delta) for n, p, c in entries if suffix[end - n :] + ch in growing]
         key = ((suffix + ch)[end + 1 - kept[0][0] :] if kept else "", (*kept, (0, piece, 0)))
