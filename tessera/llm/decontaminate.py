@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import Tables, lower_ascii
 
-TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-LENGTH = "\x00"  # the term of a document's length posting: no word holds it
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LENGTH = "\x00"  # stands for a document's length posting: no word holds it
 
 
 def words(text) -> Column:
     """Runs of characters other than ASCII non-alphanumerics, in their own case."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
 def folded(word: Column) -> Column:
@@ -42,17 +42,16 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, tables: Tables, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (term, id, h, pos) of the terms in vocabulary (word, term), and a length posting (term 0, pos = number of words) of each row. h is the text's hash."""
+    """Postings (term, id, h, pos) of the terms in vocabulary, which holds the length posting's (pos = number of words, one a row). A term is its word's 64-bit hash; h is the text's."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.concat(words(text), F.array(F.lit(LENGTH))).alias("all"))  # below the explode, so once a document
-    every = every.select("id", "h", F.posexplode("all").alias("pos", "w")).select("id", "h", "pos", folded(F.col("w")).alias("word"))
-    return tables.keep(every.join(vocabulary, "word").select("term", "id", "h", "pos"))
+    every = every.select("id", "h", F.posexplode("all").alias("pos", "w")).select(F.xxhash64(folded(F.col("w"))).alias("term"), "id", "h", "pos")
+    return tables.keep(every.join(vocabulary, "term", "left_semi"))
 
 
 def vocabulary_of(items: DataFrame) -> DataFrame:
-    """word, term (from 1; the length posting's is 0) of all item words: as many rows as the benchmark has different words."""
-    found = items.select(F.explode("words").alias("word")).distinct()
-    return found.select("word", F.xxhash64("word").alias("term")).union(items.sparkSession.createDataFrame([(LENGTH, 0)], "word string, term long"))
+    """term of all item words, and the length posting's: as many rows as the benchmark has different words."""
+    return items.select(F.explode(F.concat("words", F.array(F.lit(LENGTH)))).alias("word")).select(F.xxhash64("word").alias("term")).union(items.sparkSession.range(1).select(F.xxhash64(F.lit(LENGTH)))).distinct()
 
 
 def places(items: DataFrame, index: DataFrame, tables: Tables, window: int) -> DataFrame:
@@ -95,7 +94,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, found: DataFrame, *, windo
 
 def proximity_matches(items: DataFrame, index: DataFrame, *, within: int) -> DataFrame:
     """item, id, h, pos: places of an item's rarest word at which all its other words occur within `within` positions."""
-    counts = index.where("term <> 0").groupBy("term").agg(F.count("*").alias("n"))
+    counts = index.groupBy("term").agg(F.count("*").alias("n"))
     terms = items.select("item", F.explode(F.array_distinct("words")).alias("word")).withColumn("term", F.xxhash64("word"))
     ranked = terms.join(counts, "term", "left").groupBy("item").agg(F.count("*").alias("size"), F.min(F.struct(F.coalesce("n", F.lit(0)), "term"))["term"].alias("rarest"), F.collect_list("term").alias("terms"))
     anchors = index.join(ranked, index["term"] == ranked["rarest"]).select("item", "size", "terms", "id", "h", "pos")
@@ -110,10 +109,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
     tables = Tables(docs.sparkSession, "index")
     items = tables.keep(item_words(benchmark, item_id_col, item_text_col))
     index = build_index(docs, tables.keep(vocabulary_of(items)), tables, id_col=id_col, text_col=text_col)
-    terms = index.where("term <> 0")
+    terms = index.where(F.col("term") != F.xxhash64(F.lit(LENGTH)))
     found = phrase_matches(docs, items, places(items, terms, tables, window), window=window, id_col=id_col, text_col=text_col)
     found = found.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.size("hits").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"))
-    rows = index.where("term = 0").select("id", "h", F.col("pos").cast("long").alias("n_words"))
+    rows = index.where(F.col("term") == F.xxhash64(F.lit(LENGTH))).select("id", "h", F.col("pos").cast("long").alias("n_words"))
     out = rows.join(tables.keep(found.distinct()), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(F.col("id").alias(id_col), "h", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
