@@ -315,4 +315,18 @@ ORACLES: dict[str, str] = {
     "temporal_expansion": rf"""select query_id, unnest(list_filter([query, query || ' recent latest new', case when regexp_matches(lower(query), '(\d+)\s+(days?|weeks?|months?)\s+ago') then query || ' activity work discussion' end], lambda x: x is not null)) as expanded from {values(QUESTIONS)}""",
     "daily_window_metrics": f"with {METRICS} select strftime(ts, '%Y-%m-%d') as day, count(*) as n, round(avg(elapsed_ms), 6) as avg_ms, cast(count(*) filter (elapsed_ms > 2000) as bigint) as slow from m group by 1",
     "enrichment": f"select conv_id, turn, {labels('text', V.TASKS)} as tasks, {summary('text')} as summary, {keywords('text')} as keywords from conversations where length(text) >= 50",
+    "classification_report": """with m as (select doc_id % 5 as e from documents where doc_id % 3 <> 2) select count(*) as n_files, count(*) filter (e <= 2) as n_processable, count(*) filter (e > 2) as n_others,
+        array_to_string(list_sort(list_distinct(list(case e when 0 then 'jsonl_extractor' when 1 then 'takeout_extractor' when 2 then 'text_extractor' end) filter (e <= 2))), '|') as extractors from m""",
+    "title_pipeline": f"""with {RECORDS}, l as (select doc_id, text, category, list_transform(string_split(text, chr(10)), lambda x: {strip('x')}) as ls from rec where doc_id % 2 = 0),
+        t as (select doc_id, coalesce({TITLES}[1], {SPOKEN}[1], case when {FIRST_WORDS} <> '' then '[' || upper(category) || '] ' || left({FIRST_WORDS}, 80) || '...' end) as title from l where category <> 'code') select * from t where title is not null""",
+    "enrich_records": f"""select doc_id, {labels('text', V.TOOLS)} as tools, {labels('text', V.TASKS)} as tasks, array_to_string(list_slice(list_sort(list_distinct({FILES.replace("(x,", "(text,")})), 1, 10), '|') as files, {summary('text')} as summary from documents where length(text) >= 50""",
+    "find_precedence": f"""with {RECORDS}, dt as (select rec.*, e.ts as created_at from rec join events e on e.event_id = doc_id),
+        l as (select doc_id, text, importance, {ascii_lower('text')} as l, list_transform(string_split(text, chr(10)), lambda x: {strip('x')}) as ls from dt),
+        n as (select *, coalesce({TITLES}[1], {SPOKEN}[1], case when {FIRST_WORDS} <> '' then '[CHAT] ' || left({FIRST_WORDS}, 80) || '...' end) as title, {matched('l', lst(['license', 'public', 'tion']))} as m from l),
+        s as (select doc_id, text, title, importance + {capped('l', lst(['license', 'public', 'tion']), 0.7, 2.5)} + cast(1.8 as double) * len(m) + {proximity('l', 'm')} as score from n where len(m) >= 2),
+        o as (select * from s qualify row_number() over (partition by left(title, 120), left(text, 120) order by round(score, 9) desc, doc_id) = 1),
+        q as (select doc_id from o order by round(score, 9) desc, doc_id limit 20),
+        c as (select doc_id from dt where category = 'chat' order by importance desc, created_at desc, doc_id limit 20),
+        latest as (select doc_id from dt order by created_at desc, importance desc, doc_id limit 20)
+        select 'by_id' as call, cast(3 as bigint) as doc_id union all select 'recent', doc_id from latest union all select 'category', doc_id from c union all select 'query', doc_id from q""",
 }

@@ -11,7 +11,7 @@ from .functions import fixed_values as V
 from .functions import text as T
 from .operators import chunking, fusion, lexical, quality, vector
 from .operators import records as R
-from .plans import planner, retrieve
+from .plans import archive, planner, retrieve
 from .session import table
 from .sources import archives, conversations, files
 from .streaming import ingest
@@ -573,3 +573,34 @@ def daily_window_metrics(spark, sf_dir):
 def enrichment(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where(F.length("text") >= 50)
     return c.select("conv_id", "turn", F.array_join(T.labels_found(F.col("text"), V.TASKS), "|").alias("tasks"), T.summary(F.col("text")).alias("summary"), F.array_join(T.keywords(F.col("text")), "|").alias("keywords"))
+
+
+# -- batch jobs --------------------------------------------------------------------------------------------------------------------------------
+
+
+@query
+def classification_report(spark, sf_dir):
+    d = docs_of(spark, sf_dir)
+    ends = F.element_at(F.array(*[F.lit(p) for p in (".jsonl", ".zip", ".md", ".log", ".png")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    manifest = d.select(F.concat(F.lit("takeout-"), F.col("doc_id").cast("string"), ends).alias("path"), F.element_at(F.array(*map(F.lit, ["pending", "failed", "ingested"])), (F.col("doc_id") % 3 + 1).cast("int")).alias("status"))
+    return archive.classification_report(manifest)
+
+
+@query
+def title_pipeline(spark, sf_dir):
+    r = R.records(spark, sf_dir).withColumn("title", F.when(F.col("doc_id") % 2 == 0, F.lit("Untitled chat")).otherwise("a title"))
+    return archive.titles(r)
+
+
+@query
+def enrich_records(spark, sf_dir):
+    e = archive.enriched(docs_of(spark, sf_dir))
+    return e.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("tools", "tasks", "files")], "summary")
+
+
+@query
+def find_precedence(spark, sf_dir):
+    r = R.dated(R.records(spark, sf_dir), spark, sf_dir)
+    calls = {"by_id": {"record_id": 3, "category": "chat"}, "recent": {"recent": 40, "query": "tion"}, "category": {"category": "chat", "query": "tion", "days": 60}, "query": {"query": "license public tion"}}
+    parts = [archive.find(r, R.as_of(), **kw).select(F.lit(name).alias("call"), "doc_id") for name, kw in calls.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

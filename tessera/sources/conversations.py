@@ -13,7 +13,7 @@ from ..functions import text as T
 MESSAGES = "array<struct<role:string,content:string,timestamp:string>>"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """line (text), path, number (from 1, within a file)."""
     raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
     return raw.withColumn("number", F.row_number().over(Window.partitionBy("path").orderBy("at"))).drop("at")
@@ -44,9 +44,9 @@ def read_messages(v: Column, keys: tuple[str, ...], texts: tuple[str, ...]) -> C
     return F.filter(F.transform(raw, one), lambda m: m["content"] != "")
 
 
-def _records(parsed: DataFrame, ids: tuple[str, ...], prefix: str, titles: tuple[str, ...], created: tuple[str, ...], updated: tuple[str, ...], message_keys: tuple[str, ...], texts: tuple[str, ...]) -> DataFrame:
+def _records(parsed: DataFrame, ids: tuple[str, ...], prefix: str, titles: tuple[str, ...], created: tuple[str, ...], updated: tuple[str, ...], message_keys: tuple[str, ...], texts: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
     v = F.col("v")
-    out = parsed.where(v.isNotNull()).select(
+    out = parsed.where(v.isNotNull()).select(*keep, 
         F.coalesce(field(v, *ids), F.concat(F.lit(prefix), F.col("number").cast("string"))).alias("external_id"), F.lit("conversation").alias("record_type"), field(v, *titles).alias("title"),
         time_field(v, *created).alias("created_at"), time_field(v, *updated).alias("updated_at"), read_messages(v, message_keys, texts).alias("messages"), field(v, "source").alias("source"), field(v, "category").alias("given"),
     )
@@ -61,15 +61,15 @@ def joined(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: m["content"]), " ")
 
 
-def jsonl_records(df: DataFrame) -> DataFrame:
-    """Generic exports, from (line, number)."""
-    out = _records(parse(df), ("id", "conversation_id", "session_id"), "line_", ("title", "name", "session_title", "session_display_title"), ("created_at", "createdAt", "timestamp", "date"), ("updated_at", "updatedAt", "last_updated"), ("messages", "turns"), ("content", "text", "message"))
+def jsonl_records(df: DataFrame, *keep: str) -> DataFrame:
+    """Generic exports, from (line, number); columns to keep come along."""
+    out = _records(parse(df), ("id", "conversation_id", "session_id"), "line_", ("title", "name", "session_title", "session_display_title"), ("created_at", "createdAt", "timestamp", "date"), ("updated_at", "updatedAt", "last_updated"), ("messages", "turns"), ("content", "text", "message"), keep)
     return out.withColumn("category", T.category(joined(F.col("messages")))).drop("given")
 
 
-def normalized_records(df: DataFrame) -> DataFrame:
+def normalized_records(df: DataFrame, *keep: str) -> DataFrame:
     """Normalised exports; a category given is kept."""
-    out = _records(parse(df), ("conversation_id", "session_id", "id"), "norm_", ("title", "name"), ("timestamp", "created_at"), ("updated_at", "last_updated"), ("messages",), ("text",))
+    out = _records(parse(df), ("conversation_id", "session_id", "id"), "norm_", ("title", "name"), ("timestamp", "created_at"), ("updated_at", "last_updated"), ("messages",), ("text",), keep)
     return out.withColumn("category", F.coalesce("given", T.category(joined(F.col("messages")), "normalized"))).drop("given")
 
 

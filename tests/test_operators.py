@@ -197,3 +197,33 @@ def test_entry_has_a_query_for_each_oracle():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_archive_jobs(spark, tmp_path):
+    from tessera.plans import archive
+
+    exports, home = tmp_path / "exports", tmp_path / "home"
+    (exports / "sub").mkdir(parents=True)
+    talk = lambda text: json.dumps({"id": text[:4], "title": "T", "messages": [{"role": "user", "content": text}]}) + "\n"
+    (exports / "chat.jsonl").write_text(talk("hello there, this is a message of more than fifty characters in all") + "{broken\n")
+    (exports / "sub" / "normalized_x.jsonl").write_text(json.dumps({"id": "n", "category": "note", "messages": [{"text": "normalised text that is long enough to make a chunk of its own"}]}) + "\n")
+    (exports / "notes.md").write_text("a note " * 20)
+    (exports / "photo.png").write_bytes(b"\x89PNG")
+    with zipfile.ZipFile(exports / "takeout-1.zip", "w") as z:
+        z.writestr("Gemini/chat.json", json.dumps({"id": "z", "messages": [{"role": "user", "content": "from a takeout archive, long enough to be chunked as well, yes"}]}))
+        z.writestr("photo.json", "{}")
+    config = archive.Config(str(exports), str(home), {"all": "*"})
+    assert archive.missing_tables(spark, config) == list(archive.TABLES)
+    assert {(r.status, r.n) for r in archive.run_discovery(spark, config).collect()} == {("pending", 5)}
+    assert archive.classification_report(archive.read(spark, config, "source_files")).first()[:3] == (5, 4, 1)
+    assert {(r.category, r.n) for r in archive.run_extraction(spark, config).collect()} == {("chat", 2), ("note", 2)}
+    assert {r.status: r.n for r in archive.run_discovery(spark, config).collect()} == {"ingested": 4, "skipped": 1}
+    assert sum(r.n for r in archive.run_chunking(spark, config).collect()) == 4
+    assert sum(r.n for r in archive.run_chunking(spark, config).collect()) == 4  # nothing is chunked twice
+    assert archive.run_embedding(spark, config).first().n == 4 == archive.run_embedding(spark, config).first().n
+    (exports / "chat.jsonl").write_text(talk("changed text, again with more than fifty characters in this line"))
+    archive.run_discovery(spark, config)
+    archive.run_extraction(spark, config)
+    assert {r.external_id for r in archive.read(spark, config, "content_records").where("record_type = 'conversation'").collect()} == {"chan", "n", "z"}
+    shown = archive.status(spark, config, R.as_of())
+    assert shown["counts"].first().n_records == 4 and shown["quality"] is None
