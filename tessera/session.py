@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+
+
+def on_workers(f):
+    """f(spark, ...), with this package on the Python path of the workers that it starts (where they find it under the same path as the driver)."""
+
+    @wraps(f)
+    def run(spark: SparkSession, *args, **kw):
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+        if ROOT not in paths:
+            env["PYTHONPATH"] = ":".join([ROOT, *paths])
+        return f(spark, *args, **kw)
+
+    return run
+
 
 def local_session(cores: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches; on a cluster the deployment's own session is used."""
