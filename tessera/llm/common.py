@@ -47,7 +47,7 @@ class Tables:
     def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        writer = df.write.option("compression", "zstd")
+        writer = df.write.option("compression", "snappy")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path

@@ -32,10 +32,17 @@ from .common import Tables
 BLANK = " \t\r\x0b\x0c"
 
 
-def running(df: DataFrame, keys: list[str], weight, tables: Tables) -> DataFrame:
-    """df with `before`: the sum of weight over all rows that are smaller in keys. Sorted by range; partitions report one total each."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+ROWS_A_TASK = 50_000
+
+
+def parts(df: DataFrame, rows: int) -> int:
+    """As many range partitions as rows call for, as the session's number of shuffle partitions at most (the sort spills)."""
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_TASK + 1))
+
+
+def running(df: DataFrame, keys: list[str], weight, rows: int, tables: Tables) -> DataFrame:
+    """df with `before`: the sum of weight over all rows that are smaller in keys. Sorted by range; partitions report one total each. rows: at most so many rows."""
+    n = parts(df, rows)
     src = df.withColumn("weight", weight.cast("long")).repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,15 +78,16 @@ def suffix_array(positions: DataFrame, tables: Tables) -> tuple[DataFrame, DataF
         pair = live.join(on, "p", "left").withColumn("r2", F.when((F.col("p") + m <= F.col("e")), F.col("r2")).otherwise(-1))
         pair = tables.keep(pair.withColumn("tie", F.when(F.col("r2") < 0, F.col("p")).otherwise(-1)).select("p", "r", "r2", "tie"))
         kinds = pair.groupBy("r", "r2", "tie").agg(F.count("*").alias("n"), F.min("p").alias("first"))
-        kinds = tables.keep(running(kinds, ["r", "r2", "tie"], F.col("n"), tables))
+        kinds = tables.keep(running(kinds, ["r", "r2", "tie"], F.col("n"), pair.count(), tables))
         start = kinds.groupBy("r").agg(F.min("before").alias("start"))
         kinds = kinds.join(start, "r").select("r", "r2", "tie", "n", "first", (F.col("r") + F.col("before") - F.col("start")).alias("new"))
-        found = tables.keep(pair.join(kinds, ["r", "r2", "tie"]).select("p", "new", (F.col("n") > 1).alias("more"), "first"))
+        found = pair.join(kinds, ["r", "r2", "tie"]).select("p", "new", (F.col("n") > 1).alias("more"), "first")
+        more = F.coalesce("more", F.lit(False))
+        next_rank = tables.keep(rank.join(found, "p", "left").select("p", "e", "line", F.coalesce("new", "r").alias("r"), more.alias("many"), (more & (F.col("p") > F.col("first"))).alias("later")))
         if later is None:
-            later = found.where("more and p > first").select("p")
-        joined = rank.join(found.select("p", "new", "more"), "p", "left")
-        next_rank = tables.keep(joined.select("p", "e", "line", F.coalesce("new", "r").alias("r"), F.coalesce("more", F.lit(False)).alias("many")))
-        tables.drop(rank)
+            later = next_rank.where("later").select("p")
+        elif m > 2:
+            tables.drop(rank)  # the first level's tells the later pairs
         rank, m = next_rank, 2 * m
         if rank.where("many").limit(1).count() == 0:
             return rank.select("p", "e", "line", F.col("r").alias("rank")), later
@@ -106,18 +114,18 @@ def common_prefixes(array: DataFrame, tables: Tables) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, *, min_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h (text hash), n_lines, longest_run, deleted (line numbers, from 0) of each document with text that has lines."""
+    """id, h (text hash), longest_run, deleted (line numbers, from 0) of each document that has a repeated line."""
     tables = Tables(docs.sparkSession, "lines")
     lines = tables.keep(line_table(docs, id_col, text_col, min_words))
     place = F.struct("id", "h", "k")
     ids = lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     shared = tables.keep(lines.join(ids, ["k1", "k2"]).withColumn("copy", ~place.eqNullSafe(F.col("first"))).drop("first").dropDuplicates(["id", "h", "k"]))
-    ids = tables.keep(running(shared.groupBy("k1", "k2").agg(F.count("*").alias("n")), ["k1", "k2"], F.col("n"), tables))
+    rows = shared.count()
+    ids = tables.keep(running(shared.groupBy("k1", "k2").agg(F.count("*").alias("n")), ["k1", "k2"], F.col("n"), rows, tables))
     ids = ids.select("k1", "k2", F.col("before").alias("line"), (F.col("n") > 1).alias("many"))
     shared = shared.join(ids, ["k1", "k2"]).select("id", "h", "k", "ln", "enough", "line", "many", "copy")
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = shared.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "k").withColumn("part", F.spark_partition_id())
+    ordered = shared.repartitionByRange(parts(docs, rows), "id", "h").sortWithinPartitions("id", "h", "k").withColumn("part", F.spark_partition_id())
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Positions within a partition, with a gap after each island."""
@@ -147,9 +155,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 2, id_col: str = "doc_id
     marked = spots.join(pairs, "p", "left").join(longest, "p", "left")
     gone = F.col("copy") & (F.col("enough") | F.coalesce("in_pair", F.lit(False)))
     found = marked.groupBy("id", "h").agg(F.collect_list(F.when(gone, F.col("ln"))).alias("deleted"), F.max("longest").alias("longest_run"))
-    total = lines.groupBy("id", "h").agg(F.countDistinct("ln").alias("n_lines"))
-    out = total.join(found, total["id"].eqNullSafe(found["id"]) & (total["h"] == found["h"]), "left").select(total["id"], total["h"], "n_lines", F.coalesce("longest_run", F.lit(0)).cast("long").alias("longest_run"), F.coalesce(F.array_distinct("deleted"), F.array().cast("array<int>")).alias("deleted"))
-    return out.withColumnRenamed("id", id_col)
+    return found.select(F.col("id").alias(id_col), "h", F.col("longest_run").cast("long").alias("longest_run"), F.array_distinct("deleted").alias("deleted"))
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,18 +163,22 @@ def drop_repeated_lines(docs: DataFrame, *, min_words: int = 2, id_col: str = "d
     found = repeated_lines(docs, min_words=min_words, id_col=id_col, text_col=text_col).withColumnsRenamed({id_col: "__id", "h": "__h", "deleted": "__deleted"})
     src = docs.drop("n_lines", "longest_run", "n_deleted")
     joined = src.join(found, src[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(src[text_col]) == F.col("__h")) & src[text_col].isNotNull(), "left").drop("__id", "__h")
-    joined = joined.withColumn("n_lines", F.coalesce("n_lines", F.lit(0)).cast("long")).withColumn("longest_run", F.coalesce("longest_run", F.lit(0)).cast("long")).withColumn("n_deleted", F.greatest(F.size("__deleted"), F.lit(0)).cast("long"))
-    at, gone = joined.columns.index(text_col), joined.columns.index("__deleted")
-    kept = [i for i in range(len(joined.columns)) if i != gone]
+    joined = joined.withColumn("n_lines", F.lit(0).cast("long")).withColumn("longest_run", F.coalesce("longest_run", F.lit(0)).cast("long")).withColumn("n_deleted", F.greatest(F.size("__deleted"), F.lit(0)).cast("long"))
+    names = [c for c in joined.columns if c != "__deleted"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for i, lines in enumerate(b.column(gone).to_pylist()):
-                if lines:
-                    out = set(lines)
-                    rest = [x for j, x in enumerate(texts[i].split("\n")) if j not in out]
-                    texts[i] = "\n".join(rest) if any(x.strip(BLANK) for x in rest) else ""
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in kept], [b.schema.names[i] for i in kept])
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            texts, n_lines = columns[text_col].to_pylist(), []
+            for i, gone in enumerate(columns["__deleted"].to_pylist()):
+                lines = (texts[i] or "").split("\n")
+                full = [bool(x.strip(BLANK)) for x in lines]
+                n_lines.append(sum(full))
+                if gone:
+                    out = set(gone)
+                    rest = [j for j in range(len(lines)) if j not in out]
+                    texts[i] = "\n".join(lines[j] for j in rest) if any(full[j] for j in rest) else ""
+            columns |= {text_col: pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     return joined.mapInArrow(cut, joined.drop("__deleted").schema)
