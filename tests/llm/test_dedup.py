@@ -67,6 +67,20 @@ def test_no_passages_in_an_empty_table(spark):
     assert substring_dedup.shared_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_no_partner_is_dropped_for_stronger_ones(spark):
+    words = [f"w{i}" for i in range(200)]
+    edits = [[w if i % every else f"e{n}x{i}" for i, w in enumerate(words)] for n, every in enumerate((20, 25, 30, 35))]
+    texts = [" ".join(w) for w in [*edits, words]]
+    got = substring_dedup.shared_passages(spark.createDataFrame(list(enumerate(texts)), DOCS)).where("doc_id = 4")
+    assert {r.other_id for r in got.collect()} == {0, 1, 2, 3}
+
+
+def test_loose_chains_do_not_push_out_a_passage(spark):
+    seeds = spark.createDataFrame([(9, x, of, x + d) for of, d, xs in ((1, 0, range(0, 180, 20)), (2, 5, range(0, 180, 20)), (3, 9, (80, 90, 100))) for x in xs], "id long, x int, of long, y int")
+    got = substring_dedup.chained(seeds, k=5, spread=12).collect()
+    assert 3 in {r.of for r in got}
+
+
 def test_chains_are_the_best_ordered_matches(monkeypatch):
     monkeypatch.setattr(substring_dedup, "LONG_GAP", 1000)
     rng = random.Random(1)
