@@ -81,6 +81,16 @@ def test_loose_chains_do_not_push_out_a_passage(spark):
     assert 3 in {r.of for r in got}
 
 
+def test_a_passage_is_found_past_stray_seeds_and_short_periods(spark):
+    passage = [f"p{i}" for i in range(60)]
+    stray = [" ".join([f"s{i}x{j}" for j in range(60)] + passage[i : i + 5] + [f"r{i}x{j}" for j in range(60)]) for i in range(56) for _ in range(20)]
+    line = " ".join(f"l{i}" for i in range(7))
+    texts = [" ".join(passage), *stray, " ".join(passage + ["end"]), " ".join(["word"] * 70), "start " + " ".join(["word"] * 60), " ".join([line] * 12), "x " + " ".join([line] * 9)]
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    n = len(stray) + 1
+    assert {(n, 0), (n + 2, n + 1), (n + 4, n + 3)} <= got
+
+
 def test_chains_are_the_best_ordered_matches(monkeypatch):
     monkeypatch.setattr(substring_dedup, "LONG_GAP", 1000)
     rng = random.Random(1)
