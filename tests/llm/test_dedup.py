@@ -91,6 +91,29 @@ def test_a_passage_is_found_past_stray_seeds_and_short_periods(spark):
     assert {(n, 0), (n + 2, n + 1), (n + 4, n + 3)} <= got
 
 
+def test_a_passage_is_found_beside_a_stray_seed(spark):
+    passage, phrase = [f"p{i}" for i in range(60)], [f"f{i}" for i in range(5)]
+    between = lambda c: [f"{c}{i}" for i in range(24)]
+    texts = [" ".join([*between("m"), *phrase, *between(c), *passage, *between(d), *phrase, *between(c + d)]) for c, d in ("ab", "gh")]
+    got = substring_dedup.shared_passages(spark.createDataFrame(list(enumerate(texts)), DOCS), spread=1).collect()
+    assert any(set(range(53, 113)) <= set(range(r.start, r.end)) and r.similarity >= 0.8 for r in got)
+
+
+def test_windows_and_matches_against_brute_force(monkeypatch):
+    rng = random.Random(5)
+    for bits in (1 << 28, 30):
+        monkeypatch.setattr(substring_dedup, "MAX_BITS", bits)
+        for _ in range(200):
+            a, b = ([rng.randint(0, 6) for _ in range(rng.randint(1, 40))] for _ in range(2))
+            at = substring_dedup.matches(a, b)
+            assert len(at) == substring_dedup.common(np.array(a, np.uint32), np.array(b, np.uint32)) and all(a[i] == b[j] for i, j in at)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(at, at[1:]))
+            size = lambda f, e: max(at[e][0] - at[f][0], at[e][1] - at[f][1]) + 1
+            fits = [size(f, e) for f in range(len(at)) for e in range(f, len(at)) if size(f, e) >= 8 and e - f + 1 >= 0.6 * size(f, e)]
+            got = substring_dedup.windows(np.array(at).reshape(-1, 2), 8, 0.6)
+            assert max((size(f, e) for f, e in got), default=0) == max(fits, default=0)
+
+
 def test_chains_are_the_best_ordered_matches(monkeypatch):
     monkeypatch.setattr(substring_dedup, "LONG_GAP", 1000)
     rng = random.Random(1)
