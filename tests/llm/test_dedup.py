@@ -114,6 +114,21 @@ def test_windows_and_matches_against_brute_force(monkeypatch):
             assert max((size(f, e) for f, e in got), default=0) == max(fits, default=0)
 
 
+def test_passages_with_many_edits_are_found(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"r{rng.getrandbits(60)}" for _ in range(n)]
+    rows, want = [], 0
+    for i in range(120):
+        passage = fresh(60)
+        changed = list(passage)
+        for j in rng.sample(range(60), (6, 9, 11)[i % 3]):
+            changed[j] = fresh(1)[0]
+        rows += [(2 * i, " ".join(fresh(70) + passage + fresh(70))), (2 * i + 1, " ".join(fresh(50) + changed + fresh(50)))]
+        want += 1
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got <= {(2 * i + 1, 2 * i) for i in range(120)} and len(got) >= 0.97 * want
+
+
 def test_chains_are_the_best_ordered_matches(monkeypatch):
     monkeypatch.setattr(substring_dedup, "LONG_GAP", 1000)
     rng = random.Random(1)
