@@ -2,7 +2,7 @@
 
 A token that may be disguised (look-alike digits and signs, separators between letters, letters drawn out or
 spaced apart) becomes a lattice: each character offers the letters it may stand for, separators may vanish,
-runs may shrink. A Viterbi pass under a character trigram model picks the likeliest reading. The
+runs may shrink, and between spaced letters a word may end. A Viterbi pass under a character trigram model picks the likeliest reading. The
 model counts the words of the whole corpus; its alphabet is fixed (at most 60 symbols), so its table is
 bounded while its counts are not.
 
@@ -37,11 +37,12 @@ from .compression_quality import labelled_sample
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 #: The letters that a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "*": "aeiou"}
-SUBSTITUTED, VANISHED, SEPARATED, SHRUNK = -1.0, -9.0, -0.5, -0.5
+SUBSTITUTED, VANISHED, SEPARATED, SHRUNK, BROKEN = -1.0, -9.0, -0.5, -0.5, -1.0
 PLAIN = re.compile(r"[^\w@$]*([^\W\d_]+)(?:['’][^\W\d_]+)?\W*")
 DRAWN_OUT = re.compile(r"([^\W\d_])\1\1")
 WORDS = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){3,}\S(?!\S)")
+ONE = r"[^\w\s]{0,3}\S[^\w\s]{0,3}"
+SPACED = re.compile(rf"(?<!\S)(?:{ONE}[ \t]+){{2,}}{ONE}(?!\S)")
 MAX_MEMO = 400_000
 
 
@@ -107,12 +108,12 @@ class Restorer:
     def __init__(self, model: CharacterModel) -> None:
         self.model = model
 
-    def options(self, token: str) -> list[list[tuple[str, float]]]:
+    def options(self, token: str, inner: bool = False) -> list[list[tuple[str, float]]]:
         """The lattice: for each run of one character, (reading, cost)."""
         runs = [m[0] for m in re.finditer(r"(.)\1*", token, re.S)]
         out = []
         for i, run in enumerate(runs):
-            c, n, edge = run[0], len(run), i in (0, len(runs) - 1)
+            c, n, edge = run[0], len(run), i in (0, len(runs) - 1) and not (inner and len(runs) == 1)
             if c.isalpha():
                 out.append([(run, 0.0)] if n == 1 else [(c, SHRUNK * (n == 2) * 4), (2 * c, 0.0)])
             elif c in LOOKALIKES:
@@ -121,21 +122,24 @@ class Restorer:
                 out.append([("", SEPARATED)])
         return out
 
-    def decode(self, token: str) -> str:
-        """The likeliest reading; states are the last two letters."""
+    def decode(self, *tokens: str) -> str:
+        """The likeliest reading; states are the last two letters. Between tokens a word may end, which reads as a space."""
         score = self.model.score
         states: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
-        for choices in self.options(token):
-            new: dict[str, tuple[float, tuple]] = {}
-            for before, (s, path) in states.items():
-                for reading, cost in choices:
-                    t, at = s + cost, before
-                    for ch in reading:
-                        t += score(at, ch)
-                        at = at[1] + (ch if ch in LETTERS else "?")
-                    if at not in new or t > new[at][0]:
-                        new[at] = (t, (path, reading) if reading else path)
-            states = new
+        for k, token in enumerate(tokens):
+            if k and (ends := [(s + score(at, "^") + BROKEN, (p, " ")) for at, (s, p) in states.items() if at != "^^"]):
+                states["^^"] = max([*ends, *([states["^^"]] if "^^" in states else [])])
+            for choices in self.options(token, 0 < k < len(tokens) - 1):
+                new: dict[str, tuple[float, tuple]] = {}
+                for before, (s, path) in states.items():
+                    for reading, cost in choices:
+                        t, at = s + cost, before
+                        for ch in reading:
+                            t += score(at, ch)
+                            at = at[1] + (ch if ch in LETTERS else "?")
+                        if at not in new or t > new[at][0]:
+                            new[at] = (t, (path, reading) if reading else path)
+                states = new
         _, path = max((s + score(at, "^"), p) for at, (s, p) in states.items())
         parts = []
         while path:
@@ -156,7 +160,7 @@ class Restorer:
 
     def spaced(self, text: str) -> Iterator[str]:
         for m in SPACED.finditer(text):
-            yield self.decode("".join(m[0].split()))
+            yield from self.decode(*m[0].split()).split()
 
 
 def features(word: str) -> list[str]:

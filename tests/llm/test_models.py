@@ -74,6 +74,16 @@ def test_decoding_restores_disguises():
     assert list(r.spaced("you c l o w n there")) == ["clown"]
 
 
+def test_spaced_words_are_told_apart():
+    counts = {}
+    for w in ["idiot", "stupid", "clown", "ass", "are", "a", "the", "and", "of", "loser"]:
+        for t in toxicity.word_trigrams(w):
+            counts[t] = counts.get(t, 0) + 100
+    r = toxicity.Restorer(toxicity.CharacterModel(counts))
+    for shown, meant in (("are a s t u p i d the", "stupid"), ("c l o w n i d i o t", "clown"), ("c l o w n i d i o t", "idiot"), ("the i d i o t! and", "idiot"), ("s t u p i d.", "stupid"), ("the a s s of", "ass")):
+        assert meant in list(r.spaced(shown)), shown
+
+
 def test_token_counts_are_the_librarys(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = P.path("piece_bpe_32k.model")
