@@ -543,6 +543,54 @@ def hybrid_retrieve(spark, sf_dir):
     return retrieve.hybrid_retrieve(d, q, R.as_of(), embeddings=v).select("query_id", *long("rank"), "doc_id", dec("score", 4))
 
 
+# -- the operators that the queries above give a part of the rows to, over all rows with their own defaults (no SQL: the tests hold them against brute force) --
+
+
+@query
+def answer_context_all(spark, sf_dir):
+    p = docs_of(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("query_id"), (F.col("doc_id") % 10 + 1).cast("int").alias("rank"), "source", "text")
+    return R.answer_context(p).select("query_id", F.sha2("context", 256).alias("hash"), F.length("context").cast("long").alias("n_chars"))
+
+
+@query
+def normalize_text_all(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
+
+
+def asked_vectors(v: DataFrame) -> DataFrame:
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query
+def vector_topk_all(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return vector.nearest(v, asked_vectors(v)).select("query_id", *long("rank"), "vec_id", dec("distance"), dec("score"))
+
+
+@query
+def hybrid_merge_all(spark, sf_dir):
+    a = lexical.bm25(docs_of(spark, sf_dir), asked(spark, RETRIEVAL), top_k=50).select((F.col("query_id") * 50).alias("query_id"), "doc_id", "score")
+    v = table(spark, sf_dir, "embeddings")
+    b = vector.nearest(v, asked_vectors(v), top_k=50).select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    return fusion.merge(a, b, "doc_id").select("query_id", "doc_id", dec("score", 4))
+
+
+@query
+def jaccard_pairs_all(spark, sf_dir):
+    return fusion.similar_pairs(listed(spark, sf_dir)).select("query_id", *long("first", "second"), dec("similarity"))
+
+
+@query
+def greedy_dedup_all(spark, sf_dir):
+    return fusion.drop_similar(listed(spark, sf_dir)).select("query_id", *long("rank"), "doc_id")
+
+
+@query
+def rerank_hook_all(spark, sf_dir):
+    r = listed(spark, sf_dir).withColumns({"query": F.lit("the of and tion"), "score": F.lit(1.0)})
+    return fusion.rerank(r).select("query_id", *long("rank"), "doc_id", dec("rerank"))
+
+
 # -- planner ----------------------------------------------------------------------------------------------------------------------------
 
 
