@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Tables
 from tessera.llm.compression_quality import fit_quality, score_quality
 from tessera.llm.decontaminate import contamination
 from tessera.llm.line_dedup import drop_repeated_lines
@@ -32,13 +33,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates (one row, should it be repeated); rows without an id go."""
+    """Keeps one row of each group of near-duplicates: the smallest id's (rows without an id last), of rows that repeat it the one with the smallest fingerprint, then text hash."""
     src = docs.select(COLUMNS)
-    groups = near_duplicates(src).where("doc_id is not null")
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    kept = src.join(first, F.col("doc_id") == F.col("kept"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(COLUMNS)
+    # near_duplicates() is given a number for each distinct (id, text), so that rows that repeat an id, or have none, keep their own place
+    tables = Tables(spark, "near")
+    text_hash = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = src.groupBy("doc_id", "text").agg(F.min(F.struct("source", "lang", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
+    rows = tables.keep(rows.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_duplicates(rows, id_col="__row").select(F.col("__row").alias("__r"), "fingerprint", "component_id")
+    marked = rows.join(groups, F.col("__row") == F.col("__r")).withColumn("__key", F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint", text_hash))
+    first = marked.groupBy("component_id").agg(F.min_by("__row", "__key").alias("kept"))
+    return rows.join(first, F.col("__row") == F.col("kept"), "left_semi").select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +72,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each one's documents written to the shared folder and read again."""
-    from tessera.llm.common import Tables
-
     tables = Tables(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):

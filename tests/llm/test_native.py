@@ -239,3 +239,13 @@ def test_pipeline_stages(spark):
     for s, t in brute_targets(sizes).items():
         largest = max(len(r["text"].encode().split()) for r in clean if r["source"] == s)
         assert abs(taken[s] - t) <= max(20, 0.02 * t, largest / 2)  # ten documents a source
+
+
+def test_near_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    texts = [" ".join(f"t{n}x{j}" for j in range(80)) for n in range(5)]
+    rows = [(1, texts[0]), (2, texts[0]), (3, texts[1]), (3, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[4]), (None, texts[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near(spark, docs, "").collect())
+    assert got == sorted([("1", texts[0]), ("3", texts[1]), ("3", texts[2]), ("None", texts[3]), ("None", texts[4])])
