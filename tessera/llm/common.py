@@ -44,11 +44,16 @@ class Tables:
     def __init__(self, spark: SparkSession, tag: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
+    def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        writer = df.write.option("compression", "snappy")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        conf, clean = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        was = conf.get(clean, "false")
+        conf.set(clean, "true")  # the table replaces the shuffles that it was made with
+        try:
+            df.write.option("compression", "snappy").parquet(path)
+        finally:
+            conf.set(clean, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out

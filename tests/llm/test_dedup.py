@@ -76,9 +76,55 @@ def test_no_partner_is_dropped_for_stronger_ones(spark):
 
 
 def test_loose_chains_do_not_push_out_a_passage(spark):
-    seeds = spark.createDataFrame([(9, x, of, x + d) for of, d, xs in ((1, 0, range(0, 180, 20)), (2, 5, range(0, 180, 20)), (3, 9, (80, 90, 100))) for x in xs], "id long, x int, of long, y int")
-    got = substring_dedup.chained(seeds, k=5, spread=12).collect()
-    assert 3 in {r.of for r in got}
+    seeds = spark.createDataFrame([(9, x, of, x + d, 5) for of, d, xs in ((1, 0, range(0, 180, 20)), (2, 5, range(0, 180, 20)), (3, 9, (80, 90, 100))) for x in xs], "a long, x int, b long, y int, n int")
+    got = substring_dedup.chained(seeds, k=5).collect()
+    assert 3 in {r.b for r in got}
+
+
+@pytest.mark.parametrize("parts", ["2", "7"])
+def test_competing_fragments_hide_no_passage(spark, parts):
+    """20 pairs share 80 words; other documents, before and between, hold only 12-word fragments of them."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"r{rng.getrandbits(60)}" for _ in range(n)]
+    passages = [fresh(80) for _ in range(20)]
+    texts, holders = [], defaultdict(list)
+    for turn in range(2):
+        for p in passages:
+            texts += [fresh(20) + p[i : i + 12] + fresh(20) for i in range(0, 69, 2) for _ in range(2)]
+        for n, p in enumerate(passages):
+            holders[n].append(len(texts))
+            texts.append(fresh(30) + p + fresh(30))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert {(r.doc_id, r.other_id) for r in got} == {(b, a) for a, b in holders.values()}
+
+
+def test_holders_of_one_passage_are_one_class_and_pieces_do_not_matter(spark, monkeypatch):
+    rng = random.Random(6)
+    fresh = lambda n: [f"r{rng.getrandbits(60)}" for _ in range(n)]
+    passage, lone = fresh(60), fresh(60)
+    rows = [(f"d{i:03}", " ".join(fresh(rng.randint(0, 20)) + passage + fresh(rng.randint(0, 20)))) for i in range(200)]
+    rows += [("e1", " ".join(lone + fresh(9))), ("e2", " ".join(fresh(9) + lone)), ("e3", " ".join(fresh(9))), ("e2", " ".join(fresh(60)))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = substring_dedup.shared_passages(df).collect()
+    texts = dict(rows)
+    assert {r.class_id for r in got if r.doc_id[0] == "d" and texts[r.doc_id] != texts[r.other_id]} == {"d000"} and {r.doc_id for r in got} | {r.other_id for r in got} == {r[0] for r in rows} - {"e3"}
+    assert [(r.class_id, r.class_start) for r in got if r.doc_id[0] == "e"] == [("e1", 0)] and len(got) < 2000
+
+
+def test_partners_in_pieces_reach_all_classes():
+    rng = np.random.default_rng(0)
+    n = 500
+    cols = np.zeros(n, np.int64), np.sort(rng.integers(0, 300, n)) << 3 | 7, np.arange(n) + 1, np.zeros(n, np.int32)
+    a, _, b, _, size = substring_dedup.partners(*cols, np.zeros(n, bool), k=5, min_words=50)
+    groups = Groups()
+    for x, y in zip(a, b, strict=True):
+        groups.join(int(x), int(y))
+    assert len({groups.find(int(i)) for i in cols[2]}) == 1 and (a > b).all() and set(size) <= {5, 12, 25, 50} and len(a) <= n * (substring_dedup.NEAR + 1)
 
 
 def test_a_passage_is_found_past_stray_seeds_and_short_periods(spark):
@@ -95,7 +141,7 @@ def test_a_passage_is_found_beside_a_stray_seed(spark):
     passage, phrase = [f"p{i}" for i in range(60)], [f"f{i}" for i in range(5)]
     between = lambda c: [f"{c}{i}" for i in range(24)]
     texts = [" ".join([*between("m"), *phrase, *between(c), *passage, *between(d), *phrase, *between(c + d)]) for c, d in ("ab", "gh")]
-    got = substring_dedup.shared_passages(spark.createDataFrame(list(enumerate(texts)), DOCS), spread=1).collect()
+    got = substring_dedup.shared_passages(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
     assert any(set(range(53, 113)) <= set(range(r.start, r.end)) and r.similarity >= 0.8 for r in got)
 
 
@@ -156,14 +202,26 @@ def test_common_is_the_longest_common_subsequence():
         assert substring_dedup.common(np.array(a, np.uint32), np.array(b, np.uint32)) == t[-1][-1]
 
 
-def test_each_row_of_kmers_has_a_minimizer():
+def test_four_kmers_in_a_row_have_a_seed():
     rng = np.random.default_rng(0)
     for n in (0, 4, 5, 12, 200):
         words = rng.integers(0, 2**63, n).astype(np.uint64)
-        h, at = substring_dedup.minimizers(words, 5, 12)
-        assert len(at) == 0 if n < 5 else np.diff(np.r_[-1, at, n - 4]).max() <= 12
-    h, at = substring_dedup.minimizers(np.full(100, 7, np.uint64), 5, 12)
-    assert len(at) <= 9  # one word repeated has few seeds
+        h, at = substring_dedup.syncmers(words, 5)
+        assert len(at) == 0 if n < 5 else np.diff(np.r_[-1, at, n - 4]).max() <= 4
+        assert (h == substring_dedup.kmers(words, 5)[at]).all() if n >= 5 else True
+    h, at = substring_dedup.syncmers(np.full(100, 7, np.uint64), 5)
+    assert len(at) <= 10  # one word repeated has few seeds
+
+
+def test_contexts_agree_as_far_as_the_words_do():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**63, 90).astype(np.uint64)
+    for same in (5, 12, 30, 50, 70):
+        other = np.r_[rng.integers(0, 2**63, 9).astype(np.uint64), words[:same], rng.integers(0, 2**63, 70).astype(np.uint64)]
+        a, b = substring_dedup.contexts(words, np.array([0]), 50), substring_dedup.contexts(other, np.array([9]), 50)
+        assert substring_dedup.agreement(a, b, 5, 50)[0] == max(n for n in (5, 12, 25, 50) if n <= same)
+    short = substring_dedup.contexts(words[:20], np.array([0]), 50), substring_dedup.contexts(words[:20].copy(), np.array([0]), 50)
+    assert (short[0] == short[1]).all() and substring_dedup.agreement(*short, 5, 50)[0] == 12
 
 
 # -- line dedup -----------------------------------------------------------------------------------------
