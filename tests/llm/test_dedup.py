@@ -205,25 +205,43 @@ def test_common_is_the_longest_common_subsequence():
 def test_four_kmers_in_a_row_have_a_seed():
     rng = np.random.default_rng(0)
     for n in (0, 4, 5, 12, 200):
-        words = rng.integers(0, 2**63, n).astype(np.uint64)
-        h, at = substring_dedup.syncmers(words, 5)
+        at = substring_dedup.syncmers(rng.integers(0, 2**63, n).astype(np.uint64), 5)
         assert len(at) == 0 if n < 5 else np.diff(np.r_[-1, at, n - 4]).max() <= 4
-        assert (h == substring_dedup.kmers(words, 5)[at]).all() if n >= 5 else True
-    h, at = substring_dedup.syncmers(np.full(100, 7, np.uint64), 5)
-    assert len(at) <= 10  # one word repeated has few seeds
+    for period in (1, 2, 7):  # short periods have few seeds
+        assert len(substring_dedup.seeds_of(" ".join(f"w{i % period}" for i in range(1000)), 5, 50)[0]) <= 20 * period + 50
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["Ab, c_d e.f--g  \u3000É1 ... ß\u2028x 'y' 2_3_4\x1cz", "", " . ", "a", "!a b!"]
+    for t in texts:
+        assert substring_dedup.word_hashes(t).tolist() == [xxhash.xxh64_intdigest(w) for w in substring_dedup.WORDS.findall(t.lower())]
 
 
 def test_contexts_agree_as_far_as_the_words_do():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 2**63, 90).astype(np.uint64)
+    context = lambda w, p: substring_dedup.contexts(substring_dedup.Rolling(w), np.array([p]), 50)
     for same in (5, 12, 30, 50, 70):
         other = np.r_[rng.integers(0, 2**63, 9).astype(np.uint64), words[:same], rng.integers(0, 2**63, 70).astype(np.uint64)]
-        a, b = substring_dedup.contexts(words, np.array([0]), 50), substring_dedup.contexts(other, np.array([9]), 50)
-        assert substring_dedup.agreement(a, b, 5, 50)[0] == max(n for n in (5, 12, 25, 50) if n <= same)
-    short = substring_dedup.contexts(words[:20], np.array([0]), 50), substring_dedup.contexts(words[:20].copy(), np.array([0]), 50)
+        assert substring_dedup.agreement(context(words, 0), context(other, 9), 5, 50)[0] == max(n for n in (5, 12, 25, 50) if n <= same)
+    short = context(words[:20], 0), context(words[:20].copy(), 0)
     assert (short[0] == short[1]).all() and substring_dedup.agreement(*short, 5, 50)[0] == 12
 
 
+def test_the_sieve_lets_all_passages_through():
+    rng = np.random.default_rng(2)
+    word = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    a, b = [], []
+    for i in range(300):
+        p = word(50)
+        q = p.copy()
+        q[rng.choice(50, 10, replace=False)] = word(10)
+        a.append(np.r_[word(30), p, word(30)]), b.append(np.r_[word(9), q] if i % 2 else word(100))
+    a.append(word(0)), b.append(word(3))
+    got = substring_dedup.Sieve(50, 0.8)(a, b)
+    assert got[1:300:2].all() and not got[:301:2].any()
+
+
 # -- line dedup -----------------------------------------------------------------------------------------
 
 
