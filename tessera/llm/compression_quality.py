@@ -1,12 +1,13 @@
 """Quality classifier by compression: one zstandard dictionary built from good text, one from bad.
 
-A text is compressed whole with each dictionary and with none. The difference of the two sizes, normalised
-(by the size without a dictionary, by the text's length, and by the sizes' sum), is calibrated to a
-probability by a logistic curve that also sees the plain compression ratio and the length.
+A text is compressed whole with each dictionary. The difference of the two sizes, normalised by their sum and by the text's
+length, is calibrated to a probability by a logistic curve along the size level (with the good dictionary, a byte) and the
+length: a difference means more in a long text, and as much in a text that both dictionaries shrink to nothing.
 
 Fitting uses a bounded sample: up to `per_class` labelled rows of each label, the first in the order of a
-hash of the id. Every second one builds the dictionaries, the others calibrate, weighed to the label
-shares among all labelled rows. Reruns fit the same model.
+hash of the id, and of these no more than `sample_bytes` of text. Every second one builds the dictionaries, the others calibrate, weighed to the label
+shares among all labelled rows. The curve's Newton steps are halved until the penalised likelihood, which has one maximum, rises; if they
+don't settle, fitting raises an error. Reruns fit the same model.
 
 Cases: null and empty texts are scored as texts of no bytes; repeated rows are scored alike; null labels
 don't count, and an id labelled twice counts with its higher label; with no labels of one kind all scores
@@ -24,27 +25,30 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import held_out, worker_model
 
 LEVEL, DICTIONARY_BYTES = 3, 112 << 10
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, in_training, per_class: int, id_col: str, text_col: str) -> tuple[list[tuple], dict[int, int]]:
-    """(text, label) of up to per_class rows of each label, and the number of labelled rows of each."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, in_training, per_class: int, sample_bytes: int, id_col: str, text_col: str) -> tuple[list[tuple], dict[int, int]]:
+    """(text, label) of up to per_class rows of each label and sample_bytes of text in all, and the number of labelled rows of each."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)").where(in_training(F.col("id"))).groupBy("id").agg(F.max("y").cast("int").alias("y"))
-    ids = known.join(docs.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "id", "left_semi")
+    sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size")).where("id is not null").groupBy("id").agg(F.max("size").alias("size"))
+    ids = known.join(sizes, "id")
     shares = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
-    order = [F.xxhash64("id"), F.col("id")]
-    picked = None
+    rows = []
     for y in sorted(shares):
-        part = ids.where(F.col("y") == y).orderBy(*order).limit(per_class)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
-        return [], {}
-    rows = picked.toArrow()  # at most per_class ids of each label
-    chosen = docs.sparkSession.createDataFrame(rows.to_pandas(), "id long, y int") if docs.schema[id_col].dataType.simpleString() in ("bigint", "int") else picked
+        rows += ids.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()  # ids and sizes only
+    chosen, room = [], {y: sample_bytes // 2 for y in shares}
+    for r in rows:
+        if r["size"] <= room[r["y"]]:
+            room[r["y"]] -= r["size"]
+            chosen.append((r["id"], r["y"]))
+    if not chosen:
+        return [], shares
+    chosen = docs.sparkSession.createDataFrame(chosen, StructType([StructField("id", docs.schema[id_col].dataType), StructField("y", IntegerType())]))
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     sample = sorted((r["id"], r["text"], r["y"]) for r in found.collect())
     return [(t, y) for _, t, y in sample], shares
@@ -61,6 +65,9 @@ class Model:
         texts = {y: [t.encode() for t, z in sample if z == y] for y in (0, 1)}
         self.dictionaries = [self.dictionary(texts[y][::2]) for y in (1, 0)]
         rows = [(t, y) for y in (0, 1) for t in (texts[y][1::2] or texts[y])]
+        if len({y for _, y in rows}) < 2:  # no text of one label fits the sample
+            self.constant = shares[1] / total
+            return
         x, y = np.array([self.features(t) for t, _ in rows]), np.array([y for _, y in rows], float)
         weights = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum()) * len(y) / total
         self.low, self.high = x.min(0), x.max(0)
@@ -76,7 +83,7 @@ class Model:
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         def build():
-            out = [zstandard.ZstdCompressor(level=LEVEL)]
+            out = []
             for d in self.dictionaries:
                 z = zstandard.ZstdCompressionDict(d)
                 z.precompute_compress(level=LEVEL)
@@ -86,25 +93,39 @@ class Model:
         return worker_model(self.key, build)
 
     def features(self, text: bytes) -> list[float]:
-        plain, good, bad = (len(c.compress(text)) for c in self.compressors())
+        good, bad = (len(c.compress(text)) for c in self.compressors())
         n = len(text) + 1
-        return [(good - bad) / plain, (good - bad) / n, (good - bad) / (good + bad), plain / n, np.log(n)]
+        return [(good - bad) / (good + bad), (good - bad) / n, good / n, np.log(n)]
 
     def design(self, x: np.ndarray) -> np.ndarray:
         z = (np.clip(x, self.low, self.high) - self.mean) / self.spread
-        return np.c_[z, z[:, :3] * z[:, 3:4], z * z, np.ones(len(z))]
+        by_sum, by_length, level, length = z.T
+        return np.c_[z, z * z, by_sum * level, by_sum * length, by_length * length, level * length, np.ones(len(z))]
 
     @staticmethod
     def fit(a: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-        """Newton steps of a ridge logistic regression."""
+        """A ridge logistic regression by damped Newton steps."""
         w = np.zeros(a.shape[1])
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            h = (a * (weights * p * (1 - p) + 1e-9)[:, None]).T @ a + ridge * np.eye(len(w))
-            step = np.linalg.solve(h, a.T @ (weights * (y - p)) - ridge * w)
-            w += step
-            if np.abs(step).max() < 1e-8:
+
+        def likelihood(w: np.ndarray) -> float:
+            z = a @ w
+            return float((weights * (y * z - np.logaddexp(0, z))).sum() - ridge / 2 * w @ w)
+
+        now = likelihood(w)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+            slope = a.T @ (weights * (y - p)) - ridge * w
+            step = np.linalg.solve((a * (weights * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), slope)
+            if slope @ step < 1e-9 * len(y):
+                return w
+            size = 1.0
+            while (new := likelihood(w + size * step)) <= now and size > 1e-12:
+                size /= 2
+            if new <= now:  # as near as doubles get
                 break
+            w, now = w + size * step, new
+        if slope @ step > 1e-5 * len(y):
+            raise ArithmeticError("the calibration doesn't settle")
         return w
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -114,8 +135,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a @ self.coefficients, -30, 30)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 3, remainder: int = 1, per_class: int = 1600) -> Model:
-    sample, shares = labelled_sample(docs, labels, label_col, lambda c: ~held_out(c, modulus, remainder), per_class, id_col, text_col)
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 3, remainder: int = 1, per_class: int = 1600, sample_bytes: int = 64 << 20) -> Model:
+    sample, shares = labelled_sample(docs, labels, label_col, lambda c: ~held_out(c, modulus, remainder), per_class, sample_bytes, id_col, text_col)
     return Model(sample, shares)
 
 

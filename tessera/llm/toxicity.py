@@ -7,9 +7,11 @@ model counts the words of the whole corpus; its alphabet is fixed (at most 60 sy
 bounded while its counts are not.
 
 Restored words are scored by a lexicon learned from a bounded sample: up to `per_class` labelled
-rows of each label, the first in the order of a hash of the id; near copies among them count once. Words that
-are common in toxic rows and hardly occur in others are entries; then words and word beginnings are added greedily,
-each for the toxic rows that no earlier one explains. A text's score combines what its entries are
+rows of each label, the first in the order of a hash of the id, and no more than `sample_bytes` of text; near copies among them count once.
+An entry is a word, or a word beginning with how many different words of a text have it (1 to 4): where words are built from
+parts, one with a beginning means little and several much. Entries are proposed by one half of the sample and kept
+if they hold on the other. Of these the lexicon takes, greedily, those that explain most toxic rows less the rows that
+they'd accuse wrongly, until each row is explained COVER times. A text's score combines what its entries are
 worth (noisy or), starting from the rate among texts without any.
 
 Cases: null and empty texts score the rate of texts without lexicon words; null labels don't count, and
@@ -44,6 +46,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 ONE = r"[^\w\s]{0,3}\S[^\w\s]{0,3}"
 SPACED = re.compile(rf"(?<!\S)(?:{ONE}[ \t]+){{2,}}{ONE}(?!\S)")
 MAX_MEMO = 400_000
+#: Entries that explain a toxic row before it counts as explained; the most words with a beginning that are told apart.
+COVER, MOST = 3, 4
 
 
 class CharacterModel:
@@ -163,8 +167,14 @@ class Restorer:
             yield from self.decode(*m[0].split()).split()
 
 
-def features(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in range(4, min(len(word), 8)))]
+def beginnings(word: str) -> list[str]:
+    return [word[:k] for k in range(4, min(len(word), 8))]
+
+
+def row_features(words: set[str]) -> set:
+    """The words, and (beginning, n) for each of 1 to MOST different words with it."""
+    counts = Counter(b for w in words for b in beginnings(w))
+    return words | {(b, m) for b, n in counts.items() for m in range(1, min(n, MOST) + 1)}
 
 
 class Model:
@@ -175,55 +185,49 @@ class Model:
             return
         restorer = Restorer(CharacterModel(trigrams))
         memo: dict[str, list[str]] = {}
-        rows: dict[str, list[int]] = defaultdict(list)
+        rows: tuple[dict, dict] = defaultdict(list), defaultdict(list)  # those of each half that have a feature
         toxic: list[int] = []
         seen: set[tuple] = set()
         for text, y in sample:
             found, t = set(), text.lower()
             for token in set(t.split()):
                 if token not in memo:
-                    memo[token] = [f for w in restorer.words(token) for f in features(w)]
+                    memo[token] = restorer.words(token)
                 found.update(memo[token])
-            for w in restorer.spaced(t):
-                found.update(features(w))
+            found.update(restorer.spaced(t))
             sketch = (y, *(min((crc32(f.encode(), k) for f in found), default=0) for k in (1, 2)))
             if sketch in seen:
                 continue
             seen.add(sketch)
-            for f in found:
-                rows[f].append(len(toxic))
+            for f in row_features(found):
+                rows[len(toxic) % 2][f].append(len(toxic))
             toxic.append(y)
         n1, n0 = sum(toxic), len(toxic) - sum(toxic)
         weigh = (shares[0] / max(n0, 1)) / (shares[1] / max(n1, 1))  # of a row that isn't toxic
-        value, common = {}, max(least, n1 / 100)
-        for f, at in rows.items():
-            good = sum(toxic[i] for i in at)
-            if good >= least:
-                bad = weigh * (len(at) - good)
-                if good / (good + bad) >= 0.8:
-                    value[f] = (good, bad, [i for i in at if toxic[i]])
-                    if good >= common and good / (good + bad) >= 0.95 and f[-1] != "*":
-                        self.lexicon[f] = (good + 1) / (good + bad + 2)
-        widest: Counter = Counter()  # the rows of the commonest word with a beginning
-        for f, (good, _, _) in value.items():
-            if f[-1] != "*":
-                for g in features(f)[1:]:
-                    widest[g] = max(widest[g], good)
-        for f, (good, bad, _) in value.items():
-            if f[-1] == "*" and good >= max(common, 3 * widest[f]) and good / (good + bad) >= 0.95:
-                self.lexicon[f] = (good + 1) / (good + bad + 2)
-        open_rows = {i for i, y in enumerate(toxic) if y} - {i for f in self.lexicon for i in value[f][2]}
-        queue = sorted(f for f in value if f not in self.lexicon)
-        while queue:  # greedily, what explains most of the rows still open; a beginning must beat a word clearly
-            best = max(((sum(i in open_rows for i in value[f][2]) - value[f][1]) * (0.9 if f[-1] == "*" else 1), len(f), f) for f in queue)
-            if best[0] < least:
+        count = lambda at: (good := sum(toxic[i] for i in at), weigh * (len(at) - good))
+        kept = {}
+        for f, at in rows[0].items():
+            if len(at) >= least:
+                good, bad = count(at)
+                other = rows[1].get(f, [])
+                good2, bad2 = count(other)
+                if good >= least and good >= 0.8 * (good + bad) and good2 >= 2 and good2 >= 0.7 * (good2 + bad2):
+                    kept[f] = (good + good2, bad + bad2, {i for i in at + other if toxic[i]})
+        left = dict.fromkeys((i for i, y in enumerate(toxic) if y), COVER)
+        unexplained = set(left)
+        while kept:
+            gain, _, f = max((sum(i in left for i in at) - bad, str(f), f) for f, (_, bad, at) in kept.items())
+            if gain < least:
                 break
-            good, bad, at = value[best[2]]
-            self.lexicon[best[2]] = (good + 1) / (good + bad + 2)
-            open_rows -= set(at)
-            queue = [f for f in queue if f != best[2] and any(i in open_rows for i in value[f][2])]
+            good, bad, at = kept.pop(f)
+            self.lexicon[f] = (good + 1) / (good + bad + 2)
+            unexplained -= at
+            for i in at & left.keys():
+                left[i] -= 1
+                if not left[i]:
+                    del left[i]
         clean = shares[0] / shares[1] * n1
-        self.rate = (len(open_rows) + 0.5) / (len(open_rows) + clean + 1)
+        self.rate = (len(unexplained) + 0.5) / (len(unexplained) + clean + 1)
 
     def scorer(self) -> Scorer:
         return worker_model(self.key, lambda: Scorer(self))
@@ -232,10 +236,13 @@ class Model:
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.restorer, self.memo = model, Restorer(CharacterModel(model.trigrams)), {}
-        self.known = {re.sub(r"(.)\1", r"\1", f): f for f in model.lexicon if f[-1] != "*"} | {f: f for f in model.lexicon}  # a doubled letter may be read once
+        whole = [f for f in model.lexicon if isinstance(f, str)]
+        self.known = {re.sub(r"(.)\1", r"\1", f): f for f in whole} | {f: f for f in whole}  # a doubled letter may be read once
+        self.begins = {f[0] for f in model.lexicon if isinstance(f, tuple)}
 
-    def entries(self, words: list[str]) -> tuple[str, ...]:
-        return tuple(self.known[f] for w in words for f in features(w) if f in self.known)
+    def telling(self, words: list[str]) -> tuple[str, ...]:
+        """The words that the lexicon may know."""
+        return tuple(self.known.get(w, w) for w in words if w in self.known or any(b in self.begins for b in beginnings(w)))
 
     def score(self, text: str) -> float:
         m = self.model
@@ -248,19 +255,18 @@ class Scorer:
             if e is None:
                 if len(memo) > MAX_MEMO:
                     memo.clear()
-                e = memo[token] = self.entries(self.restorer.words(token))
+                e = memo[token] = self.telling(self.restorer.words(token))
             if e:
                 found.update(e)
-        for w in self.restorer.spaced(t):
-            found.update(self.entries([w]))
+        found.update(self.telling(list(self.restorer.spaced(t))))
         miss = 1 - m.rate
-        for f in found:
-            miss *= 1 - m.lexicon[f]
+        for value in sorted(m.lexicon[f] for f in row_features(found) if f in m.lexicon):
+            miss *= 1 - value
         return 1 - miss
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, remainder: int = 2, per_class: int = 2500) -> Model:
-    sample, shares = labelled_sample(docs, labels, label_col, lambda c: ~held_out(c, modulus, remainder), per_class, id_col, text_col)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, remainder: int = 2, per_class: int = 2500, sample_bytes: int = 64 << 20) -> Model:
+    sample, shares = labelled_sample(docs, labels, label_col, lambda c: ~held_out(c, modulus, remainder), per_class, sample_bytes, id_col, text_col)
     return Model(corpus_trigrams(docs, text_col), sample, shares)
 
 

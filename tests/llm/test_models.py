@@ -1,7 +1,9 @@
 """Quality, toxicity, token counts: held-out accuracy and exact counts."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,51 @@ def test_without_labels_or_documents(tables, report):
     assert len({r.score for r in report(docs, labels.where("quality = 1 and toxic = 1")).collect()}) == 1
 
 
+def labelled(spark, which):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    return spark.read.parquet(f"{d}/documents.parquet"), labels, {r[0]: r[1] for r in labels.select("doc_id", which).collect() if r[1] is not None}
+
+
+def test_quality_fits_settle_on_any_sample(spark):
+    docs, labels, truth = labelled(spark, "quality")
+    rows = docs.join(labels.where("quality is not null"), "doc_id").select("doc_id", "text", "quality").collect()
+    train = [(r.text or "", r.quality) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    test = [((r.text or "").encode(), r.quality) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    shares = {y: sum(q == y for _, q in train) for y in (0, 1)}
+    for seed in range(20):
+        rng = random.Random(seed)
+        kinds = [[(t, y) for t, y in train if y == k] for k in (0, 1)]
+        sample = [r for rows in kinds for r in rng.sample(rows, rng.choice([len(rows), len(rows) * 3 // 4]))]
+        m = compression_quality.Model(sample, shares)
+        p = m.scores([t for t, _ in test]) >= 0.5
+        assert sum(sum(a == y for a, (_, y) in zip(p, test) if y == k) / sum(y == k for _, y in test) for k in (0, 1)) / 2 > 0.95
+
+
+def test_an_ill_conditioned_calibration_settles():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 1))
+    a = np.c_[x, x + 1e-9 * rng.normal(size=(300, 1)), 1e4 * x**3, np.ones(300)]
+    y = (x[:, 0] > 0).astype(float)  # separable
+    w = compression_quality.Model.fit(a, y, np.ones(300))
+    assert np.isfinite(w).all() and ((a @ w > 0) == (y > 0)).mean() > 0.97
+
+
+def test_samples_are_bounded_in_bytes(tables):
+    docs, labels, _ = tables
+    keep = lambda c: c.isNotNull()
+    all_rows, shares = compression_quality.labelled_sample(docs, labels, "quality", keep, 1000, 1 << 30, "doc_id", "text")
+    some, same = compression_quality.labelled_sample(docs, labels, "quality", keep, 1000, 20_000, "doc_id", "text")
+    assert shares == same and 0 < sum(len(t.encode()) for t, _ in some) <= 20_000 < sum(len(t.encode()) for t, _ in all_rows)
+
+
+def test_toxicity_holds_on_rows_not_learnt_from(spark):
+    docs, labels, truth = labelled(spark, "toxic")
+    got = [(r.predicted, truth[r.doc_id]) for r in toxicity.toxicity_report(docs, labels).collect() if r.held_out and r.doc_id in truth]
+    hits = sum(p and y for p, y in got)
+    assert hits >= 0.9 * sum(p for p, _ in got) and hits >= 0.9 * sum(y for _, y in got)
+
+
 def test_decoding_restores_disguises():
     words = ["idiot", "stupid", "clown", "trash", "the", "and", "of", "loser", "pathetic"]
     counts = {}
