@@ -1,17 +1,19 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-The corpus is read once into postings (term, document, position) of the terms that the benchmark uses, and
-one length posting a document. Each test window (`window` consecutive words of an item; all words of a
-shorter item) is looked up from its rarest term: that term's list, adjusted by the term's offset, gives candidate
-places, which the list of the second rarest term, adjusted likewise, confirms. Places that both lists agree
-on are compared word by word with the document (exact phrases). Proximity matches use the lists alone.
-
-Nothing is broadcast by hand: the vocabulary and item tables are written, so Spark knows their sizes
+A window is `window` consecutive words of a test item (all words of a shorter item); windows that items share are one.
+The corpus is read twice: to count the terms that the benchmark uses, and to write postings (term, document, position) of the two rarest
+terms of each window, with one length posting a document; commoner terms have no postings. A window is looked up from its rarest
+term: that term's list, adjusted by the term's offset, gives candidate places, which the list of the second rarest
+term, adjusted likewise, confirms. Places that both lists agree on are compared word by word with the document (exact phrases): each
+document's words are there once, however many places it has. Proximity matches use the lists alone.
+
+Nothing is broadcast by hand: the vocabulary and window tables are written, so Spark knows their sizes
 and joins them by shuffle when they are large.
 
 Cases: null and empty texts have no words; items without words never occur; documents that repeat both id and
 text have the same result each; a null item id can be hit but isn't among the items counted; ties in
-rarity go to the earlier word; other columns are ignored; empty tables give no rows, or no hits.
+rarity go to the earlier word; very long texts are read whole, and one word repeated has a place for each window and position only; other
+columns are ignored; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -54,42 +56,52 @@ def vocabulary_of(items: DataFrame) -> DataFrame:
     return items.select(F.explode(F.concat("words", F.array(F.lit(LENGTH)))).alias("word")).select(F.xxhash64("word").alias("term")).union(items.sparkSession.range(1).select(F.xxhash64(F.lit(LENGTH)))).distinct()
 
 
-def places(items: DataFrame, index: DataFrame, tables: Tables, window: int) -> DataFrame:
-    """item, id, h, at: where an item's first word would be, if it began before a window that both of the window's rarest lists agree on."""
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
-    at = items.select("item", F.posexplode("words").alias("pos", "word")).withColumn("term", F.xxhash64("word"))
-    known = at.join(counts, "term", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("terms"))
-    width = F.least(F.size("terms"), F.lit(window))
-    windows = known.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("terms") - width + 1), lambda s: F.array_sort(F.transform(F.slice("terms", s, width), lambda t: F.struct(t["n"].alias("n"), t["pos"].alias("pos"), t["term"].alias("term")))))).alias("w"))
-    windows = windows.where(F.col("w")[0]["n"] > 0)
-    pick = lambda i: [F.coalesce(F.get("w", F.lit(i))[c], F.get("w", F.lit(0))[c]).alias(f"{c}{i}") for c in ("pos", "term")]
-    seeds = tables.keep(windows.select("item", *pick(0), *pick(1)).distinct())
-    rarest = seeds.select("item", "pos0", F.col("term0").alias("term")).distinct()
-    first = tables.keep(index.join(rarest, "term").select("item", "pos0", "id", "h", (F.col("pos") - F.col("pos0")).alias("at")).where("at >= 0 - pos0"))
-    wanted = first.join(seeds, ["item", "pos0"]).select("item", "id", "h", "at", F.col("term1").alias("term"), (F.col("at") + F.col("pos1")).alias("pos"))
-    second = index.join(seeds.select(F.col("term1").alias("term")).distinct(), "term", "left_semi").select("term", "id", "h", "pos")
-    agreed = wanted.join(second, (wanted["term"] == second["term"]) & wanted["id"].eqNullSafe(second["id"]) & (wanted["h"] == second["h"]) & (wanted["pos"] == second["pos"]), "left_semi")
-    return tables.keep(agreed.select("item", "id", "h", "at").distinct())
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, found: DataFrame, *, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h, hits (positions of words inside an occurrence of a window), item_ids, for each document with an occurrence."""
-    per = found.join(items, "item").groupBy("id", "h").agg(F.collect_list(F.struct("at", "item_id", F.col("words").alias("item"))).alias("tries"))
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    both = src.join(per.withColumnsRenamed({"id": "id2", "h": "h2"}), src["id"].eqNullSafe(F.col("id2")) & (src["h"] == F.col("h2"))).select("id", "h", F.transform(words(F.col("text")), folded).alias("words"), "tries")
-    both = both.select("id", "h", "words", F.explode("tries").alias("t"))
+def term_counts(docs: DataFrame, vocabulary: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """term, n: occurrences in all texts, counted before the shuffle."""
+    every = docs.select(F.explode(words(F.col(text_col))).alias("w")).select(F.xxhash64(folded(F.col("w"))).alias("term"))
+    return every.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+
+
+def windows_of(items: DataFrame, window: int) -> DataFrame:
+    """item_id, win (a hash), words of the windows of each item."""
+    width = F.least(F.size("words"), F.lit(window))
+    each = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda s: F.slice("words", s, width)))
+    return items.select("item_id", F.explode(each).alias("words")).distinct().withColumn("win", F.xxhash64("words"))
 
-    def starts(item: Column, at: Column) -> Column:
-        """Window starts in the item at which all words agree."""
-        n = F.size(item)
-        width = F.least(n, F.lit(window))
-        same = F.transform(item, lambda x, j: F.coalesce(F.get("words", F.greatest(at + j, F.lit(-1))) == x, F.lit(False)))
-        return F.transform(F.array(same), lambda a: F.filter(F.sequence(F.lit(0), n - width), lambda s: F.forall(F.slice(a, s + 1, width), lambda x: x)))[0]
 
-    begun = both.select("id", "h", F.col("t.item_id").alias("item_id"), F.col("t.at").alias("at"), F.least(F.size("t.item"), F.lit(window)).alias("width"), starts(F.col("t.item"), F.col("t.at")).alias("starts")).where(F.size("starts") > 0)
-    hits = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(F.col("at") + s, F.col("at") + s + F.col("width") - 1))))
-    begun = begun.select("id", "h", "item_id", hits.alias("hits"))
-    return begun.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """win, width, pos0, term0, pos1, term1: the two rarest terms (one twice, if a window has one word) and their places, of each different window whose terms all occur."""
+    each = windows.select("win", "words").distinct()
+    at = each.select("win", F.size("words").alias("width"), F.posexplode("words").alias("pos", "word")).withColumn("term", F.xxhash64("word"))
+    known = at.join(counts, "term", "left").groupBy("win", "width").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "term"))).alias("terms")).where(F.col("terms")[0]["n"] > 0)
+    pick = lambda i: [F.coalesce(F.get("terms", F.lit(i))[c], F.get("terms", F.lit(0))[c]).alias(f"{c}{i}") for c in ("pos", "term")]
+    return known.select("win", "width", *pick(0), *pick(1))
+
+
+def places(rarest: DataFrame, index: DataFrame) -> DataFrame:
+    """win, width, id, h, at: where both rarest terms of a window stand as they would if it began at position `at`."""
+    first = index.join(rarest.withColumnRenamed("term0", "term"), "term").select("win", "width", "id", "h", (F.col("pos") - F.col("pos0")).alias("at"), "pos1", "term1").where("at >= 0")
+    wanted = first.withColumn("pos", F.col("at") + F.col("pos1"))
+    there = wanted["id"].eqNullSafe(index["id"]) & (wanted["h"] == index["h"]) & (wanted["pos"] == index["pos"]) & (wanted["term1"] == index["term"])
+    return wanted.join(index, there, "left_semi").select("win", "width", "id", "h", "at").distinct()
+
+
+def phrase_matches(docs: DataFrame, windows: DataFrame, found: DataFrame, tables: Tables, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Of each document with an occurrence: (id, h, spans = array of (at, end), n_hit words inside them); and (id, h, item_id) of the items."""
+    grams = windows.select("win", F.array_join("words", " ").alias("gram")).distinct()
+    per = found.join(grams, "win").groupBy("id", "h").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("width")).alias("end"), "gram")).alias("tries"))
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    both = src.join(per.withColumnsRenamed({"id": "id2", "h": "h2"}), src["id"].eqNullSafe(F.col("id2")) & (src["h"] == F.col("h2"))).select("id", "h", F.array(F.transform(words(F.col("text")), folded)).alias("once"), "tries")
+    # the words are bound to a lambda variable, or they'd be cut anew for each try
+    same = lambda w: F.filter("tries", lambda t: F.array_join(F.slice(w, t["at"] + 1, t["end"] - t["at"]), " ") == t["gram"])
+    true = tables.keep(both.select("id", "h", F.transform("once", same)[0].alias("tries")).where(F.size("tries") > 0).dropDuplicates(["id", "h"]))
+    spans = F.array_sort(F.transform("tries", lambda t: F.struct(t["at"].alias("at"), t["end"].alias("end"))))  # all different, as places are
+    # each span in turn adds what reaches beyond the spans before it
+    covered = F.aggregate("spans", F.struct(F.lit(0).alias("reach"), F.lit(0).alias("n")), lambda a, s: F.struct(F.greatest(a["reach"], s["end"]).alias("reach"), (a["n"] + F.greatest(s["end"] - F.greatest(a["reach"], s["at"]), F.lit(0))).alias("n")))["n"]
+    hits = true.select("id", "h", spans.alias("spans")).withColumn("n_hit", covered.cast("long"))
+    theirs = true.select("id", "h", F.explode(F.array_distinct(F.transform("tries", lambda t: t["gram"]))).alias("gram"))
+    items = theirs.join(windows.select("item_id", F.array_join("words", " ").alias("gram")), "gram").select("id", "h", "item_id").distinct()
+    return hits, items
 
 
 def proximity_matches(items: DataFrame, index: DataFrame, *, within: int) -> DataFrame:
@@ -105,14 +117,20 @@ def proximity_matches(items: DataFrame, index: DataFrame, *, within: int) -> Dat
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """id, h (text hash), n_words, n_hit, n_items, items_sha256, contaminated of each row."""
+    """id, h (text hash), n_words, n_hit, n_items, items_sha256, contaminated and spans (word positions) of each row."""
     tables = Tables(docs.sparkSession, "index")
-    items = tables.keep(item_words(benchmark, item_id_col, item_text_col))
-    index = build_index(docs, tables.keep(vocabulary_of(items)), tables, id_col=id_col, text_col=text_col)
-    terms = index.where(F.col("term") != F.xxhash64(F.lit(LENGTH)))
-    found = phrase_matches(docs, items, places(items, terms, tables, window), window=window, id_col=id_col, text_col=text_col)
-    found = found.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.size("hits").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"))
-    rows = index.where(F.col("term") == F.xxhash64(F.lit(LENGTH))).select("id", "h", F.col("pos").cast("long").alias("n_words"))
-    out = rows.join(tables.keep(found.distinct()), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
+    windows = tables.keep(windows_of(item_words(benchmark, item_id_col, item_text_col), window))
+    counts = tables.keep(term_counts(docs, tables.keep(windows.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("term")).distinct()), text_col=text_col))
+    rarest = tables.keep(rarest_terms(windows, counts))
+    length = F.xxhash64(F.lit(LENGTH))
+    vocabulary = tables.keep(rarest.select(F.explode(F.array("term0", "term1", length)).alias("term")).union(docs.sparkSession.range(1).select(length)).distinct())
+    index = build_index(docs, vocabulary, tables, id_col=id_col, text_col=text_col)
+    found = tables.keep(places(rarest, index.where(F.col("term") != length)))
+    hits, theirs = phrase_matches(docs, windows, found, tables, id_col=id_col, text_col=text_col)
+    ids = theirs.groupBy("id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    ids = ids.select(F.col("id").alias("i2"), F.col("h").alias("h2"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"))
+    found = hits.join(ids, hits["id"].eqNullSafe(F.col("i2")) & (hits["h"] == F.col("h2"))).select(F.col("id").alias("id2"), F.col("h").alias("hh"), "spans", "n_hit", "n_items", "items_sha256")
+    rows = index.where(F.col("term") == length).select("id", "h", F.col("pos").cast("long").alias("n_words"))
+    out = rows.join(tables.keep(found), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("hh")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(F.col("id").alias(id_col), "h", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select(F.col("id").alias(id_col), "h", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")).alias("spans"))

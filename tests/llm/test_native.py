@@ -102,6 +102,26 @@ def test_contamination_is_the_brute_force_one(spark):
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == brute_contamination(docs, items)
 
 
+def test_contamination_of_one_word_repeated(spark):
+    docs = [(1, "the " * 200_000), (2, "The, " * 9), (3, "the " * 11 + "end"), (1, "the " * 200_000)]
+    items = spark.createDataFrame([("a", "the " * 30), ("b", "the " * 400), ("c", "the end"), ("d", "the")], "item_id string, text string")
+    got = decontaminate.contamination(spark.createDataFrame(docs, DOCS), items).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got) == [(1, 200_000, 200_000, 3), (1, 200_000, 200_000, 3), (2, 9, 9, 1), (3, 12, 12, 4)]
+    assert [[(s.at, s.end) for s in r.spans] for r in got if r.doc_id == 2] == [[(i, i + 1) for i in range(9)]]
+
+
+def test_only_the_rarest_terms_have_postings(spark):
+    from tessera.llm.common import Tables
+
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j") for i in range(20)] + [(99, "x a b c d e f g h i j")], DOCS)
+    windows = decontaminate.windows_of(decontaminate.item_words(spark.createDataFrame([(1, "x a b c d e f g h i j")], "item_id long, text string"), "item_id", "text"), 10)
+    tables = Tables(spark, "test")
+    counts = tables.keep(decontaminate.term_counts(docs, windows.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("term")).distinct()))
+    rarest = decontaminate.rarest_terms(windows, counts).collect()
+    assert counts.count() == 11 and len(rarest) == 2 and {r.width for r in rarest} == {10}
+    assert len({t for r in rarest for t in (r.term0, r.term1)}) <= 4
+
+
 def test_contamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c")], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.contaminated) for r in decontaminate.contamination(docs, bench).collect()] == [(3, False)]
