@@ -276,7 +276,9 @@ def brute_lines(rows, min_words=2):
     return out
 
 
-def test_later_copies_of_line_runs_go(spark):
+@pytest.mark.parametrize("rows_a_task", [50_000, 9])
+def test_later_copies_of_line_runs_go(spark, monkeypatch, rows_a_task):
+    monkeypatch.setattr(line_dedup, "ROWS_A_TASK", rows_a_task)
     rng = random.Random(1)
     kinds = ["a b", "c", "d e f", "", "  g ", "h i\r", "jj kk", "x"]
     rows = [(i, "\n".join(rng.choice([*kinds, *[f"u{i} {rng.random()}"] * 3]) for _ in range(rng.randint(0, 14)))) for i in range(40)]
@@ -294,6 +296,16 @@ def test_later_copies_of_line_runs_go(spark):
     assert plain.count() == len(rows)
 
 
+def test_long_runs_and_one_line_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ROWS_A_TASK", 20_000)
+    run = [f"l{i} x" for i in range(30_000)]
+    other = [*run[:17_000], "odd one", *run[17_001:]]
+    rows = [(1, "\n".join(run)), (2, "\n".join(other)), (3, "same\n" * 50_000), (4, "same"), (5, "a\nb\nsame\nc")]
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [(got[i].n_lines, got[i].n_deleted, got[i].longest_run) for i in range(1, 6)] == [(30_000, 0, 17_000), (30_000, 29_999, 17_000), (50_000, 49_999, 49_999), (1, 0, 1), (4, 0, 1)]
+    assert got[2].text == "odd one" and got[3].text.strip() == "same"
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.drop_repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
 
