@@ -20,11 +20,11 @@ _local_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, one beside the warehouse (one of this machine's in local mode)."""
+    """The folder of spark.checkpoint.dir. Where that is unset, one of this machine's in local mode; a cluster must name one."""
     if d := spark.conf.get("spark.checkpoint.dir", None):
         return d.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local_dir:
         d = tempfile.TemporaryDirectory(prefix="tessera-")
         atexit.register(d.cleanup)
@@ -39,10 +39,11 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 class Tables:
-    """Intermediate tables of one operator call, in the shared folder: each cuts the lineage, so a lost executor costs one stage."""
+    """Intermediate tables of one operator call, in the shared folder: each cuts the lineage, so a lost executor costs one stage. only() drops those that the result doesn't need; the rest go when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, tag: str) -> None:
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.paths = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0, set()
+        atexit.register(self.close)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -56,11 +57,23 @@ class Tables:
             conf.set(clean, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
+        self.paths.discard(df._tessera_path)
         drop_table(self.spark, df._tessera_path)
 
+    def only(self, *needed: DataFrame) -> None:
+        """Drops all tables but these."""
+        for path in self.paths - {df._tessera_path for df in needed}:
+            self.paths.discard(path)
+            drop_table(self.spark, path)
+
+    def close(self) -> None:
+        if self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped():
+            drop_table(self.spark, self.root)
+
 
 _models: dict[str, object] = {}
 

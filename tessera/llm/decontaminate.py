@@ -131,6 +131,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
     ids = ids.select(F.col("id").alias("i2"), F.col("h").alias("h2"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"))
     found = hits.join(ids, hits["id"].eqNullSafe(F.col("i2")) & (hits["h"] == F.col("h2"))).select(F.col("id").alias("id2"), F.col("h").alias("hh"), "spans", "n_hit", "n_items", "items_sha256")
     rows = index.where(F.col("term") == length).select("id", "h", F.col("pos").cast("long").alias("n_words"))
-    out = rows.join(tables.keep(found), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("hh")), "left")
+    found = tables.keep(found)
+    tables.only(index, found)
+    out = rows.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("hh")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(F.col("id").alias(id_col), "h", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")).alias("spans"))

@@ -9,7 +9,7 @@ fractional, and a few documents of all sizes that it leaves out, go on to the ne
 flown one after the other, from the largest documents down: landing rounds the last two or three of an octave so that the
 words come nearest, and the next octave's probabilities make up for what it is off by.
 
-Cases: null texts and texts without words have size 0 and are taken 0 times; a null source is a source of
+Cases: very long texts are sizes like any other; null texts and texts without words have size 0 and are taken 0 times; a null source is a source of
 its own, last in order; each repeated row is a document of its own; ties in size are ordered by id; an
 empty table gives no rows. Moves are drawn from a generator seeded by the source and shard, so reruns agree.
 """
@@ -26,22 +26,35 @@ from pyspark.sql import functions as F
 from .common import WORD, Tables
 
 EDGE = 1e-9
-RESERVE = 16
+#: Documents of all sizes that a shard leaves out of its flight, at least (else an eighth of the shard): the more are left for the landing, the nearer it comes.
+RESERVE = 24
 
 
-def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """source, source_size, n_docs, target: one row a source. The level L with sum(min(cap * size, L * weight)) = share * all sizes is found by sums over sources in the order in which they reach their cap."""
+def numbered(per: DataFrame, tables: Tables) -> DataFrame:
+    """per (one row a source) with `number`, from 0, in the order of sources, null last: counted within ranges, which one row each tells the start of."""
+    n = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col("source").asc_nulls_last()
+    local = tables.keep(per.repartitionByRange(n, key).withColumn("part", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    starts = local.groupBy("part").agg(F.count("*").alias("n"))
+    starts = starts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return local.withColumn("within", within).join(F.broadcast(starts), "part").withColumn("number", F.col("start") + F.col("within")).drop("part", "start", "within")
+
+
+def targets(sizes: DataFrame, tables: Tables, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """source, source_size, n_docs, target: one row a source. What sources above their cap have too much is shared by weight among the others, until none is above: a few sums over sources."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
-    w = F.element_at(F.array(*map(F.lit, weights)), (number % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", w).withColumn("most", cap * F.col("source_size"))
-    line = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    after = line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (share * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    per = per.withColumn("level", level)
-    reached = F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct(F.col("most") / F.col("weight"), "level"))).over(Window.partitionBy())["level"]
-    return per.select("source", "source_size", "n_docs", F.least(F.col("most"), reached * F.col("weight")).alias("target"))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    per = tables.keep(numbered(per, tables).withColumn("weight", w).withColumn("most", cap * F.col("source_size")).drop("number"))
+    level, wanted = 0.0, share * (per.agg(F.sum("source_size")).first()[0] or 0)
+    while True:
+        full = F.col("most") <= level * F.col("weight")
+        held, weight = per.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).first()
+        new = (wanted - (held or 0.0)) / weight if weight else level
+        if new <= level * (1 + 1e-12):
+            break
+        level = new
+    return per.select("source", "source_size", "n_docs", F.least(F.col("most"), level * F.col("weight")).alias("target"))
 
 
 def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -120,45 +133,45 @@ def refine(out: np.ndarray, p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 0, shard: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, source, size, source_size, target, copies, taken: one row a document (copies may be 0)."""
-    spark = docs.sparkSession
+    spark, reserve = docs.sparkSession, max(RESERVE, shard // 8)
     tables = Tables(spark, "mix")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = tables.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
-    goal = tables.keep(targets(sizes, weights=weights, share=share, cap=cap).withColumnRenamed("source", "of"))
+    goal = tables.keep(targets(sizes, tables, weights=weights, share=share, cap=cap).withColumnRenamed("source", "of"))
     largest = goal.agg(F.max("n_docs")).first()[0] or 0
     due = sizes.join(goal, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     due = due.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("whole", F.floor(F.col("rate") + EDGE))
     due = due.withColumn("p", F.when((F.col("size") > 0) & (F.col("rate") - F.col("whole") > EDGE), F.col("rate") - F.col("whole")).otherwise(0.0))
     schema = "id {}, source string, size long, source_size long, n_docs long, target double, whole long, p double, salt long".format(sizes.schema["id"].dataType.simpleString())
 
-    def fly(last: bool):
-        def flown(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["size", "id"], ascending=[False, True], kind="stable")
-            s = rows["size"].to_numpy()
-            rng = np.random.default_rng(zlib.crc32(repr((seed, *map(str, key))).encode()))
-            p = rows["p"].to_numpy(float, copy=True)
-            if last:
-                p = settle(p, s, rng)
-            elif len(p) > RESERVE:
-                fly = np.ones(len(p), bool)
-                fly[np.linspace(0, len(p) - 1, RESERVE).astype(int)] = False
-                p[fly] = flight(p[fly], s[fly], rng)
-            rows["p"] = p
-            return rows
-
-        return flown
-
+    def flown(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "id"], ascending=[False, True], kind="stable")
+        s = rows["size"].to_numpy()
+        rng = np.random.default_rng(zlib.crc32(repr((seed, *map(str, key))).encode()))
+        p = rows["p"].to_numpy(float, copy=True)
+        if key[1] < 0:  # all that is left of a source
+            p = settle(p, s, rng)
+        elif len(p) > reserve:
+            fly = np.ones(len(p), bool)
+            fly[np.linspace(0, len(p) - 1, reserve).astype(int)] = False
+            p[fly] = flight(p[fly], s[fly], rng)
+        rows["p"] = p
+        return rows
+
+    # how a source is dealt to shards follows from its own number of documents alone: `left` of them may be undecided
     done = due.where("p = 0").drop("rate").withColumn("salt", F.lit(0).cast("long"))
-    left, per, turn = due.where("p > 0").drop("rate"), largest, 0
+    left, turn, most = due.where("p > 0").drop("rate").withColumn("left", F.col("n_docs")), 0, largest
     while True:
         turn += 1
-        shards, last = F.ceil(F.col("n_docs") * F.lit(per / max(largest, 1)) / shard), per <= shard
-        salt = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("id", "size", F.lit(turn)), F.greatest(shards, F.lit(1)).cast("long"))
-        flown = tables.keep(left.withColumn("salt", salt).select("id", "source", "size", "source_size", "n_docs", "target", "whole", "p", "salt").groupBy("source", "salt").applyInPandas(fly(last), schema))
-        settled = (F.col("p") < EDGE) | (F.col("p") > 1 - EDGE)
-        done = done.unionByName(flown.where(settled))
-        if last:
+        shards = F.ceil(F.col("left") / shard)
+        salt = F.when(F.col("left") <= shard, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id", "size", F.lit(turn)), F.greatest(shards, F.lit(1)).cast("long"))).cast("long")
+        rows = left.withColumn("salt", salt).select("id", "source", "size", "source_size", "n_docs", "target", "whole", "p", "salt", "left")
+        flying = tables.keep(rows.groupBy("source", "salt").applyInPandas(flown, schema + ", left long"))
+        settled = (F.col("p") < EDGE) | (F.col("p") > 1 - EDGE) | (F.col("salt") < 0)
+        done = done.unionByName(flying.where(settled).drop("left"))
+        if most <= shard:
             break
-        left, per = flown.where(~settled).drop("salt"), -(-per // shard) * (RESERVE + 2)
+        left = flying.where(~settled).drop("salt").withColumn("left", (F.ceil(F.col("left") / shard) * (reserve + 2)).cast("long"))
+        most = -(-most // shard) * (reserve + 2)
     copies = (F.col("whole") + F.round("p")).cast("long")
     return done.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -3,7 +3,7 @@
 A fingerprint is the bitwise majority of the XXH64 values of a text's word shingles. Equal fingerprints are one
 class from the start. The classes are divided by a vantage-point tree: each node holds a fingerprint
 and a radius, and sends a fingerprint inwards or outwards by its Hamming distance to it. The top of the
-tree is built on a bounded sample and cuts the classes into shards. By the triangle bound a fingerprint
+tree is built on a sample (see SAMPLE) and cuts the classes into shards. By the triangle bound a fingerprint
 whose distance is within `distance` of a node's radius may have a partner on the other side: it also
 visits the shards over there (those of a higher number only, as the partner visits the others). Inside a
 shard the tree goes on to small leaves, where every remaining pair is compared. Nothing is missed.
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import Tables
 from .components import connected_components
 
-SAMPLE, SHARD, LEAF = 20_000, 16_384, 256
+#: The sample has SAMPLE fingerprints, or PER_SHARD for each shard where that is more (one class in 4,096).
+SAMPLE, PER_SHARD, SHARD, LEAF = 20_000, 4, 16_384, 256
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -170,8 +171,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = 3, id_co
     marked = tables.keep(fingerprints(docs, words, id_col, text_col))
     classes = tables.keep(marked.groupBy("fp").agg(F.min("id").alias("least")))
     shards = -(-classes.count() // SHARD)
-    sample = np.array([r["fp"] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    sent = spark.sparkContext.broadcast(build_tree(sample, min(shards, len(sample) // 4), np.random.default_rng(42)))  # at most a quarter of the sample's size
+    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, PER_SHARD * shards)).toArrow()
+    sample = sample.column("fp").to_numpy().view(np.uint64) if len(sample) else np.zeros(0, np.uint64)
+    sent = spark.sparkContext.broadcast(build_tree(sample, min(shards, len(sample) // PER_SHARD), np.random.default_rng(42)))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,4 +199,5 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = 3, id_co
     group = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = group.groupBy("root").agg(F.min("least").alias("component_id"))
     group = tables.keep(group.join(least, "root").select("fp", "component_id"))
+    tables.only(marked, group)
     return marked.join(group, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

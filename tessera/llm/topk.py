@@ -10,7 +10,8 @@ queries there are; every block meets all candidates, and no score is skipped.
 
 Cases: vectors that are null or empty of an id, or hold a null or non-finite component, take no part; shorter vectors
 count as zero beyond their end; ties go to the smaller id; repeated candidate rows count separately; a
-query id that is repeated asks once (its first vector in order of components); an empty table gives no rows.
+query id that is repeated asks once (its first vector in order of components); an empty table gives no rows; a score that a long can't hold
+counts in full in the ranking of a task and is given as the nearest long.
 """
 
 from __future__ import annotations
@@ -79,6 +80,9 @@ def exact_top_k(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_
     asked = src.where(is_query(F.col("id")) & F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // queries_per_block))
     spark, tables, parts = vectors.sparkSession, None, []
+    if blocks > 1:  # written once, or each block would gather all queries anew
+        tables = Tables(spark, "topk")
+        asked = tables.keep(asked)
     for number in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow().combine_chunks() if blocks > 1 else asked.toArrow().combine_chunks()
         if not len(block):
@@ -111,7 +115,6 @@ def exact_top_k(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_
 
         part = src.mapInArrow(search, "query_id long, vec_id long, score long")
         if blocks > 1:
-            tables = tables or Tables(spark, "topk")
             part = tables.keep(part)
         parts.append(part)
     if not parts:
