@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions import fixed_values as V
-from .queries import PATHS, QUESTIONS, RETRIEVAL
+from .queries import PATHS, PLANNED, QUESTIONS, RETRIEVAL
 
 
 def q(s: str) -> str:
@@ -310,6 +310,28 @@ ORACLES: dict[str, str] = {
         walk as (select query_id, -1::bigint as rank, []::bigint[] as kept from (select distinct query_id from w)
           union all select k.query_id, k.rank + 1, case when exists (select 1 from bad where bad.query_id = k.query_id and bad.second = k.rank + 1 and list_contains(k.kept, bad.first)) or not exists (select 1 from w where w.query_id = k.query_id and w.rank = k.rank + 1) then k.kept else list_append(k.kept, k.rank + 1) end from walk k where k.rank < 39)
         select f.query_id, w.rank, w.doc_id from (select query_id, unnest(kept) as rank from walk where rank = 39) f join w on w.query_id = f.query_id and w.rank = f.rank""",
+    "hybrid_retrieve": f"""with recursive {PLANNER.replace(values(QUESTIONS), values(PLANNED))}, {DATED},
+        pl as (select query_id, query, {", ".join(f"case query_type {' '.join(f"when '{t}' then {q(p[i]) if i == 0 else 10 * p[i] if i == 1 else str(p[i]).lower()}" for t, p in V.PLANS.items())} end as {n}" for i, n in enumerate(("strategy", "top_k", "use_reranker")))} from c),
+        t0 as (select *, {retrieval_tokens(ascii_lower('query'))} as ts from pl),
+        va as (select *, 0 as variant, ts as terms from t0 union all select *, 1, {retrieval_tokens(f"array_to_string(list_concat(ts, flatten(list_transform(ts, lambda t: case t {WIDE} else [] end))), ' ')")} from t0 where len(flatten(list_transform(ts, lambda t: case t {WIDE} else [] end))) > 0),
+        n as materialized (select doc_id, {ascii_lower('text')} as l from documents),
+        s1 as (select query_id, variant, doc_id, strategy, top_k, 3.0::double * len({matched('l', 'terms')}) / len(terms) + {capped('l', 'terms', 0.5, 2.0)} as score from n, va where length(l) >= 20 and len(terms) > 0 and len({matched('l', 'terms')}) > 0),
+        s2 as (select *, row_number() over (partition by query_id, variant order by round(score, 9) desc, doc_id) as rank from s1),
+        a as (select query_id, doc_id, score as a from (select * from s2 where rank <= top_k * case strategy when 'long_context' then 5 else 3 end) qualify row_number() over (partition by query_id, doc_id order by variant, rank) = 1),
+        vp as (select x.query_id, v.vec_id as doc_id, list_distance(cast(v.embedding as double[]), cast(e.embedding as double[])) as d, top_k from pl x join embeddings e on e.vec_id = x.query_id, embeddings v where strategy = 'hybrid'),
+        b as (select query_id, doc_id, greatest(0, 10 - d) as b from vp qualify row_number() over (partition by query_id order by d, doc_id) <= 3 * top_k),
+        f as (select query_id, doc_id, a, b, count(a) over (partition by query_id) > 0 as lex, count(b) over (partition by query_id) > 0 as vec from a full join b using (query_id, doc_id)),
+        m as (select query_id, doc_id, case when lex and vec then case when a is not null and b is not null then 1.3::double else 1.0::double end * (0.6::double * coalesce(a, 0) + 0.4::double * coalesce(b, 0)) when vec then 0.4::double * b else 0.6::double * a end as score from f),
+        w as materialized (select m.query_id, m.doc_id, score, text, created_at, query, strategy, top_k, use_reranker, {signature('text')} as w, row_number() over (partition by m.query_id order by round(score, 9) desc, m.doc_id) as rank from m join dated using (doc_id) join pl using (query_id)),
+        bad as materialized (select x.query_id, x.rank as first, y.rank as second from w x join w y on x.query_id = y.query_id and x.rank < y.rank where {jaccard('x.w', 'y.w')} > 0.8),
+        walk as (select query_id, 0::bigint as rank, []::bigint[] as kept, max(rank) as last from w group by query_id
+          union all select k.query_id, k.rank + 1, case when exists (select 1 from bad where bad.query_id = k.query_id and bad.second = k.rank + 1 and list_contains(k.kept, bad.first)) then k.kept else list_append(k.kept, k.rank + 1) end, k.last from walk k where k.rank < k.last),
+        u as (select w.*, count(*) over (partition by w.query_id) as n from (select query_id, unnest(kept) as rank from walk where rank = last) g join w using (query_id, rank)),
+        r as (select *, case when use_reranker and strategy <> 'bm25_only' and n > top_k then {jaccard('sq', 'st')} end as rerank from (select *, {signature('query')} as sq, {signature('text').replace('200', '2000')} as st from u)),
+        r2 as (select *, row_number() over (partition by query_id order by round(rerank, 9) desc, round(score, 9) desc, rank) as place from r),
+        z as (select query_id, doc_id, top_k, case when rerank > 0 then 0.5::double * rerank + 0.3::double * score + rc else score + 0.8::double * rc end as score from (select *, exp(-greatest(floor((epoch_us(timestamp '2024-02-01') - epoch_us(created_at)) / 86400000000.0::double), 0) / 365.0::double) as rc from r2 where rerank is null or place <= 2 * top_k)),
+        y as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from z)
+        select query_id, rank, doc_id, round(score, 4) as score from y where rank <= top_k""",
     "classify_queries": f"with {PLANNER} select query_id, query_type, round(confidence, 6) as confidence from c",
     "plan_queries": f"with {PLANNER} select query_id, " + ", ".join(f"case query_type {' '.join(f"when '{t}' then {(q(p[i]) if i == 0 else 10 * p[i] if i == 1 else str(p[i]).lower())}" for t, p in V.PLANS.items())} end as {n}" for i, n in enumerate(("strategy", "top_k", "use_reranker", "use_vectors", "recency_boost"))) + " from c",
     "temporal_expansion": rf"""select query_id, unnest(list_filter([query, query || ' recent latest new', case when regexp_matches(lower(query), '(\d+)\s+(days?|weeks?|months?)\s+ago') then query || ' activity work discussion' end], lambda x: x is not null)) as expanded from {values(QUESTIONS)}""",

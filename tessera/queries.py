@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 #: Queries for retrieval, in the corpus's invented words.
 RETRIEVAL = ["thtion license", "tion thon", "ther thble", "que ciónes de", "license version public work"]
+#: The same, as questions of each type that the planner knows.
+PLANNED = [*RETRIEVAL, "compare license and public work", "define tion version", "latest thble license", "explain the thon version", "fix the error in license work", "my public license"]
 #: Questions for the planner.
 QUESTIONS = ["what is my hardware setup", "compare docker and podman", "recent activity 3 days ago", "explain the overview of the project", "fix the bug in this function", "how many projects do i have", "where is the api endpoint defined", "tell me about llm inference", "difference between gpu and cpu", "hello world", "what did we do last week", "import error traceback in module", "define latency", "my config", "which files are missing from the summary"]
 #: Paths for file classification.
@@ -537,9 +539,10 @@ def rerank_hook(spark, sf_dir):
 
 @query
 def hybrid_retrieve(spark, sf_dir):
+    """Questions of every type, each by its own plan."""
     d = R.dated(docs_of(spark, sf_dir), spark, sf_dir)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    q = asked(spark, RETRIEVAL).join(v.withColumnRenamed("doc_id", "query_id"), "query_id")
+    q = planner.plan(asked(spark, PLANNED)).join(v.withColumnRenamed("doc_id", "query_id"), "query_id")
     return retrieve.hybrid_retrieve(d, q, R.as_of(), embeddings=v).select("query_id", *long("rank"), "doc_id", dec("score", 4))
 
 
