@@ -161,7 +161,7 @@ for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), (
     HTML = f"replace({HTML}, {q(_e)}, {q(_c)})"
 KEYWORD_TERMS = lst(["tion", "thon", "license"])
 CTX = "'[' || rank || '] ' || coalesce(nullif(source, ''), 'unknown') || ': ' || left(text, 500)"
-LISTED = "l as (select doc_id // 40 as query_id, doc_id % 40 as rank, doc_id, left(text, 60) as text from documents)"
+LISTED = "l as (select doc_id // 40 as query_id, doc_id % 40 as rank, doc_id, text from documents)"
 
 WIDE = ", ".join(f"when '{k}' then {lst(v[:2])}" for k, v in V.RETRIEVAL_EXPANSIONS.items()).replace(", when", " when")
 
@@ -187,7 +187,7 @@ def window_end(start: str) -> str:
 ORACLES: dict[str, str] = {
     "expand_queries": f"""select query_id, {EXPAND_INDEX} as index_query, array_to_string(list_concat(ts, flatten(list_transform(ts, lambda t: case t {WIDE} else [] end))), ' ') as retrieval_terms
         from (select *, {retrieval_tokens(ascii_lower('query'))} as ts from {values([*QUESTIONS, 'docker gpu server', 'project age', 'fan model'])})""",
-    "rerank_hook": f"""with l as (select doc_id // 40 as query_id, doc_id % 40 as rank, doc_id, text from documents where doc_id // 40 < 5),
+    "rerank_hook": f"""with l as (select doc_id // 40 as query_id, doc_id % 40 as rank, doc_id, text from documents),
         j as (select *, {signature("'the of and tion'")} as a, {signature('text').replace('200', '2000')} as b from l), r as (select query_id, doc_id, rank, {jaccard('a', 'b')} as rerank from j),
         k as (select query_id, row_number() over (partition by query_id order by round(rerank, 9) desc, rank) as rank, doc_id, rerank from r) select query_id, rank, doc_id, round(rerank, 6) as rerank from k where rank <= 10""",
     "chunk_sliding": f"""with recursive d as (select doc_id, text, length(text) as n from documents where length({strip('text')}) >= 50),
@@ -197,9 +197,9 @@ ORACLES: dict[str, str] = {
         select doc_id, row_number() over (partition by doc_id order by start) - 1 as chunk_index, start as start_char, stop as end_char, sha256(t) as chunk_hash from p where length(t) >= 50""",
     "auto_chunk": f"""with recursive {recursive_chunks("select doc_id, text from documents where doc_id % 4 <> 1")},
         f as (select doc_id, '```' || chr(10) || '```' || chr(10) || '```' || chr(10) || '```' || text as t from documents where doc_id % 4 = 1),
-        fx as (select doc_id, t, {strip('substr(t, cast(s as bigint) + 1, 512)')} as piece from f, unnest(range(0, length(t), 512)) as u(s) where length({strip('t')}) >= 50)
-        select 'recursive' as strategy, count(*) as n_chunks, count(distinct doc_id) as n_docs from every having count(*) > 0
-        union all select 'fixed', count(*), count(distinct doc_id) from fx where length(piece) >= 50 or length(t) <= 512 having count(*) > 0""",
+        fx as (select doc_id, t, s, {strip('substr(t, cast(s as bigint) + 1, 512)')} as piece from f, unnest(range(0, length(t), 512)) as u(s) where length({strip('t')}) >= 50)
+        select doc_id, row_number() over (partition by doc_id order by o) - 1 as chunk_index, 'recursive' as strategy, sha256(t) as chunk_hash from every
+        union all select doc_id, row_number() over (partition by doc_id order by s) - 1, 'fixed', sha256(piece) from fx where length(piece) >= 50 or length(t) <= 512""",
     "manifest_upsert": """with d as (select cast(doc_id as varchar) as path, sha256(text) as hash, doc_id from documents),
         o as (select path, case when doc_id % 5 = 0 then 'stale' else hash end as hash from d where doc_id % 3 <> 0), n as (select path, hash from d where doc_id % 7 <> 0)
         select coalesce(n.path, o.path) as path, coalesce(n.hash, o.hash) as hash, case when o.hash is null or coalesce(n.hash, o.hash) <> o.hash then 'pending' else 'ingested' end as status from n full join o on n.path = o.path""",
@@ -253,10 +253,10 @@ ORACLES: dict[str, str] = {
     "turn_offsets": "select conv_id, turn, cast(coalesce(sum(length(role) + length(text) + 3) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) as start, cast(length(role) + length(text) + 3 as bigint) as n_chars from conversations",
     "recent_activity": f"with {DATED} select doc_id, created_at, left(text, 80) as title from dated order by created_at desc, doc_id limit 15",
     "record_detail": f"with {FIXED}, g as (select doc_id, count(*) as n, string_agg(piece, '|' order by chunk_index) as b from fixed group by doc_id) select d.doc_id, coalesce(n, 0) as n_chunks, sha256(coalesce(b, '')) as hash from documents d left join g using (doc_id)",
-    "answer_context": f"with p as (select doc_id % 6 as query_id, doc_id // 6 + 1 as rank, source, text from documents where doc_id < 60), c as (select query_id, string_agg({CTX}, chr(10) || chr(10) order by rank) as c from p where rank <= 8 group by query_id) select query_id, sha256(c) as hash, cast(length(c) as bigint) as n_chars from c",
+    "answer_context": f"with p as (select doc_id // 10 as query_id, doc_id % 10 + 1 as rank, source, text from documents), c as (select query_id, string_agg({CTX}, chr(10) || chr(10) order by rank) as c from p where rank <= 8 group by query_id) select query_id, sha256(c) as hash, cast(length(c) as bigint) as n_chars from c",
     "tokenize": f"with n as (select doc_id, text, {ascii_lower('text')} as norm from documents) select doc_id, array_to_string({index_tokens('text')}, ' ') as index_tokens, array_to_string({retrieval_tokens('norm')}, ' ') as retrieval_tokens, cast(len({search_terms('norm')}) as bigint) as n_search_terms from n",
     "term_counts": f"select doc_id, {occurrences('l', q('tion'))} as n_tion, {occurrences('l', q('er'))} as n_er, cast(strpos(l, 'tion') - 1 as bigint) as first_tion, cast(case when contains(l, '. ') then length(l) - strpos(reverse(l), ' .') - 1 else -1 end as bigint) as last_stop from (select doc_id, lower(text) as l from documents)",
-    "normalize_text": "select doc_id, regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g') as norm from documents where lang in ('en', 'es')",
+    "normalize_text": "select doc_id, regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g') as norm from documents",
     "proximity": f"with n as (select doc_id, {ascii_lower('text')} as l from documents), m as (select *, {matched('l', lst(['tion', 'license', 'ther']))} as m from n) select doc_id, round({proximity('l', 'm')}, 6) as bonus from m",
     "code_penalty": f"select page_id, round({code_penalty('html')}, 6) as penalty from pages",
     "recency_weights": f"with {DATED} select doc_id, round(exp(-greatest(floor((epoch_us(timestamp '2024-02-01') - epoch_us(created_at)) / 86400000000.0::double), 0) / 365.0::double), 6) as weight from dated",
@@ -277,7 +277,10 @@ ORACLES: dict[str, str] = {
         walk as (select conv_id, i, 0 as c, length(line) as size from m where i = 1
           union all select w.conv_id, m.i, case when w.size + length(m.line) > 2000 then w.c + 1 else w.c end, case when w.size + length(m.line) > 2000 then length(m.line) else w.size + length(m.line) end from walk w join m on m.conv_id = w.conv_id and m.i = w.i + 1)
         select conv_id, cast(c as bigint) as chunk_index, count(*) as turn_count, string_agg(distinct role, '|' order by role) as roles, sha256({strip("string_agg(line, '' order by i)")}) as hash from walk join m using (conv_id, i) group by conv_id, c""",
-    "chunk_strategy": "select doc_id, case doc_id % 4 when 0 then 'semantic' when 1 then 'fixed' when 2 then case when doc_id % 8 = 2 then 'conversation' else 'recursive' end else 'recursive' end as strategy from documents",
+    "chunk_strategy": rf"""with d as (select doc_id, case doc_id % 4 when 0 then '# a' || chr(10) || '## b' || chr(10) || '### c' || chr(10) || text when 1 then '```' || chr(10) || '```' || chr(10) || '```' || chr(10) || '```' || text when 2 then 'user: ' || text || chr(10) || 'assistant: ok' else text end as t,
+        case when doc_id % 8 = 2 then 'codex' else source end as s from documents)
+        select doc_id, case when s in ({', '.join(map(q, V.CONVERSATIONAL_SOURCES))}) and regexp_matches(left(t, 500), '(?i)(user|assistant|human|ai):\s') and len(regexp_extract_all(t, '(?i)(?:^|\n)(user|assistant|human|ai):\s')) >= 2 then 'conversation'
+        when len(regexp_extract_all(t, '(?m)^#{{1,6}}\s')) >= 3 then 'semantic' when len(regexp_extract_all(t, '```')) >= 4 or s = 'code' then 'fixed' else 'recursive' end as strategy from d""",
     "bm25_stats": f"with {POSTINGS} select term, df, round(idf, 6) as idf from idf where df >= 2",
     "bm25_topk": f"with {BM25}, k as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0) select query_id, rank, doc_id, round(score, 4) as score from k where rank <= 10",
     "fts_rescore": f"""with n as (select doc_id, {ascii_lower('text')} as l from documents) select doc_id, round(3.0::double * len({matched('l', KEYWORD_TERMS)}) / 3 + {capped('l', KEYWORD_TERMS, 0.5, 2.0)}, 6) as overlap,
@@ -293,20 +296,20 @@ ORACLES: dict[str, str] = {
         k as (select *, row_number() over (order by round(score, 9) desc, chunk_index, doc_id) as rank from o) select rank, doc_id, chunk_index, round(score, 4) as score from k where rank <= 20""",
     "match_all_terms": f"with {POSTINGS} select doc_id from post where term in ('license', 'version') group by doc_id having count(*) = 2",
     "variant_union": "select variant, rank, key from (select doc_id % 3 as variant, n_chars as rank, left(text, 40) as key from documents) qualify row_number() over (partition by key order by variant, rank) = 1",
-    "vector_topk": """with p as (select q.vec_id as query_id, v.vec_id, list_distance(cast(v.embedding as double[]), cast(q.embedding as double[])) as d from embeddings v, embeddings q where q.vec_id < 5),
+    "vector_topk": """with p as (select q.vec_id as query_id, v.vec_id, list_distance(cast(v.embedding as double[]), cast(q.embedding as double[])) as d from embeddings v, embeddings q where q.vec_id % 50 = 0),
         k as (select *, row_number() over (partition by query_id order by d, vec_id) as rank from p) select query_id, rank, vec_id, round(d, 6) as distance, round(greatest(0, 10 - d), 6) as score from k where rank <= 10""",
     "hash_embedding": r"""with w as (select doc_id, list_slice(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''), 1, 100) as ws from documents), e as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from w), h as (select doc_id, i, md5(w) as h from e),
         b as (select doc_id, i, cast('0x' || substr(h, 2 * j + 1, 2) as integer) as b from h, range(16) as r(j)), g as (select doc_id, b as pos, sum(b / 255.0::double * (1 - i * 0.01::double)) as raw from b group by doc_id, b),
         v as (select doc_id, pos, raw / sqrt(sum(raw * raw) over (partition by doc_id)) as v from g) select doc_id, count(*) as n, round(sum(v * v), 6) as norm, round(max(v), 6) as top, round(sum(v * pos), 4) as mass from v group by doc_id""",
-    "hybrid_merge": f"""with {BM25}, a as (select query_id, doc_id, score as a from sc where score > 0 qualify row_number() over (partition by query_id order by round(score, 9) desc, doc_id) <= 50),
-        p as (select q.vec_id as query_id, v.vec_id as doc_id, list_distance(cast(v.embedding as double[]), cast(q.embedding as double[])) as d from embeddings v, embeddings q where q.vec_id < 5),
+    "hybrid_merge": f"""with {BM25}, a as (select query_id * 50 as query_id, doc_id, score as a from sc where score > 0 qualify row_number() over (partition by query_id order by round(score, 9) desc, doc_id) <= 50),
+        p as (select q.vec_id as query_id, v.vec_id as doc_id, list_distance(cast(v.embedding as double[]), cast(q.embedding as double[])) as d from embeddings v, embeddings q where q.vec_id % 50 = 0),
         b as (select query_id, doc_id, greatest(0, 10 - d) as b from p qualify row_number() over (partition by query_id order by d, doc_id) <= 50)
         select query_id, doc_id, round(case when a is not null and b is not null then 1.3::double else 1.0::double end * (0.6::double * coalesce(a, 0) + 0.4::double * coalesce(b, 0)), 4) as score from a full join b using (query_id, doc_id)""",
     "recency_rank": f"""with {DATED}, w as (select doc_id, n_chars / 5000.0::double as s, case when doc_id % 2 = 0 then 0.0::double else doc_id % 7 / 7.0::double end as r, exp(-greatest(floor((epoch_us(timestamp '2024-02-01') - epoch_us(created_at)) / 86400000000.0::double), 0) / 365.0::double) as c from dated)
         select doc_id, round(case when r > 0 then 0.5::double * r + 0.3::double * s + c else s + 0.8::double * c end, 6) as score from w""",
-    "jaccard_pairs": f"""with {LISTED}, w as (select *, {signature('text')} as w from l) select a.query_id, a.rank as first, b.rank as second, round({jaccard('a.w', 'b.w')}, 6) as similarity from w a join w b on a.query_id = b.query_id and a.rank < b.rank where {jaccard('a.w', 'b.w')} > 0.2""",
+    "jaccard_pairs": f"""with {LISTED}, w as (select *, {signature('text')} as w from l) select a.query_id, a.rank as first, b.rank as second, round({jaccard('a.w', 'b.w')}, 6) as similarity from w a join w b on a.query_id = b.query_id and a.rank < b.rank where {jaccard('a.w', 'b.w')} > 0.8""",
     "greedy_dedup": f"""with recursive {LISTED}, w as (select *, {signature('text')} as w from l),
-        bad as (select a.query_id, a.rank as first, b.rank as second from w a join w b on a.query_id = b.query_id and a.rank < b.rank where {jaccard('a.w', 'b.w')} > 0.25),
+        bad as (select a.query_id, a.rank as first, b.rank as second from w a join w b on a.query_id = b.query_id and a.rank < b.rank where {jaccard('a.w', 'b.w')} > 0.8),
         walk as (select query_id, -1::bigint as rank, []::bigint[] as kept from (select distinct query_id from w)
           union all select k.query_id, k.rank + 1, case when exists (select 1 from bad where bad.query_id = k.query_id and bad.second = k.rank + 1 and list_contains(k.kept, bad.first)) or not exists (select 1 from w where w.query_id = k.query_id and w.rank = k.rank + 1) then k.kept else list_append(k.kept, k.rank + 1) end from walk k where k.rank < 39)
         select f.query_id, w.rank, w.doc_id from (select query_id, unnest(kept) as rank from walk where rank = 39) f join w on w.query_id = f.query_id and w.rank = f.rank""",

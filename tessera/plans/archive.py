@@ -44,14 +44,17 @@ def missing_tables(spark: SparkSession, config: Config) -> list[str]:
 
 
 def replace(df: DataFrame, config: Config, table: str) -> None:
-    """Writes beside the old table, then takes its place, as df may read it."""
+    """Writes beside the old table, then takes its place, as df may read it. The old one stays aside until the new one is in place; read() finds it there."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(config.path(table) + "_new")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    old, new = hadoop(config.path(table)), hadoop(config.path(table) + "_new")
+    old, new, aside = (hadoop(config.path(table) + end) for end in ("", "_new", "_old"))
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
+    if fs.exists(old):  # else a run that ended in between left only the one aside
+        fs.delete(aside, True)
+        fs.rename(old, aside)
     fs.rename(new, old)
+    fs.delete(aside, True)
 
 
 def run_discovery(spark: SparkSession, config: Config) -> DataFrame:
