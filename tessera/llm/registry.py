@@ -77,7 +77,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), lambda c: c % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_quality, op3_line_dedup, op4_mix, op5_token_counts, op6_simhash, op7_pii, op8_toxicity, op9_decontaminate, op10_topk)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_quality, op3_line_dedup, op4_mix, op5_token_counts, op6_simhash, op7_pii, op8_toxicity, op9_decontaminate, op10_topk, op11_filter_audit)}
 
 #: The contract's word pattern and the letters to lower-case.
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,6 +121,30 @@ ORACLES: dict[str, str] = {
         select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
                sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join hit using (r) left join its using (r)""",
+    "op11_filter_audit": r"""
+        with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+        w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from t),
+        first as (select text, min(doc_id) as id from t group by text),
+        marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+        fails as (select w.part, len(ws) < 200 as fa, 100 * len(list_distinct(ws)) < 50 * len(ws) as fb,
+                         100 * len(regexp_extract_all(w.text, '[A-Z]')) > 2 * length(w.text) as fc, regexp_matches(w.text, '[#$%&*|]') as fd,
+                         coalesce(w.doc_id > first.id, false) as fe, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+                  from w join first on w.text = first.text left join marks on w.doc_id = marks.doc_id),
+        c as (select part, (case when fa then 'A' else '' end) || (case when fb then 'B' else '' end) || (case when fc then 'C' else '' end)
+                     || (case when fd then 'D' else '' end) || (case when fe then 'E' else '' end) as failed, count(*) as n, sum(good) as good, sum(toxic) as toxic
+              from fails group by all),
+        l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+        o as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e
+              where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s as (select filter_order, step, substr(filter_order, step, 1) as f, substr(filter_order, 1, step - 1) as before from o, (select unnest(range(1, 6)) as step)),
+        x as (select part, filter_order, step, f, n, good, toxic, failed, contains(failed, f) as own, before <> '' and regexp_matches(failed, '[' || before || '.]') as earlier from c, s),
+        g as (select part, filter_order, cast(step as integer) as step, f, sum(case when not own and not earlier then n else 0 end) as kept, sum(case when own and not earlier then n else 0 end) as removed,
+                     sum(case when own and earlier then n else 0 end) as redundant, sum(case when failed = f then n else 0 end) as unique_fails,
+                     sum(case when own and not earlier then good else 0 end) as good_lost, sum(case when own and not earlier then toxic else 0 end) as toxic_lost
+              from x group by all)
+        select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+               cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+               cast(sum(removed) over (partition by part, f) as bigint) as shapley from g""",
     "op10_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w
                    from embeddings where vec_id is not null and embedding is not null
