@@ -83,7 +83,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_quality, op3_line_dedup, op4_mix, op5_token_counts, op6_simhash, op7_pii, op8_toxicity, op9_decontaminate, op10_topk, op11_filter_audit)}
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketches import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_quality, op3_line_dedup, op4_mix, op5_token_counts, op6_simhash, op7_pii, op8_toxicity, op9_decontaminate, op10_topk, op11_filter_audit, op12_fingerprints)}
 
 #: The contract's word pattern and the letters to lower-case.
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,6 +151,22 @@ ORACLES: dict[str, str] = {
         select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
                cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
                cast(sum(removed) over (partition by part, f) as bigint) as shapley from g""",
+    "op12_fingerprints": r"""
+        with t as (select doc_id, coalesce(text, '') as text, cast(length(coalesce(text, '')) as bigint) as n_chars from documents),
+        f as (select *, coalesce(lead(text) over w, first_value(text) over w) as following, coalesce(lead(r) over w, first_value(r) over w) as next_r
+              from (select *, row_number() over (order by doc_id nulls first, md5(text)) as r from t) window w as (order by r)),
+        e as (select *, left(text, n_chars - n_chars // 4) || left(following, n_chars // 4) as edited from f),
+        s as (select r, false as edit, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from e union all select r, true, regexp_extract_all(edited, '[^\x20\x09-\x0D]+') from e),
+        h as (select r, edit, list_sort(list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [left(md5(array_to_string(ws, ' ')), 16)]
+                     else list_transform(range(1, len(ws) - 3), lambda i: left(md5(array_to_string(ws[i:i + 4], ' ')), 16)) end))[1:256] as k from s),
+        c as (select e.*, a.k as a, b.k as b, c.k as c, list_sort(list_distinct(list_concat(a.k, b.k)))[1:256] as ab, list_sort(list_distinct(list_concat(a.k, c.k)))[1:256] as ac
+              from e join h a on a.r = e.r and not a.edit join h b on b.r = e.r and b.edit join h c on c.r = e.next_r and not c.edit),
+        d as (select *, case when len(ab) = 0 then 1.0::double else len(list_filter(ab, lambda x: list_contains(a, x) and list_contains(b, x))) / len(ab)::double end as near_edited,
+                     case when len(ac) = 0 then 1.0::double else len(list_filter(ac, lambda x: list_contains(a, x) and list_contains(c, x))) / len(ac)::double end as near_next,
+                     case when len(a) < 256 then len(a)::double else 255 / ((('0x' || left(a[-1], 8))::bigint * 4294967296.0::double + ('0x' || right(a[-1], 8))::bigint::double + 1) / 18446744073709551616.0::double) end as size_a,
+                     case when len(ab) < 256 then len(ab)::double else 255 / ((('0x' || left(ab[-1], 8))::bigint * 4294967296.0::double + ('0x' || right(ab[-1], 8))::bigint::double + 1) / 18446744073709551616.0::double) end as size_ab from c)
+        select doc_id, n_chars, sha256(edited) as edited_sha256, array_to_string(a, '') as fingerprint, array_to_string(b, '') as edited_fingerprint, near_edited, near_next,
+               cast(round(size_a) as bigint) as n_shingles, round(case when len(a) = 0 then 1.0::double else least(1.0::double, near_edited * size_ab / size_a) end, 6) as kept from d""",
     "op10_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w
                    from embeddings where vec_id is not null and embedding is not null
