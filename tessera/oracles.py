@@ -283,6 +283,7 @@ ORACLES: dict[str, str] = {
         when len(regexp_extract_all(t, '(?m)^#{{1,6}}\s')) >= 3 then 'semantic' when len(regexp_extract_all(t, '```')) >= 4 or s = 'code' then 'fixed' else 'recursive' end as strategy from d""",
     "bm25_stats": f"with {POSTINGS} select term, df, round(idf, 6) as idf from idf where df >= 2",
     "bm25_topk": f"with {BM25}, k as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0) select query_id, rank, doc_id, round(score, 4) as score from k where rank <= 10",
+    "index_search": f"with {BM25}, k as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0) select query_id, rank, doc_id, round(score, 4) as score from k where rank <= 10",
     "fts_rescore": f"""with n as (select doc_id, {ascii_lower('text')} as l from documents) select doc_id, round(3.0::double * len({matched('l', KEYWORD_TERMS)}) / 3 + {capped('l', KEYWORD_TERMS, 0.5, 2.0)}, 6) as overlap,
         round({capped('l', KEYWORD_TERMS, 0.5, 2.0)} + len({matched('l', KEYWORD_TERMS)}), 3) as keyword from n where {any_of('l', ['tion', 'thon', 'license'])}""",
     "keyword_search": f"""with {RECORDS}, l as (select doc_id, text, importance, {ascii_lower('text')} as l, list_transform(string_split(text, chr(10)), lambda x: {strip('x')}) as ls from rec where category = 'chat'),
@@ -295,6 +296,12 @@ ORACLES: dict[str, str] = {
         o as (select * from s qualify row_number() over (partition by doc_id, left(piece, 220) order by round(score, 9) desc, chunk_index) = 1),
         k as (select *, row_number() over (order by round(score, 9) desc, chunk_index, doc_id) as rank from o) select rank, doc_id, chunk_index, round(score, 4) as score from k where rank <= 20""",
     "match_all_terms": f"with {POSTINGS} select doc_id from post where term in ('license', 'version') group by doc_id having count(*) = 2",
+    "index_update": f"with {POSTINGS} select term, count(*) as df, cast(sum(tf) as bigint) as cf, count(*) filter (doc_id % 3 = 0 and doc_id in (select doc_id from documents where text is not null and text <> '')) as n_updated from post group by term",
+    "match_forms": f"""with tok as (select doc_id, {index_tokens('text')} as ts, ' ' || array_to_string({index_tokens('text')}, ' ') || ' ' as line from documents)
+        select 'any' as form, doc_id from tok where list_has_any(ts, ['license', 'public']) union all select 'all', doc_id from tok where list_has_all(ts, ['license', 'version', 'public'])
+        union all select 'phrase', doc_id from tok where contains(line, ' general public license ')
+        union all select 'mixed', doc_id from tok where list_has_any(ts, ['version', 'work']) and list_contains(ts, 'license') and contains(line, ' public license ') and not list_contains(ts, 'warranty')
+        union all select 'none', doc_id from tok where not list_has_any(ts, ['license', 'tion'])""",
     "variant_union": "select variant, rank, key from (select doc_id % 3 as variant, n_chars as rank, left(text, 40) as key from documents) qualify row_number() over (partition by key order by variant, rank) = 1",
     "vector_topk": """with p as (select q.vec_id as query_id, v.vec_id, list_distance(cast(v.embedding as double[]), cast(q.embedding as double[])) as d from embeddings v, embeddings q where q.vec_id % 50 = 0),
         k as (select *, row_number() over (partition by query_id order by d, vec_id) as rank from p) select query_id, rank, vec_id, round(d, 6) as distance, round(greatest(0, 10 - d), 6) as score from k where rank <= 10""",

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed_values as V
 from .functions import text as T
-from .operators import chunking, fusion, lexical, quality, vector
+from .operators import chunking, fusion, lexical, quality, search_index, vector
 from .operators import records as R
 from .plans import archive, planner, retrieve
-from .session import table
+from .session import new_folder, table
 from .sources import archives, conversations, files
 from .streaming import ingest
 
@@ -470,6 +471,35 @@ def match_all_terms(spark, sf_dir):
     return lexical.match_all(lexical.postings(docs_of(spark, sf_dir), "doc_id", "text"), "doc_id", ["license", "version"])
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new stored index of all documents, in two segments: the second holds a third of them with their real texts, after the first had them in upper case and shortened."""
+    home, d = new_folder(spark, "index"), docs_of(spark, sf_dir).select("doc_id", "text")
+    earlier = d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.upper(F.left("text", (F.length("text") / 2).cast("int")))).otherwise(F.col("text")))
+    search_index.update(earlier, home, 0)
+    search_index.update(d, home, 1)
+    return search_index.stored(spark, home)
+
+
+@query
+def index_search(spark, sf_dir):
+    return search_index.search(indexed(spark, sf_dir), asked(spark, RETRIEVAL)).select("query_id", *long("rank"), "doc_id", dec("score", 4))
+
+
+@query
+def index_update(spark, sf_dir):
+    """What the index holds of each term after the update, and how many of its postings came with each segment."""
+    live = search_index.current(indexed(spark, sf_dir)).where(F.col("bucket") >= 0)
+    return live.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.count_if(F.col("segment") == 1).alias("n_updated"))
+
+
+@query
+def match_forms(spark, sf_dir):
+    """Any, all, phrase and exclusion, alone and together."""
+    index = indexed(spark, sf_dir)
+    forms = {"any": {"any_of": ["license", "public"]}, "all": {"all_of": ["license", "version", "public"]}, "phrase": {"phrases": [["general", "public", "license"]]}, "mixed": {"any_of": ["version", "work"], "all_of": ["license"], "phrases": [["public", "license"]], "none_of": ["warranty"]}, "none": {"none_of": ["license", "tion"]}}
+    return reduce(DataFrame.unionByName, [search_index.match(index, **f).select(F.lit(name).alias("form"), "doc_id") for name, f in forms.items()])
+
+
 @query
 def expand_queries(spark, sf_dir):
     q = asked(spark, [*QUESTIONS, "docker gpu server", "project age", "fan model"])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from functools import wraps
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -34,3 +38,29 @@ def local_session(cores: int = 8, **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_local_dir: list[tempfile.TemporaryDirectory] = []
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """The path of a new folder under spark.checkpoint.dir, which all executors share. Only in local mode may that be unset: then it's one of this machine's, for this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _local_dir:
+            _local_dir.append(tempfile.TemporaryDirectory(prefix="spark-"))
+            atexit.register(_local_dir[0].cleanup)
+        root = _local_dir[0].name
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at path; an empty one, if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
