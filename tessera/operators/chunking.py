@@ -7,6 +7,7 @@ of a conversation are gathered and folded in the JVM.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,6 +21,10 @@ from ..functions.text import SPACES, strip
 
 Piece = tuple[str, int, int]
 
+# Who speaks in a text with turns. (?a): as Spark's regular expressions, these know ASCII letters and spaces only.
+ROLE = r"(?ai)(user|assistant|human|ai):"
+TURN_START = r"(?ai)\n(?=(?:user|assistant|human|ai):\s)"
+
 
 def _chunked(df: DataFrame, keep: list[str], text: str, strategy: str, cut: Callable[[str], Iterable[Piece]]) -> DataFrame:
     src = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
@@ -147,17 +152,65 @@ def chunk_strategy(text: Column, source: Column) -> Column:
     return F.when(spoken, "conversation").when(F.regexp_count(text, F.lit(r"(?m)^#{1,6}\s")) >= 3, "semantic").when((F.regexp_count(text, F.lit("```")) >= 4) | (source == "code"), "fixed").otherwise("recursive")
 
 
+def spoken(text: str, most: int) -> Iterator[tuple[str, int, int, list[str]]]:
+    """Whole turns of a text with `role: ` lines, packed like chunk_conversation() packs them; offsets count the packed turns."""
+    turns = []
+    for line in re.split(TURN_START, text):
+        if found := re.match(ROLE, line):
+            said = line[found.end() + 1 :] if re.match(r"\s", line[found.end() :], re.ASCII) else line
+            turns.append((found[1].lower(), said.strip(SPACES)))
+    held, roles, at, n = "", [], 0, 0
+    for role, said in turns:
+        if not said:
+            continue
+        line = f"{role}: {said}\n"
+        if roles and len(held) + len(line) > most:
+            yield held.strip(SPACES), at, n, roles
+            held, roles, at = "", [], n
+        held, n = held + line, n + len(line)
+        roles.append(role)
+    if held.strip(SPACES):
+        yield held.strip(SPACES), at, n, roles
+
+
+def pieces_of(strategy: str, text: str, size: int, overlap: int, least: int) -> Iterator[tuple[str, int, int, dict]]:
+    """(text, start, end, metadata) of one text's chunks; strategies without a name here slide."""
+    if strategy == "conversation":
+        yield from ((t, a, b, {"turn_count": len(roles), "roles": sorted(set(roles))}) for t, a, b, roles in spoken(text, size))
+    elif strategy == "semantic":
+        yield from ((t, a, b, {"paragraph_count": t.count("\n\n") + 1}) for t, a, b in semantic(text, size, least))
+    elif strategy == "recursive":
+        cut = {"fallback": "character_split"} if len(text) > size and not any(x in text for x in V.SEPARATORS) else {}
+        yield from ((t, a, b, cut) for t, a, b in recursive(text, size, least))
+    else:
+        slid = {} if strategy == "fixed" else {"overlap": overlap}
+        cuts = fixed(text, size, least) if strategy == "fixed" else slide(text, size, overlap, least)
+        yield from ((t, a, b, {"size": len(t)} | slid if len(text) > size else {}) for t, a, b in cuts)
+
+
+STRATEGIES = ("fixed", "sliding", "recursive", "semantic", "conversation")
+
+
+def chunk_records(df: DataFrame, key: str, text: str = "text", source: str = "source", strategy: Column | str = "auto", *, size: int = 512, overlap: int = 64, least: int = 50) -> DataFrame:
+    """key, chunk_index, chunk_text, start_char, end_char, strategy, metadata (JSON), chunk_hash. The strategy is a name, or a column with each row's: `auto` picks by text and source, unknown names slide. All rows are cut in one pass, where they are read."""
+    name = F.coalesce(F.lit(strategy) if isinstance(strategy, str) else strategy, F.lit("auto"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    known = F.when(name.isin(*STRATEGIES), name).when(name == "auto", chunk_strategy(body, F.coalesce(F.col(source), F.lit("unknown")))).otherwise("sliding")
+    src = df.select(F.col(key), body.alias("__text"), known.alias("__strategy"))
+    schema = StructType([src.schema.fields[0], StructField("chunk_index", LongType()), StructField("chunk_text", StringType()), StructField("start_char", LongType()), StructField("end_char", LongType()), StructField("strategy", StringType()), StructField("metadata", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r, i, t, x, y, s, json.dumps(m)) for r, (whole, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for i, (t, x, y, m) in enumerate(pieces_of(s, whole, size, overlap, least))]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[j + 1] for r in rows], k) for j, k in enumerate(kinds))], schema.names)
+
+    return src.mapInArrow(run, schema).withColumn("chunk_hash", F.sha2("chunk_text", 256))
+
+
 def auto_chunk(df: DataFrame, key: str, text: str = "text", source: str = "source", size: int = 512, least: int = 50) -> DataFrame:
     """Each row by the strategy that fits it: key, chunk_index, chunk_text, strategy, chunk_hash."""
-    src = df.select(key, F.col(text).alias("text"), chunk_strategy(F.col(text), F.col(source)).alias("__s"))
-    columns = [key, "chunk_index", "chunk_text", "strategy", "chunk_hash"]
-    of = lambda s: src.where(F.col("__s") == s)
-    out = chunk_recursive(of("recursive"), [key], size=size, least=least).select(columns)
-    out = out.unionByName(chunk_semantic(of("semantic"), [key], size=size, least=least).select(columns)).unionByName(chunk_fixed(of("fixed"), [key], size=size, least=least).select(columns))
-    turns = F.split(F.col("text"), r"(?i)\n(?=(?:user|assistant|human|ai):\s)")
-    said = of("conversation").select(key, F.posexplode(turns).alias("turn", "line")).select(key, "turn", F.lower(F.regexp_extract("line", r"(?i)^(user|assistant|human|ai):", 1)).alias("role"), strip(F.regexp_replace("line", r"(?is)^(user|assistant|human|ai):\s", "")).alias("text"))
-    spoken = chunk_conversation(said.where("role <> ''"), key, most=size)
-    return out.unionByName(spoken.select(key, "chunk_index", "chunk_text", F.lit("conversation").alias("strategy"), F.sha2("chunk_text", 256).alias("chunk_hash")))
+    return chunk_records(df, key, text, source, size=size, least=least).select(key, "chunk_index", "chunk_text", "strategy", "chunk_hash")
 
 
 def top_chunks(chunks: DataFrame, key: str, n: int = 12) -> DataFrame:

@@ -184,17 +184,27 @@ def window_end(start: str) -> str:
     return f"case when {start} + 512 >= n then n {found} else {stop} end"
 
 
+SLIDING = f"""with recursive d as (select doc_id, text, length(text) as n from documents where length({strip('text')}) >= 50),
+        walk as (select doc_id, cast(0 as bigint) as start, cast({window_end('0')} as bigint) as stop from d
+          union all select doc_id, b, cast({window_end('b')} as bigint) from (select w.doc_id, greatest(w.stop - 64, w.start + 1) as b, text, n from walk w join d using (doc_id) where w.stop < n)),
+        p as (select doc_id, start, stop, n, {strip('substr(text, start + 1, stop - start)')} as t from walk join d using (doc_id))"""
+SEMANTIC = f"""with recursive s as (select doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> '') as ps from documents where length({strip('text')}) >= 50),
+        {packed("select doc_id, unnest(range(1, len(ps) + 1)) as i, unnest(ps) as part from s", 'chr(10) || chr(10)')}"""
+
 ORACLES: dict[str, str] = {
     "expand_queries": f"""select query_id, {EXPAND_INDEX} as index_query, array_to_string(list_concat(ts, flatten(list_transform(ts, lambda t: case t {WIDE} else [] end))), ' ') as retrieval_terms
         from (select *, {retrieval_tokens(ascii_lower('query'))} as ts from {values([*QUESTIONS, 'docker gpu server', 'project age', 'fan model'])})""",
     "rerank_hook": f"""with l as (select doc_id // 40 as query_id, doc_id % 40 as rank, doc_id, text from documents),
         j as (select *, {signature("'the of and tion'")} as a, {signature('text').replace('200', '2000')} as b from l), r as (select query_id, doc_id, rank, {jaccard('a', 'b')} as rerank from j),
         k as (select query_id, row_number() over (partition by query_id order by round(rerank, 9) desc, rank) as rank, doc_id, rerank from r) select query_id, rank, doc_id, round(rerank, 6) as rerank from k where rank <= 10""",
-    "chunk_sliding": f"""with recursive d as (select doc_id, text, length(text) as n from documents where length({strip('text')}) >= 50),
-        walk as (select doc_id, cast(0 as bigint) as start, cast({window_end('0')} as bigint) as stop from d
-          union all select doc_id, b, cast({window_end('b')} as bigint) from (select w.doc_id, greatest(w.stop - 64, w.start + 1) as b, text, n from walk w join d using (doc_id) where w.stop < n)),
-        p as (select doc_id, start, stop, {strip('substr(text, start + 1, stop - start)')} as t from walk join d using (doc_id))
-        select doc_id, row_number() over (partition by doc_id order by start) - 1 as chunk_index, start as start_char, stop as end_char, sha256(t) as chunk_hash from p where length(t) >= 50""",
+    "chunk_sliding": f"{SLIDING} select doc_id, row_number() over (partition by doc_id order by start) - 1 as chunk_index, start as start_char, stop as end_char, sha256(t) as chunk_hash from p where length(t) >= 50",
+    "chunk_dispatch": f"""
+        select doc_id, row_number() over (partition by doc_id order by start) - 1 as chunk_index, 'sliding' as strategy, case when n <= 512 then '{{}}' else '{{"size": ' || length(t) || ', "overlap": 64}}' end as metadata, sha256(t) as chunk_hash
+          from ({SLIDING} select doc_id, start, t, n from p where length(t) >= 50 and doc_id % 5 in (1, 4))
+        union all select doc_id, chunk_index, 'fixed', case when n <= 512 then '{{}}' else '{{"size": ' || length(piece) || '}}' end, sha256(piece) from (with {FIXED} select doc_id, chunk_index, piece, length(text) as n from fixed where doc_id % 5 = 0)
+        union all select doc_id, row_number() over (partition by doc_id order by o) - 1, 'recursive', case when strpos(whole, ' ') = 0 and strpos(whole, chr(10)) = 0 and length(whole) > 512 then '{{"fallback": "character_split"}}' else '{{}}' end, sha256(t)
+          from (with recursive {recursive_chunks("select doc_id, text from documents where doc_id % 5 = 2")} select every.*, d.text as whole from every join documents d using (doc_id))
+        union all select doc_id, row_number() over (partition by doc_id order by o) - 1, 'semantic', '{{"paragraph_count": ' || (length(t) - length(replace(t, chr(10) || chr(10), ''))) // 2 + 1 || '}}', sha256(t) from ({SEMANTIC} select * from good where doc_id % 5 = 3)""",
     "auto_chunk": f"""with recursive {recursive_chunks("select doc_id, text from documents where doc_id % 4 <> 1")},
         f as (select doc_id, '```' || chr(10) || '```' || chr(10) || '```' || chr(10) || '```' || text as t from documents where doc_id % 4 = 1),
         fx as (select doc_id, t, s, {strip('substr(t, cast(s as bigint) + 1, 512)')} as piece from f, unnest(range(0, length(t), 512)) as u(s) where length({strip('t')}) >= 50)
@@ -270,8 +280,7 @@ ORACLES: dict[str, str] = {
     "chunk_fixed": f"with {FIXED} select doc_id, chunk_index, cast(pos as bigint) as start_char, cast(stop as bigint) as end_char, sha256(piece) as chunk_hash from fixed",
     "chunk_recursive": f"""with recursive {recursive_chunks("select doc_id, text from documents")}
         select doc_id, row_number() over (partition by doc_id order by o) - 1 as chunk_index, sha256(t) as chunk_hash from every""",
-    "chunk_semantic": f"""with recursive s as (select doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> '') as ps from documents where length({strip('text')}) >= 50),
-        {packed("select doc_id, unnest(range(1, len(ps) + 1)) as i, unnest(ps) as part from s", 'chr(10) || chr(10)')}
+    "chunk_semantic": f"""{SEMANTIC}
         select doc_id, row_number() over (partition by doc_id order by o) - 1 as chunk_index, sha256(t) as chunk_hash from good""",
     "chunk_conversation": f"""with recursive m as (select conv_id, row_number() over (partition by conv_id order by turn) as i, role, role || ': ' || text || chr(10) as line from conversations where coalesce(text, '') <> ''),
         walk as (select conv_id, i, 0 as c, length(line) as size from m where i = 1

@@ -432,6 +432,14 @@ def auto_chunk(spark, sf_dir):
     return chunking.auto_chunk(d, "doc_id").select("doc_id", *long("chunk_index"), "strategy", "chunk_hash")
 
 
+@query
+def chunk_dispatch(spark, sf_dir):
+    """Every document by one of the strategies by name; an unknown one slides."""
+    d = docs_of(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 5 == 3, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text")))
+    name = F.element_at(F.array(*map(F.lit, ["fixed", "sliding", "recursive", "semantic", "no such"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    return chunking.chunk_records(d, "doc_id", strategy=name).select("doc_id", "chunk_index", "strategy", "metadata", "chunk_hash")
+
+
 # -- lexical retrieval ---------------------------------------------------------------------------------------------------------
 
 

@@ -82,6 +82,19 @@ def test_auto_chunk_picks_a_strategy(spark):
     assert {(r.doc_id, r.strategy) for r in got.collect()} == {(1, "semantic"), (2, "fixed"), (3, "conversation"), (4, "recursive")}
 
 
+def test_chunks_by_name_tell_how_they_were_cut(spark):
+    rows = [(1, "fixed", "abc " * 300), (2, "sliding", "abc " * 300), (3, "none such", "abc " * 300), (4, "recursive", "x" * 1200), (5, "semantic", "one " * 20 + "\n\n" + "two " * 20), (6, "conversation", "User: " + "hello " * 20 + "\nAI: " + "fine " * 90), (7, None, "plain " * 20), (8, "fixed", "short text, but long enough to be kept as a chunk"), (9, "fixed", None)]
+    got = chunking.chunk_records(spark.createDataFrame(rows, "id long, name string, text string").withColumn("source", F.lit(None).cast("string")), "id", strategy=F.col("name")).collect()
+    kinds = {r.id: (r.strategy, json.loads(r.metadata)) for r in got if r.chunk_index == 0}
+    assert kinds[1] == ("fixed", {"size": 511}) and kinds[2][1]["overlap"] == 64 and kinds[3][0] == "sliding"
+    assert kinds[4] == ("recursive", {"fallback": "character_split"}) and kinds[5] == ("semantic", {"paragraph_count": 2})
+    assert kinds[6] == ("conversation", {"turn_count": 1, "roles": ["user"]}) and kinds[7][0] == "recursive" and kinds.get(9) is None
+    said = [r for r in got if r.id == 6]
+    assert [(r.start_char, r.end_char) for r in said] == [(0, 126), (126, 580)]
+    plan = chunking.chunk_records(spark.createDataFrame(rows, "id long, name string, text string"), "id", source="name")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Exchange" not in plan
+
+
 def test_bm25_ranks_rare_terms_first(spark):
     docs = spark.createDataFrame([(i, "common words here") for i in range(9)] + [(9, "common rare words")], "doc_id long, text string")
     got = lexical.bm25(docs, spark.createDataFrame([(0, "rare common")], "query_id int, query string")).collect()
