@@ -112,9 +112,16 @@ RECORDS = f"""r as (select doc_id, source, lang, text, {category('text')} as cat
 DATED = "dated as (select d.*, e.ts as created_at from documents d join events e on e.event_id = d.doc_id)"
 METRICS = """m as (select event_id as metric_id, ts, cast(user_id as varchar) as query, nullif(event_type, 'click') as strategy,
     event_id % 9 as bm25_candidates, event_id % 6 as final_count, value * 40 as elapsed_ms, (event_id % 50) / 10.0::double as top_score, user_id % 4 as sources_count from events)"""
-FIXED = f"""fx as (select d.*, s as pos, {strip('substr(text, cast(s as bigint) + 1, 512)')} as piece, least(s + 512, length(text)) as stop
-      from documents d, unnest(range(0, greatest(length(text), 1), 512)) as u(s) where length({strip('text')}) >= 50),
+
+
+def fixed_chunks(texts: str) -> str:
+    """CTEs up to fixed(doc_id, chunk_index, piece, ...): slices of texts(doc_id, text)."""
+    return f"""fx as (select d.*, s as pos, {strip('substr(text, cast(s as bigint) + 1, 512)')} as piece, least(s + 512, length(text)) as stop
+      from ({texts}) d, unnest(range(0, greatest(length(text), 1), 512)) as u(s) where length({strip('text')}) >= 50),
     fixed as (select *, row_number() over (partition by doc_id order by pos) - 1 as chunk_index from fx where length(piece) >= 50 or length(text) <= 512)"""
+
+
+FIXED = fixed_chunks("select * from documents")
 POSTINGS = f"""tok as (select doc_id, {index_tokens('text')} as ts from documents),
     post as (select term, doc_id, dl, count(*) as tf from (select doc_id, len(ts) as dl, unnest(ts) as term from tok) group by all),
     st as (select count(*) as n, avg(len(ts)) as avgdl from tok),
@@ -188,9 +195,26 @@ SLIDING = f"""with recursive d as (select doc_id, text, length(text) as n from d
         walk as (select doc_id, cast(0 as bigint) as start, cast({window_end('0')} as bigint) as stop from d
           union all select doc_id, b, cast({window_end('b')} as bigint) from (select w.doc_id, greatest(w.stop - 64, w.start + 1) as b, text, n from walk w join d using (doc_id) where w.stop < n)),
         p as (select doc_id, start, stop, n, {strip('substr(text, start + 1, stop - start)')} as t from walk join d using (doc_id))"""
-SEMANTIC = f"""with recursive s as (select doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> '') as ps from documents where length({strip('text')}) >= 50),
+
+
+def semantic_chunks(texts: str) -> str:
+    """CTEs up to good(doc_id, o, t): packed paragraphs of texts(doc_id, text)."""
+    return f"""s as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {strip('x')}), lambda x: x <> '') as ps from ({texts}) where length({strip('text')}) >= 50),
         {packed("select doc_id, unnest(range(1, len(ps) + 1)) as i, unnest(ps) as part from s", 'chr(10) || chr(10)')}"""
 
+
+SEMANTIC = "with recursive " + semantic_chunks("select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents")
+
+
+def strategy_of(text: str, source: str) -> str:
+    return rf"""case when {source} in ({', '.join(map(q, V.CONVERSATIONAL_SOURCES))}) and regexp_matches(left({text}, 500), '(?i)(user|assistant|human|ai):\s') and len(regexp_extract_all({text}, '(?i)(?:^|\n)(user|assistant|human|ai):\s')) >= 2 then 'conversation'
+        when len(regexp_extract_all({text}, '(?m)^#{{1,6}}\s')) >= 3 then 'semantic' when len(regexp_extract_all({text}, '```')) >= 4 or {source} = 'code' then 'fixed' else 'recursive' end"""
+
+
+def html_text(html: str) -> str:
+    return rf"array_to_string(list_filter(list_transform(regexp_split_to_array({HTML.replace('(html,', f'({html},')}, '\r\n|\r|\n'), lambda x: trim(regexp_replace(x, '[\s]+', ' ', 'g'))), lambda x: length(x) >= 2), chr(10))"
+
+
 ORACLES: dict[str, str] = {
     "expand_queries": f"""select query_id, {EXPAND_INDEX} as index_query, array_to_string(list_concat(ts, flatten(list_transform(ts, lambda t: case t {WIDE} else [] end))), ' ') as retrieval_terms
         from (select *, {retrieval_tokens(ascii_lower('query'))} as ts from {values([*QUESTIONS, 'docker gpu server', 'project age', 'fan model'])})""",
@@ -229,8 +253,7 @@ ORACLES: dict[str, str] = {
     "qwen_sessions": f"""with m as (select conv_id, turn, {strip('text')} as t from conversations where role in ('user', 'assistant')), g as (select conv_id, count(*) filter (t <> '') as n, sum(turn % 2) as r, string_agg(t, ' ' order by turn) filter (t <> '') as b from m group by conv_id),
         k as (select *, {category('b', 'qwen')} as cat from g where n > 0) select cast(conv_id as varchar) as external_id, case when cat = 'chat' and r > 0 then 'tool' else cat end as category, n as n_messages, cast(r as bigint) as n_tool_results from k""",
     "record_text": "select doc_id, case when length(text) > 20 then text else concat_ws(chr(10) || chr(10), source, lang, text) end as record_text from documents",
-    "html_to_text": rf"""with t as (select page_id, array_to_string(list_filter(list_transform(regexp_split_to_array({HTML}, '\r\n|\r|\n'), lambda x: trim(regexp_replace(x, '[\s]+', ' ', 'g'))), lambda x: length(x) >= 2), chr(10)) as t from pages)
-        select page_id, cast(length(t) as bigint) as n_chars, sha256(t) as hash from t""",
+    "html_to_text": f"with t as (select page_id, {html_text('html')} as t from pages) select page_id, cast(length(t) as bigint) as n_chars, sha256(t) as hash from t",
     "html_block_split": rf"""with b as (select page_id, string_split(html, '<p>')[2:] as bs from pages), e as (select page_id, unnest(range(len(bs))) as n, '<p>' || unnest(bs) as b from b)
         select page_id, cast(n as bigint) as n, {strip(r"regexp_replace(regexp_replace(regexp_replace(b, '<[^>]+>', ' ', 'g'), '&\w+;', ' ', 'g'), '\s+', ' ', 'g')")} as block from e""",
     "recent_records": f"with {DATED} select doc_id, created_at, source from dated where created_at >= date '2024-01-02' order by created_at desc, doc_id limit 50",
@@ -288,8 +311,7 @@ ORACLES: dict[str, str] = {
         select conv_id, cast(c as bigint) as chunk_index, count(*) as turn_count, string_agg(distinct role, '|' order by role) as roles, sha256({strip("string_agg(line, '' order by i)")}) as hash from walk join m using (conv_id, i) group by conv_id, c""",
     "chunk_strategy": rf"""with d as (select doc_id, case doc_id % 4 when 0 then '# a' || chr(10) || '## b' || chr(10) || '### c' || chr(10) || text when 1 then '```' || chr(10) || '```' || chr(10) || '```' || chr(10) || '```' || text when 2 then 'user: ' || text || chr(10) || 'assistant: ok' else text end as t,
         case when doc_id % 8 = 2 then 'codex' else source end as s from documents)
-        select doc_id, case when s in ({', '.join(map(q, V.CONVERSATIONAL_SOURCES))}) and regexp_matches(left(t, 500), '(?i)(user|assistant|human|ai):\s') and len(regexp_extract_all(t, '(?i)(?:^|\n)(user|assistant|human|ai):\s')) >= 2 then 'conversation'
-        when len(regexp_extract_all(t, '(?m)^#{{1,6}}\s')) >= 3 then 'semantic' when len(regexp_extract_all(t, '```')) >= 4 or s = 'code' then 'fixed' else 'recursive' end as strategy from d""",
+        select doc_id, {strategy_of('t', 's')} as strategy from d""",
     "bm25_stats": f"with {POSTINGS} select term, df, round(idf, 6) as idf from idf where df >= 2",
     "bm25_topk": f"with {BM25}, k as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0) select query_id, rank, doc_id, round(score, 4) as score from k where rank <= 10",
     "index_search": f"with {BM25}, k as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0) select query_id, rank, doc_id, round(score, 4) as score from k where rank <= 10",
