@@ -1,7 +1,8 @@
-"""Text functions as Column expressions; they stay inside the JVM."""
+"""Text functions as Column expressions; they stay inside the JVM, but for normalize_text() and rare entities."""
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
 from functools import reduce
 
@@ -122,15 +123,30 @@ def importance(category: Column, text: Column) -> Column:
     return base + F.when(F.length(text) > 1000, 0.1).otherwise(0.0)
 
 
+@F.pandas_udf(StringType())
+def _every_entity(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
+
+
+# The entities that most pages have, which need no lookup.
+COMMON_ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "copy": "©", "middot": "·", "amp": "&"}
+
+
+def unescape(c: Column) -> Column:
+    """Character references resolved as HTML says: all names, also those that may lack their semicolon, and numbers (with its table for 0x80 to 0x9F, and U+FFFD for what is no character). Only texts with others than the commonest go through Python."""
+    plain = c
+    for name, char in COMMON_ENTITIES.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(char))
+    rare = F.when(c.rlike("&(?!(?:" + "|".join(COMMON_ENTITIES) + ");)[#A-Za-z]"), c)
+    return F.coalesce(_every_entity(rare), plain)
+
+
 def html_to_text(c: Column) -> Column:
-    """Visible text, one cleaned line a block; lines of one character go. Named entities beyond the common ones stay."""
+    """Visible text, one cleaned line a block; lines of one character go."""
     c = F.regexp_replace(c, r"(?is)<script.*?>.*?</script>|<style.*?>.*?</style>", " ")
     c = F.regexp_replace(c, r"(?i)<br\s*/?>|</p>|</div>|</li>|</tr>|</h[1-6]>", "\n")
-    c = F.regexp_replace(c, r"(?s)<[^>]+>", " ")
-    # HTML entities.
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    lines = F.transform(F.split(c, r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s ]+", " ")))
+    c = unescape(F.regexp_replace(c, r"(?s)<[^>]+>", " "))
+    lines = F.transform(F.split(c, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.trim(F.regexp_replace(x, r"[\s\p{Z}\x1C-\x1F\x85]+", " ")))
     return F.array_join(F.filter(lines, lambda x: F.length(x) >= 2), "\n")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions import fixed_values as V
+from .functions.text import COMMON_ENTITIES
 from .queries import PATHS, PLANNED, QUESTIONS, RETRIEVAL
 
 
@@ -164,8 +165,8 @@ SPOKEN = r"list_filter(list_transform(list_filter(list_slice(ls, 1, 5), lambda x
 FIRST_WORDS = r"array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 1, 15), ' ')"
 FILES = r"list_concat(regexp_extract_all(x, '[/\\][\w\-\.]+(?:/[\w\-\.]+){1,5}'), regexp_extract_all(x, '[\w\-]+\.(?:%s)'))" % "|".join(V.FILE_EXTENSIONS)
 HTML = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), '(?i)<br\s*/?>|</p>|</div>|</li>|</tr>|</h[1-6]>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g')"""
-for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-    HTML = f"replace({HTML}, {q(_e)}, {q(_c)})"
+for _e, _c in COMMON_ENTITIES.items():
+    HTML = f"replace({HTML}, {q(f'&{_e};')}, {q(_c)})"
 KEYWORD_TERMS = lst(["tion", "thon", "license"])
 CTX = "'[' || rank || '] ' || coalesce(nullif(source, ''), 'unknown') || ': ' || left(text, 500)"
 LISTED = "l as (select doc_id // 40 as query_id, doc_id % 40 as rank, doc_id, text from documents)"
@@ -252,6 +253,12 @@ ORACLES: dict[str, str] = {
         select cast(conv_id as varchar) as external_id, coalesce(nullif({strip('left(u, 100)')}, ''), cast(conv_id as varchar)) as title, {category('b', 'factory')} as category, n as n_messages, sha256(c) as hash from g""",
     "qwen_sessions": f"""with m as (select conv_id, turn, {strip('text')} as t from conversations where role in ('user', 'assistant')), g as (select conv_id, count(*) filter (t <> '') as n, sum(turn % 2) as r, string_agg(t, ' ' order by turn) filter (t <> '') as b from m group by conv_id),
         k as (select *, {category('b', 'qwen')} as cat from g where n > 0) select cast(conv_id as varchar) as external_id, case when cat = 'chat' and r > 0 then 'tool' else cat end as category, n as n_messages, cast(r as bigint) as n_tool_results from k""",
+    "takeout_walk": f"""with m as (select *, row_number() over (partition by conv_id order by turn, role, text) as k from conversations), g as (select conv_id, count(*) filter ({strip('text')} <> '') as n, coalesce(string_agg(text, ' ' order by turn) filter ({strip('text')} <> ''), '') as b, arg_min(text, turn) as first, max(case when k = 2 then text end) as reply from m group by conv_id),
+        d as (select conv_id, concat_ws(chr(10), case when length(reply) > 50 then 'reply: ' || reply end, case when length(first) > 50 then 'note: ' || first end) as t from g)
+        select 'c' || conv_id as external_id, 'conversation' as record_type, case conv_id % 4 when 0 then 'Conversation ' || left('c' || conv_id, 8) else 'A talk' end as title, null::varchar as created_at, {category('b', 'takeout')} as category, n as n_messages, sha256(b) as hash from g where conv_id % 4 < 2
+        union all select 'c' || conv_id || 'b', 'conversation', 'None', null, 'chat', 0, sha256('') from g where conv_id % 4 = 1
+        union all select 't/c' || conv_id || '.json[0][0]', 'search', first, '2024-01-05T00:00:00', 'chat', 1, sha256(first) from g where conv_id % 4 = 2
+        union all select 't/c' || conv_id || '.json', 'document', 'c' || conv_id, null, 'chat', 1, sha256(t) from d where conv_id % 4 = 3 and t <> ''""",
     "record_text": "select doc_id, case when length(text) > 20 then text else concat_ws(chr(10) || chr(10), source, lang, text) end as record_text from documents",
     "html_to_text": f"with t as (select page_id, {html_text('html')} as t from pages) select page_id, cast(length(t) as bigint) as n_chars, sha256(t) as hash from t",
     "html_block_split": rf"""with b as (select page_id, string_split(html, '<p>')[2:] as bs from pages), e as (select page_id, unnest(range(len(bs))) as n, '<p>' || unnest(bs) as b from b)

@@ -111,6 +111,23 @@ def qwen_sessions(spark, sf_dir):
     return r.select("external_id", "category", "n_messages", *long("n_tool_results"))
 
 
+@query
+def takeout_walk(spark, sf_dir):
+    """Takeout documents built from conversations: one of a conversation, in lists four deep, a list of conversations, a search, and long strings."""
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("messages"), F.min_by("text", "turn").alias("first"))
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    forms = [
+        F.concat(F.lit("[[[["), F.to_json(F.struct(name.alias("id"), "messages")), F.lit(',{"short":1}]]],[]]')),
+        F.to_json(F.struct(F.array(F.struct(name.alias("conversationId"), F.lit("A talk").alias("name"), F.col("messages").alias("turns")), F.struct(F.concat(name, F.lit("b")).alias("conversationId"), F.lit("None").alias("name"), F.slice("messages", 1, 0).alias("turns"))).alias("conversations"))),
+        F.concat(F.lit("[["), F.to_json(F.struct(F.struct(F.col("first").alias("text")).alias("query"), F.lit("2024-01-05T00:00:00").alias("time"))), F.lit("]]")),
+        F.to_json(F.struct(F.col("first").alias("note"), F.struct(F.get("messages", F.lit(1))["content"].alias("reply")).alias("inner"))),
+    ]
+    line = F.element_at(F.array(*forms), (F.col("conv_id") % 4 + 1).cast("int"))
+    r = conversations.takeout_records(talks.select(F.concat(F.lit("t/"), name, F.lit(".json")).alias("path"), line.alias("line")))
+    return r.select("external_id", "record_type", "title", "created_at", "category", F.size("messages").cast("long").alias("n_messages"), F.sha2(conversations.joined(F.col("messages")), 256).alias("hash"))
+
+
 @query
 def record_text(spark, sf_dir):
     d = docs_of(spark, sf_dir)

@@ -5,6 +5,8 @@ messages are dropped, not their files."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,15 @@ from ..functions import text as T
 MESSAGES = "array<struct<role:string,content:string,timestamp:string>>"
 
 
-def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """line (text), path, number (from 1, within a file)."""
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
-    return raw.withColumn("number", F.row_number().over(Window.partitionBy("path").orderBy("at"))).drop("at")
+def lines(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """line (text), path, number (from 1, within a file).
+
+    Files are read in splits. A first pass counts the lines of each split; the splits before it in its file give where its own begin,
+    and within a split lines are numbered as they are read. So a large file is numbered by all its tasks, and no line is shuffled."""
+    raw = spark.read.options(**options).text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = raw.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(splits.select("path", "start", "first", before.alias("before")), ["path", "start"]).select("line", "path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("number"))
 
 
 def field(v: Column, *keys: str) -> Column:
@@ -102,21 +109,47 @@ def event_sessions(df: DataFrame, form: str, session: str = "path") -> DataFrame
     return talks.select(name.alias("external_id"), title.alias("title"), category.alias("category"), body.alias("content_text"), F.size("m").cast("long").alias("n_messages"), "n_tool_results", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["timestamp"].alias("timestamp"))).alias("messages"))
 
 
+def list_items(path: Column, document: Column, depth: int = 64) -> Column:
+    """array of (at, v): what the lists of a VARIANT document hold, however they are nested (`depth` levels at most), each with its place, path[i][j]..."""
+    inner = lambda x: F.try_variant_get(x["v"], "$", "array<variant>")
+    member = lambda x: F.transform(inner(x), lambda v, i: F.struct(F.concat(x["at"], F.lit("["), i.cast("string"), F.lit("]")).alias("at"), v.alias("v")))
+    opened = lambda items: F.flatten(F.transform(items, lambda x: F.when(_is(x["v"], "ARRAY"), member(x)).otherwise(F.array(x))))
+    step = lambda items: F.when(F.exists(items, lambda x: _is(x["v"], "ARRAY")), opened(items)).otherwise(items)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.array(F.struct(path.alias("at"), document.alias("v"))), lambda items, _: step(items))
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
+def long_strings(v: Column, least: int = 50) -> Column:
+    """`key: value` of an object's strings above so many characters, its own and those of the objects right in it, by key."""
+    entries = lambda x: F.map_entries(F.try_variant_get(x, "$", "map<string,variant>"))
+    told = lambda e: F.concat(e["key"], F.lit(": "), F.try_variant_get(e["value"], "$", "string"))
+    is_long = lambda e: _is(e["value"], "STRING") & (F.length(F.try_variant_get(e["value"], "$", "string")) > least)
+    below = lambda e: F.transform(F.filter(F.coalesce(entries(e["value"]), F.array().cast("array<struct<key:string,value:variant>>")), is_long), told)
+    none = F.array().cast("array<string>")
+    return F.flatten(F.transform(entries(v), lambda e: F.when(is_long(e), F.array(told(e))).when(_is(e["value"], "OBJECT"), below(e)).otherwise(none)))
+
+
 def takeout_records(df: DataFrame) -> DataFrame:
-    """Takeout JSON documents (line, path): conversations, one conversation, a search, or any long strings."""
+    """Takeout JSON documents (line, path), of objects in lists nested in any way: conversations, one conversation, a search, or any long strings. What has no id of its own goes by its place."""
     v = F.col("v")
-    flat = parse(df).where(v.isNotNull()).select("path", F.explode(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array("v"))).alias("v"))
-    flat = flat.select("path", F.explode(F.coalesce(F.try_variant_get(v, "$.conversations", "array<variant>"), F.array("v"))).alias("v"))
-    raw = F.coalesce(F.try_variant_get(v, "$.messages", "array<variant>"), F.try_variant_get(v, "$.turns", "array<variant>"))
+    items = parse(df).where(v.isNotNull()).select(F.explode(list_items(F.col("path"), v)).alias("x")).select(F.col("x.at").alias("at"), F.col("x.v").alias("v")).where(_is(v, "OBJECT"))
+    talks = F.try_variant_get(v, "$.conversations", "array<variant>")
+    items = items.select("at", F.explode_outer(talks).alias("talk"), "v", talks.isNotNull().alias("listed")).select("at", F.when(F.col("listed"), F.col("talk")).otherwise(v).alias("v"), "listed").where(_is(v, "OBJECT"))
+    raw = F.coalesce(*[F.when(F.size(m) > 0, m) for m in (F.try_variant_get(v, "$.messages", "array<variant>"), F.try_variant_get(v, "$.turns", "array<variant>"))], F.array().cast("array<variant>"))
     text = lambda m: F.coalesce(F.nullif(flat_text(m, "content"), F.lit("")), F.nullif(flat_text(m, "text"), F.lit("")), F.try_variant_get(m, "$.parts[0].text", "string"), F.lit(""))
     messages = F.filter(F.transform(raw, lambda m: F.struct(F.coalesce(field(m, "role", "sender"), F.lit("user")).alias("role"), text(m).alias("content"), field(m, "timestamp").alias("timestamp"))), lambda m: m["content"] != "")
+    has = lambda *keys: reduce(lambda a, b: a | b, (F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for k in keys))
+    strings = long_strings(v)
+    kind = F.when(F.col("listed") | has("messages", "turns"), "conversation").when(has("event", "query"), "search").when(F.size(strings) > 0, "document")
     search = F.try_variant_get(v, "$.query.text", "string")
-    values = F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
-    strings = F.filter(F.transform(values, lambda x: F.try_variant_get(x, "$", "string")), lambda s: F.length(s) > 50)
-    kind = F.when(raw.isNotNull(), "conversation").when(search.isNotNull() | F.try_variant_get(v, "$.event", "variant").isNotNull(), "search").when(F.size(strings) > 0, "document")
     one = lambda role, c: F.array(F.struct(F.lit(role).alias("role"), c.alias("content"), F.lit(None).cast("string").alias("timestamp")))
-    ident = F.coalesce(field(v, "id", "conversationId"), F.col("path"))
-    out = flat.select(ident.alias("external_id"), kind.alias("record_type"), F.coalesce(field(v, "name", "title"), F.when(kind == "search", F.coalesce(search, F.lit("Search"))), F.concat(F.lit("Conversation "), F.left(ident, F.lit(8)))).alias("title"), field(v, "createTime", "created_at", "timestamp", "time").alias("created_at"), F.when(kind == "conversation", messages).when(kind == "search", one("user", F.coalesce(search, F.lit("")))).otherwise(one("document", F.array_join(strings, "\n"))).alias("messages"))
+    ident = F.coalesce(F.when(kind != "document", field(v, "id")), F.when(kind == "conversation", field(v, "conversationId")), F.col("at"))
+    title = F.when(kind == "conversation", F.coalesce(field(v, "name", "title"), F.concat(F.lit("Conversation "), F.left(ident, F.lit(8))))).when(kind == "search", F.coalesce(search, F.lit("Search"))).otherwise(F.regexp_extract("at", r"([^/\\]*?)(?:\.[^./\\]*)?$", 1))
+    when = F.when(kind == "search", field(v, "time")).when(kind == "conversation", field(v, "createTime", "created_at", "timestamp"))
+    out = items.select(ident.alias("external_id"), kind.alias("record_type"), title.alias("title"), when.alias("created_at"), F.when(kind == "conversation", messages).when(kind == "search", one("user", F.coalesce(search, F.lit("")))).otherwise(one("document", F.array_join(strings, "\n"))).alias("messages"))
     return out.where(F.col("record_type").isNotNull()).withColumn("category", F.when(F.col("record_type") == "conversation", T.category(joined(F.col("messages")), "takeout")).otherwise("chat"))
 
 
