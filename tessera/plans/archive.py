@@ -82,13 +82,14 @@ def classification_report(manifest: DataFrame) -> DataFrame:
 
 
 def member_records(members: DataFrame) -> DataFrame:
-    """Records of takeout archives' text members (archive, name, content): JSON by its shape, pages as their text."""
-    m = members.where(files.is_takeout_text(F.col("name")) & ~files.is_binary(F.col("content"))).withColumn("text", F.decode("content", "UTF-8"))
-    path = F.concat_ws("/", "archive", "name")
-    json = conversations.takeout_records(m.where(F.lower("name").endswith(".json")).select(path.alias("path"), F.col("text").alias("line")))
-    pages = m.where(~F.lower("name").endswith(".json")).select(path.alias("external_id"), F.lit("document").alias("record_type"), F.col("name").alias("title"), F.lit(None).cast("string").alias("created_at"), F.when(F.lower("name").endswith(".html"), T.html_to_text(F.col("text"))).otherwise(F.col("text")).alias("body"))
+    """Records of takeout archives' text members (archive, name, guess, content): JSON by its shape, pages as their text; JSON that can't be parsed as text, unless it was read as a guess."""
+    m = members.where(~files.is_binary(F.col("content"))).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
+    json, path = F.lower("name").endswith(".json"), F.concat_ws("/", "archive", "name")
+    parsed = F.try_parse_json("text").isNotNull()
+    known = conversations.takeout_records(m.where(json & parsed).select(path.alias("path"), F.col("text").alias("line")))
+    pages = m.where(~json | (~parsed & ~F.col("guess"))).select(path.alias("external_id"), F.lit("document").alias("record_type"), F.regexp_extract("name", r"([^/]+)$", 1).alias("title"), F.lit(None).cast("string").alias("created_at"), F.when(F.lower("name").endswith(".html"), T.html_to_text(F.col("text"))).otherwise(F.col("text")).alias("body"))
     document = F.array(F.struct(F.lit("document").alias("role"), F.col("body").alias("content"), F.lit(None).cast("string").alias("timestamp")))
-    return json.unionByName(pages.withColumn("messages", document).withColumn("category", T.category(F.col("body"), "takeout")).drop("body"))
+    return known.unionByName(pages.withColumn("messages", document).withColumn("category", T.category(F.col("body"), "takeout")).drop("body"))
 
 
 def run_extraction(spark: SparkSession, config: Config) -> DataFrame:
@@ -108,7 +109,9 @@ def run_extraction(spark: SparkSession, config: Config) -> DataFrame:
         text = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
         parts.append(text.withColumns({"external_id": F.col("path"), "record_type": F.lit("document"), "title": F.regexp_extract("path", r"([^/\\]+)$", 1), "created_at": F.lit(None).cast("string"), "category": F.lit("note")}))
     if of("takeout_extractor"):
-        found = member_records(archives.zip_members(spark, config.root))
+        names = archives.text_members(archives.zip_names(todo.where("extractor = 'takeout_extractor'").select("path")))
+        content = archives.zip_contents(names).join(names.select("archive", "name", "guess"), ["archive", "name"])
+        found = member_records(content)
         parts.append(found.withColumn("path", F.col("external_id")).withColumn("text", conversations.joined(F.col("messages"))))
     done = todo.select("path", F.when(F.col("extractor").isin("jsonl_extractor", "text_extractor", "takeout_extractor"), "ingested").otherwise("skipped").alias("now"))
     if parts:

@@ -1,14 +1,18 @@
-"""Sources: character references, line numbers over splits, nested takeout documents."""
+"""Sources: character references, line numbers over splits, nested takeout documents, archives."""
 
 import html
 import json
+import random
+import tracemalloc
+import zipfile
 from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.sources import conversations
+from tessera.plans import archive
+from tessera.sources import archives, conversations
 
 
 def test_every_entity_is_resolved_as_html_says(spark):
@@ -74,3 +78,76 @@ def test_kinds_of_takeout_documents(spark):
     assert got["t/p2.json"] == ("document", "p2", [("document", f"more: {long}\nnote: {long}")])
     assert got["t/p3.json"][2] == [("user", "one\ntwo")] and got["t/p4.json"] == ("conversation", "Conversation t/p4.jso", [])
     assert set(got) == {"t/p0.json[0]", "t/p0.json[1][0]", "q", "g", "empty", "t/p2.json", "t/p3.json", "t/p4.json"}
+
+
+def zipped(path, members):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in members.items():
+            z.writestr(name, content)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 10_000])
+def test_blocks_of_a_stream_are_those_of_the_whole(size):
+    rng = random.Random(size)
+    for n in range(60):
+        whole = "".join(rng.choice(["<p>", "<", "p", ">", "ab", "<p", "</p></p>", "é"]) for _ in range(rng.randrange(60))).encode()
+        pieces = [whole[i : i + size] for i in range(0, len(whole), size)]
+        assert list(archives.scan_blocks(pieces, b"<p>")) == [b"<p>" + x for x in whole.split(b"<p>")[1:]], (n, whole)
+        ended = [b"<p>" + x.split(b"</p></p>")[0] + (b"</p></p>" if b"</p></p>" in x else b"") for x in whole.split(b"<p>")[1:]]
+        assert list(archives.scan_blocks(pieces, b"<p>", b"</p></p>")) == ended
+
+
+def test_blocks_hold_one_block_of_a_long_stream():
+    def stream():
+        for i in range(20_000):
+            yield b"outer-cell" + b"x" * 3000 + b"</div></div></div>" + b"between" * 10 if i % 2 else b"no mark here " * 300
+
+    tracemalloc.start()
+    n = sum(1 for _ in archives.scan_blocks(stream(), b"outer-cell", b"</div></div></div>"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_000 and most < 200_000
+    assert [len(b) for b in archives.scan_blocks([b"<p>" + b"x" * 1000] * 3, b"<p>", None, 400)] == [400, 400, 400]
+
+
+def test_page_blocks_equal_the_split_of_the_page(spark, tmp_path):
+    pages = {f"p{i}.html": "head" + "".join(f"<p>{'words ' * (j * 37 % 900)}é{j}" for j in range(i * 3)) for i in range(6)}
+    zipped(tmp_path / "takeout-1.zip", pages)
+    names = archives.zip_names(archives.archive_paths(spark, str(tmp_path)))
+    got = sorted((r.name, r.n, r.block) for r in archives.page_blocks(names, "<p>").collect())
+    split = spark.createDataFrame(list(pages.items()), "name string, html string").select("name", F.posexplode(archives.blocks(F.col("html"), "<p>")).alias("n", "block"))
+    assert got == sorted((r.name, r.n, r.block) for r in split.collect())
+
+
+def test_members_by_name_and_the_fallback(spark, tmp_path):
+    zipped(tmp_path / "takeout a.zip", {"x/Gemini/chat.json": "[]", "x/photo.png": "\x89", "x/other.json": "{}", "x/conversation notes.md": "n"})
+    zipped(tmp_path / "takeout-b.zip", {"data.json": json.dumps([{"id": "z", "messages": [{"content": "hi"}]}]), "broken.json": "{", "readme.txt": "no"})
+    zipped(tmp_path / "takeout-c.zip", {})
+    (tmp_path / "takeout-d.zip").write_bytes(b"no archive")
+    names = archives.text_members(archives.zip_names(archives.archive_paths(spark, str(tmp_path))))
+    assert sorted((r.archive[-5], r.name, r.guess) for r in names.collect()) == [("a", "x/Gemini/chat.json", False), ("a", "x/conversation notes.md", False), ("b", "broken.json", True), ("b", "data.json", True)]
+    content = archives.zip_contents(names).join(names, ["archive", "name"])
+    got = archive.member_records(content).collect()
+    assert sorted((r.record_type, r.title) for r in got) == [("conversation", "Conversation z"), ("document", "conversation notes.md")]
+
+
+def test_activity_pages_of_archives(spark, tmp_path):
+    entry = lambda i: f'<div class="outer-cell mdl">Gemini<br></p>You asked what is number {i}<br>10 abr 2026, 19:55:59 CEST<br><p>It is a long answer {i}</p></div></div></div>'
+    zipped(tmp_path / "takeout-1.zip", {"Takeout/Gemini/MiActividad.html": "<html>" + "".join(map(entry, range(50))), "Takeout/other.html": entry(99), "Takeout/Modo IA/x.html": entry(77)})
+    zipped(tmp_path / "my gemini.zip", {"gemini.html": entry(78)})
+    zipped(tmp_path / "holiday.zip", {"gemini.html": entry(98)})
+    got = archives.activity_records(spark, str(tmp_path))
+    assert sorted(int(r.prompt.split()[-1]) for r in got.collect()) == [*range(50), 77, 78]
+    archives.export_json_array(got.select("prompt", "response"), str(tmp_path / "out"), files=3)
+    parts = [json.loads(f.read_text()) for f in (tmp_path / "out").glob("part-*")]
+    assert len(parts) == 3 and sum(map(len, parts)) == 52 and {"prompt", "response"} == set(parts[0][0])
+    archives.export_json_array(got.where("false").select("prompt"), str(tmp_path / "none"))
+    assert [json.loads(f.read_text()) for f in (tmp_path / "none").glob("part-*")] == [[]]
+
+
+def test_a_large_archive_is_listed_and_streamed_without_reading_it_whole(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "takeout-1.zip", "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z, z.open("gemini.html", "w") as f:
+        for i in range(300):  # 300 MB
+            f.write(b"<p>" + str(i).encode() + b" " * 1_000_000)
+    got = archives.page_blocks(archives.zip_names(archives.archive_paths(spark, str(tmp_path))), "<p>", None, 1000)
+    assert got.count() == 300 and got.where(F.length("block") > 1000).count() == 0
