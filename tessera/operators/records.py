@@ -28,6 +28,58 @@ def dated(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(times, "doc_id")
 
 
+# The metadata keys whose text belongs to a record's.
+TEXT_KEYS = ("content", "text", "description", "summary", "body")
+
+
+def _string(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def metadata_text(metadata: Column) -> Column:
+    """array of the texts under the known keys of a JSON object: strings above 50 characters, and lists, their first ten items as lines."""
+    m = F.try_parse_json(metadata)
+    item = lambda x: F.coalesce(_string(x), F.try_variant_get(x, "$", "string"), F.to_json(x))
+    items = lambda k: F.try_variant_get(m, f"$.{k}", "array<variant>")
+    value = lambda k: _string(F.try_variant_get(m, f"$.{k}", "variant"))
+    part = lambda k: F.when(F.length(value(k)) > 50, value(k)).when(F.size(items(k)) > 0, F.array_join(F.transform(F.slice(items(k), 1, 10), item), "\n"))
+    return F.array_compact(F.array(*map(part, TEXT_KEYS)))
+
+
+def line_texts(lines: DataFrame) -> DataFrame:
+    """path, external_id, said of JSON lines (path, number, line): the messages of each id's first line in a file, as `role: content` lines. Lines without an id go by their number."""
+    v = F.col("v")
+    first_of = lambda m, *keys: F.coalesce(*[F.nullif(F.try_variant_get(m, f"$.{k}", "string"), F.lit("")) for k in keys])
+    lists = [F.try_variant_get(v, f"$.{k}", "array<variant>") for k in ("messages", "turns")]
+    messages = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.array().cast("array<variant>"))
+    parts = lambda m: F.try_variant_get(m, "$.content", "array<variant>")
+    content = lambda m: F.when(parts(m).isNotNull(), F.array_join(F.transform(parts(m), lambda x: F.coalesce(_string(x), F.to_json(x))), " ")).otherwise(first_of(m, "content", "text"))
+    said = F.array_join(F.filter(F.transform(messages, lambda m: F.concat(F.coalesce(first_of(m, "role"), F.lit("unknown")), F.lit(": "), F.nullif(content(m), F.lit("")))), lambda x: x.isNotNull()), "\n")
+    parsed = lines.withColumn("v", F.try_parse_json(F.trim("line"))).where(v.isNotNull())
+    each = parsed.select("path", "number", F.coalesce(first_of(v, "id", "conversation_id"), F.concat(F.lit("line_"), F.col("number").cast("string"))).alias("external_id"), said.alias("said"))
+    return each.groupBy("path", "external_id").agg(F.min_by("said", "number").alias("said"))
+
+
+def with_text(records: DataFrame, lines: DataFrame | None = None, *, key: str = "record_id") -> DataFrame:
+    """key, record_text of records (title, category, metadata as JSON; path and external_id where lines are given).
+
+    A content_text above 20 characters is the text. Else it is made of the title, the category, the texts of the metadata, what the record's
+    line in its file says (lines: path, number, line) and the preview, with blank lines between. Only lines of files that such records name are
+    parsed, and only ids that they name are joined; Spark sends the wanted ones to the lines' scan where they are few, or a Bloom filter of them."""
+    own = _string(F.try_variant_get(F.try_parse_json("metadata"), "$.content_text", "variant"))
+    rows = records.withColumn("__own", F.when(F.length(own) > 20, own))
+    if lines is None:
+        rows = rows.withColumn("said", F.lit(None).cast("string"))
+    else:
+        wanted = rows.where("__own is null and path like '%jsonl%'").select("path", F.col("external_id").cast("string").alias("external_id"))
+        found = line_texts(lines.join(wanted.select("path").distinct(), "path", "left_semi")).join(wanted.distinct(), ["path", "external_id"], "left_semi")
+        rows = rows.withColumn("external_id", F.col("external_id").cast("string")).join(found, ["path", "external_id"], "left")
+    preview = _string(F.try_variant_get(F.try_parse_json("metadata"), "$.content_preview", "variant"))
+    head = lambda name, c: F.concat(F.lit(f"{name}: "), F.nullif(F.col(c), F.lit("")))
+    parts = F.concat(F.array(head("Title", "title"), head("Category", "category")), F.coalesce(metadata_text(F.col("metadata")), F.array().cast("array<string>")), F.array(F.nullif(F.col("said"), F.lit("")), preview))
+    return rows.select(key, F.coalesce("__own", F.array_join(F.array_compact(parts), "\n\n")).alias("record_text"))
+
+
 def keep_first(df: DataFrame, signature: list[Column], order: list[Column]) -> DataFrame:
     """One row a signature, the first in order."""
     w = Window.partitionBy(*signature).orderBy(*order)

@@ -259,7 +259,16 @@ ORACLES: dict[str, str] = {
         union all select 'c' || conv_id || 'b', 'conversation', 'None', null, 'chat', 0, sha256('') from g where conv_id % 4 = 1
         union all select 't/c' || conv_id || '.json[0][0]', 'search', first, '2024-01-05T00:00:00', 'chat', 1, sha256(first) from g where conv_id % 4 = 2
         union all select 't/c' || conv_id || '.json', 'document', 'c' || conv_id, null, 'chat', 1, sha256(t) from d where conv_id % 4 = 3 and t <> ''""",
-    "record_text": "select doc_id, case when length(text) > 20 then text else concat_ws(chr(10) || chr(10), source, lang, text) end as record_text from documents",
+    "record_text": f"""with c as (select conv_id, string_agg(coalesce(nullif(role, ''), 'unknown') || ': ' || text, chr(10) order by turn) filter (text <> '') as said from conversations group by conv_id),
+        r as (select doc_id, case when doc_id % 4 = 0 and length(text) > 20 then text else concat_ws(chr(10) || chr(10), 'Title: ' || nullif(source, ''), case when doc_id % 4 < 3 then 'Category: ' || nullif(lang, '') end,
+          case when doc_id % 4 = 1 and length(text) > 50 then left(text, 60) end, case when doc_id % 4 = 1 then array_to_string(list_slice(string_split(text, ' '), 1, 10), chr(10)) end,
+          nullif(said, ''), case when doc_id % 4 = 3 then left(text, 30) end) end as t from documents left join c on conv_id = doc_id)
+        select doc_id, cast(length(t) as bigint) as n_chars, sha256(t) as hash from r""",
+    "manifest_metadata": """with p as (select page_id, page_id % 3 < 2 as due, page_id % 7 = 0 as lost, page_id % 5 as e from pages)
+        select page_id, case when due and lost then 'failed' when page_id % 3 = 0 then 'pending' when page_id % 3 = 1 then 'failed' else 'ingested' end as status, case when due and lost then 'File not found' end as error,
+        case when page_id % 2 = 0 then cast(page_id as varchar) end as kept, case when due and not lost then case e when 0 then 'jsonl_extractor' when 1 then 'archive_extractor' when 2 then 'text_extractor' else 'none' end end as extractor,
+        case when due and not lost then case when e <= 2 then 'true' else 'false' end end as processable from p""",
+    "incremental_ingest": f"with {RECORDS} select doc_id, sha256(text) as text_sha256, category, round(importance, 6) as importance, cast(case when doc_id % 2 = 0 and doc_id % 6 <> 0 then 0 else 1 end as bigint) as batch from rec",
     "html_to_text": f"with t as (select page_id, {html_text('html')} as t from pages) select page_id, cast(length(t) as bigint) as n_chars, sha256(t) as hash from t",
     "html_block_split": rf"""with b as (select page_id, string_split(html, '<p>')[2:] as bs from pages), e as (select page_id, unnest(range(len(bs))) as n, '<p>' || unnest(bs) as b from b)
         select page_id, cast(n as bigint) as n, {strip(r"regexp_replace(regexp_replace(regexp_replace(b, '<[^>]+>', ' ', 'g'), '&\w+;', ' ', 'g'), '\s+', ' ', 'g')")} as block from e""",

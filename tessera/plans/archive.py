@@ -4,9 +4,15 @@ Each job reads tables, builds one DataFrame and writes it; what is done is left
 
 from __future__ import annotations
 
+import json
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,21 +20,31 @@ from ..operators import chunking, lexical, quality, vector
 from ..sources import archives, conversations, files
 
 TABLES = ("source_files", "content_records", "content_chunks", "retrieval_metrics")
+BATCHES = "batch_type string, started_at timestamp, completed_at timestamp, status string, files_processed long, files_skipped long, files_failed long, records_created long"
 
 
 @dataclass
 class Config:
-    """root: where exports lie; sources: name -> glob pattern of file names; home: where tables lie."""
+    """root: where exports lie; sources: name -> glob pattern, or patterns, of file names; home: where tables lie."""
 
     root: str
     home: str
-    sources: dict[str, str] = field(default_factory=lambda: {"exports": "*"})
+    sources: dict[str, str | list[str]] = field(default_factory=lambda: {"exports": "*"})
     chunk_size: int = 512
     least_chunk: int = 50
 
     def path(self, table: str) -> str:
         return f"{self.home}/{table}"
 
+    def patterns(self) -> list[tuple[str, str]]:
+        return [(name, p) for name, ps in self.sources.items() for p in ([ps] if isinstance(ps, str) else ps)]
+
+    @classmethod
+    def load(cls, path: str, environment: Mapping[str, str] = os.environ) -> Config:
+        """From a JSON file; TESSERA_ROOT and TESSERA_HOME of the environment override its root and home."""
+        given = json.loads(Path(path).read_text())
+        return cls(**given | {k: environment[f"TESSERA_{k.upper()}"] for k in ("root", "home") if f"TESSERA_{k.upper()}" in environment})
+
 
 def read(spark: SparkSession, config: Config, table: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
@@ -60,7 +76,7 @@ def replace(df: DataFrame, config: Config, table: str) -> None:
 def run_discovery(spark: SparkSession, config: Config) -> DataFrame:
     """Files of every source; new and changed ones become pending. Returns counts by source_type and status."""
     found = None
-    for name, pattern in config.sources.items():
+    for name, pattern in config.patterns():
         part = files.discover(spark, config.root, pattern).withColumn("source_type", F.lit(name))
         found = part if found is None else found.unionByName(part)
     first = found.groupBy("path").agg(F.min_by(F.struct("size", "hash", "source_type"), "source_type").alias("f")).select("path", "f.*")
@@ -72,6 +88,7 @@ def run_discovery(spark: SparkSession, config: Config) -> DataFrame:
         kept = first.unionByName(old.join(first.select("path"), "path", "left_anti").select("path", "size", "hash", "source_type"))
         new = kept.drop("hash").join(state, "path")
     replace(new.select("path", "size", "hash", "source_type", "status"), config, "source_files")
+    read(spark, config, "source_files").write.mode("overwrite").json(config.path("manifest_json"))
     return read(spark, config, "source_files").groupBy("source_type", "status").agg(F.count("*").alias("n"))
 
 
@@ -84,56 +101,107 @@ def classification_report(manifest: DataFrame) -> DataFrame:
 def member_records(members: DataFrame) -> DataFrame:
     """Records of takeout archives' text members (archive, name, guess, content): JSON by its shape, pages as their text; JSON that can't be parsed as text, unless it was read as a guess."""
     m = members.where(~files.is_binary(F.col("content"))).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
-    json, path = F.lower("name").endswith(".json"), F.concat_ws("/", "archive", "name")
+    is_json, path = F.lower("name").endswith(".json"), F.concat_ws("/", "archive", "name")
     parsed = F.try_parse_json("text").isNotNull()
-    known = conversations.takeout_records(m.where(json & parsed).select(path.alias("path"), F.col("text").alias("line")))
-    pages = m.where(~json | (~parsed & ~F.col("guess"))).select(path.alias("external_id"), F.lit("document").alias("record_type"), F.regexp_extract("name", r"([^/]+)$", 1).alias("title"), F.lit(None).cast("string").alias("created_at"), F.when(F.lower("name").endswith(".html"), T.html_to_text(F.col("text"))).otherwise(F.col("text")).alias("body"))
+    known = conversations.takeout_records(m.where(is_json & parsed).select(path.alias("path"), F.col("text").alias("line")))
+    pages = m.where(~is_json | (~parsed & ~F.col("guess"))).select(path.alias("path"), path.alias("external_id"), F.lit("document").alias("record_type"), F.regexp_extract("name", r"([^/]+)$", 1).alias("title"), F.lit(None).cast("string").alias("created_at"), F.when(F.lower("name").endswith(".html"), T.html_to_text(F.col("text"))).otherwise(F.col("text")).alias("body"))
     document = F.array(F.struct(F.lit("document").alias("role"), F.col("body").alias("content"), F.lit(None).cast("string").alias("timestamp")))
     return known.unionByName(pages.withColumn("messages", document).withColumn("category", T.category(F.col("body"), "takeout")).drop("body"))
 
 
+EXTRACTED = ["path", "external_id", "record_type", "title", "created_at", "category", "text"]
+JSONL, NORMALIZED, FACTORY, QWEN, TEXT, TAKEOUT = "jsonl", "normalized", "factory", "qwen", "text", "takeout"
+
+
+def file_of(path: Column) -> Column:
+    """The file that a record's path lies in: an archive, for its members."""
+    return F.when(path.contains(".zip/"), F.concat(F.substring_index(path, ".zip/", 1), F.lit(".zip"))).otherwise(path)
+
+
+def form_of(path: Column, extractor: Column, source_type: Column) -> Column:
+    """How a file is read: JSON lines of one of four forms, a text, a takeout archive; null: not at all."""
+    low, source = F.lower(path), F.lower(F.coalesce(source_type, F.lit("")))
+    jsonl = F.when(source.contains("factory") | low.contains("/.factory/"), FACTORY).when(source.contains("qwen") | low.rlike(r"/\.qwen/.*/chats/[^/]+$"), QWEN).when(low.contains("normalized") | low.contains("reap"), NORMALIZED).otherwise(JSONL)
+    return F.when(extractor == "jsonl_extractor", jsonl).when(extractor == "text_extractor", TEXT).when(extractor == "takeout_extractor", TAKEOUT)
+
+
+def extracted(spark: SparkSession, form: str, paths: list[str], root: str) -> DataFrame:
+    """The records (EXTRACTED) of files of one form."""
+    if form == TEXT:
+        raw = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        found = raw.withColumns({"external_id": F.col("path"), "record_type": F.lit("document"), "title": F.regexp_extract("path", r"([^/\\]+)$", 1), "created_at": F.lit(None).cast("string"), "category": F.lit("note")})
+    elif form == TAKEOUT:
+        names = archives.text_members(archives.zip_names(spark.createDataFrame([(p,) for p in paths], "path string")))
+        content = archives.zip_contents(names).join(names.select("archive", "name", "guess"), ["archive", "name"])
+        found = member_records(content).withColumn("text", conversations.joined(F.col("messages")))
+    else:
+        raw = conversations.lines(spark, paths)
+        if form in (FACTORY, QWEN):
+            sessions = conversations.event_sessions(raw, form, keep_session=True)
+            if form == FACTORY:
+                models = files.session_models(spark, root).withColumnRenamed("model", "set")
+                sessions = sessions.join(models, F.regexp_replace(sessions["path"], r"\.jsonl$", "") == models["session"], "left").withColumn("model", F.coalesce("set", "model"))
+            found = sessions.withColumns({"record_type": F.lit("conversation"), "created_at": F.get("messages", F.lit(0))["timestamp"], "text": F.col("content_text")})
+        else:
+            reader = conversations.normalized_records if form == NORMALIZED else conversations.jsonl_records
+            found = reader(raw, "path").withColumn("text", conversations.joined(F.col("messages")))
+    model = F.col("model") if "model" in found.columns else F.lit(None).cast("string")
+    return found.select(*EXTRACTED, model.alias("model"), F.lit(form).alias("form"))
+
+
 def run_extraction(spark: SparkSession, config: Config) -> DataFrame:
-    """Pending files to content_records, by the extractor that fits each; their files become ingested (or skipped, without an extractor). Returns records by category."""
+    """Pending and failed files to content_records, by the extractor that fits each; their files become ingested, skipped (nothing reads them) or failed (they have gone). Returns records by category.
+
+    The list of due files comes to the driver once, as the readers' arguments. Records are counted by the pass that writes them (observe()), and
+    the batch and its outcome are appended to ingestion_batches and put into workflow_state."""
+    began = datetime.now(timezone.utc)
+    there = reduce(DataFrame.unionByName, [spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", p).load(config.root).select("path") for _, p in config.patterns()])
     manifest = read(spark, config, "source_files")
-    todo = files.classify(manifest.where(F.col("status").isin("pending", "failed")))
-    plain = lambda df, *names: df.select(*names)
-    columns = ["path", "external_id", "record_type", "title", "created_at", "category", "text"]
-    of = lambda kind: {r.path for r in todo.where(F.col("extractor") == kind).select("path").collect()}  # noqa: E731  a manifest's paths
-    normal = F.lower("path").contains("normalized") | F.lower("path").contains("reap")
-    parts = []
-    if paths := sorted(of("jsonl_extractor")):
-        raw = conversations.lines(spark, paths)
-        for read_records, rows in ((conversations.jsonl_records, raw.where(~normal)), (conversations.normalized_records, raw.where(normal))):
-            parts.append(read_records(rows, "path").withColumn("text", conversations.joined(F.col("messages"))))
-    if paths := sorted(of("text_extractor")):
-        text = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        parts.append(text.withColumns({"external_id": F.col("path"), "record_type": F.lit("document"), "title": F.regexp_extract("path", r"([^/\\]+)$", 1), "created_at": F.lit(None).cast("string"), "category": F.lit("note")}))
-    if of("takeout_extractor"):
-        names = archives.text_members(archives.zip_names(todo.where("extractor = 'takeout_extractor'").select("path")))
-        content = archives.zip_contents(names).join(names.select("archive", "name", "guess"), ["archive", "name"])
-        found = member_records(content)
-        parts.append(found.withColumn("path", F.col("external_id")).withColumn("text", conversations.joined(F.col("messages"))))
-    done = todo.select("path", F.when(F.col("extractor").isin("jsonl_extractor", "text_extractor", "takeout_extractor"), "ingested").otherwise("skipped").alias("now"))
-    if parts:
-        new = plain(parts[0], *columns)
-        for p in parts[1:]:
-            new = new.unionByName(plain(p, *columns))
-        new = new.withColumn("record_id", F.xxhash64("path", "external_id")).withColumn("importance", T.importance(F.col("category"), F.col("text"))).withColumn("preview", F.left("text", F.lit(2000)))
+    for name, kind in (("metadata", "string"), ("record_count", "long"), ("chunk_count", "long")):
+        manifest = manifest if name in manifest.columns else manifest.withColumn(name, F.lit(None).cast(kind))
+    due = F.col("status").isin("pending", "failed")
+    checked = files.classify_manifest(manifest, there)
+    todo = files.classify(checked.where(due & F.col("error").isNull())).select("path", form_of(F.col("path"), F.col("extractor"), F.col("source_type")).alias("form"))
+    rows = todo.collect()
+    of = {f: sorted(r.path for r in rows if r.form == f) for f in sorted({r.form for r in rows if r.form})}
+    created = 0
+    if of:
+        new = reduce(DataFrame.unionByName, [extracted(spark, form, paths, config.root) for form, paths in of.items()])
+        seen = Observation()
+        new = new.withColumn("record_id", F.xxhash64("path", "external_id")).withColumn("importance", T.importance(F.col("category"), F.col("text"))).withColumn("preview", F.left("text", F.lit(2000))).observe(seen, F.count("*").alias("records"))
         old = read(spark, config, "content_records")
-        replace(new if old is None else old.join(done.select("path"), "path", "left_anti").unionByName(new), config, "content_records")
-    replace(manifest.join(done, "path", "left").withColumn("status", F.coalesce("now", "status")).drop("now"), config, "source_files")
-    return read(spark, config, "content_records").groupBy("category").agg(F.count("*").alias("n"))
+        done = todo.where("form is not null").select("path")
+        if old is not None:  # a file's own records, and those of an archive's members, which lie below its path
+            new = old.withColumn("of", file_of(F.col("path"))).join(done.withColumnRenamed("path", "of"), "of", "left_anti").drop("of").unionByName(new, allowMissingColumns=True)
+        replace(new, config, "content_records")
+        created = seen.get.get("records", 0)
+    records = read(spark, config, "content_records")
+    now = F.when(due & F.col("error").isNull(), F.when(F.col("form").isNull(), "skipped").otherwise("ingested")).otherwise(F.col("status"))
+    state = checked.join(todo, "path", "left").withColumn("status", now).drop("form")
+    if records is not None:
+        state = state.drop("record_count").join(records.groupBy(file_of(F.col("path")).alias("path")).agg(F.count("*").alias("record_count")), "path", "left").withColumn("record_count", F.coalesce("record_count", F.lit(0)))
+    replace(state, config, "source_files")
+    failed = read(spark, config, "source_files").where("error is not null and status = 'failed'").count()
+    batch = spark.createDataFrame([("incremental", began, datetime.now(timezone.utc), "completed", sum(map(len, of.values())), sum(r.form is None for r in rows), failed, created)], BATCHES)
+    batch.write.mode("append").parquet(config.path("ingestion_batches"))
+    last = F.to_json(F.struct(F.col("completed_at").alias("timestamp"), "records_created"))
+    batch.select(F.lit("last_ingestion").alias("key"), last.alias("value"), F.col("completed_at").alias("updated_at")).write.mode("overwrite").parquet(config.path("workflow_state"))
+    return spark.createDataFrame([], "category string, n long") if records is None else records.groupBy("category").agg(F.count("*").alias("n"))
 
 
 def run_chunking(spark: SparkSession, config: Config) -> DataFrame:
-    """Records without chunks to content_chunks, by the strategy that fits each. Returns chunks by strategy."""
+    """Records without chunks to content_chunks, by the strategy that fits each; source_files gets the number of each file's chunks. Returns chunks by strategy."""
     records, old = read(spark, config, "content_records"), read(spark, config, "content_chunks")
     todo = records if old is None else records.join(old.select("record_id"), "record_id", "left_anti")
     sources = read(spark, config, "source_files").select("path", "source_type")
     todo = todo.join(sources, "path", "left").select("record_id", "text", F.coalesce("source_type", F.lit("unknown")).alias("source"))
-    new = chunking.auto_chunk(todo, "record_id", size=config.chunk_size, least=config.least_chunk).where(F.length("chunk_text") > 20).withColumn("embedding_status", F.lit("pending"))
+    new = chunking.chunk_records(todo, "record_id", size=config.chunk_size, least=config.least_chunk).where(F.length("chunk_text") > 20).withColumn("embedding_status", F.lit("pending"))
     new.write.mode("append").parquet(config.path("content_chunks"))
-    return read(spark, config, "content_chunks").groupBy("strategy").agg(F.count("*").alias("n"))
+    chunks = read(spark, config, "content_chunks")
+    counts = chunks.groupBy("record_id").agg(F.count("*").alias("n")).join(records.select("record_id", file_of(F.col("path")).alias("path")), "record_id").groupBy("path").agg(F.sum("n").alias("n"))
+    manifest = read(spark, config, "source_files").drop("chunk_count")
+    replace(manifest.join(counts, "path", "left").withColumn("chunk_count", F.coalesce("n", F.lit(0))).drop("n"), config, "source_files")
+    return chunks.groupBy("strategy").agg(F.count("*").alias("n"))
 
 
 def run_embedding(spark: SparkSession, config: Config) -> DataFrame:

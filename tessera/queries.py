@@ -130,8 +130,24 @@ def takeout_walk(spark, sf_dir):
 
 @query
 def record_text(spark, sf_dir):
-    d = docs_of(spark, sf_dir)
-    return d.select("doc_id", F.coalesce(F.when(F.length("text") > 20, F.col("text")), F.concat_ws("\n\n", "source", "lang", "text")).alias("record_text"))
+    """Records of four kinds: with their text in the metadata, with a summary and a list, with a line in a file of conversations, with a preview only."""
+    k, t = F.col("doc_id") % 4, F.col("text")
+    words = F.slice(F.split(t, " "), 1, 12)
+    meta = F.when(k == 0, F.to_json(F.struct(t.alias("content_text"), F.lit("no").alias("summary")))).when(k == 1, F.to_json(F.struct(F.left(t, F.lit(60)).alias("summary"), words.alias("body"), F.lit("short").alias("text")))).when(k == 3, F.to_json(F.struct(F.left(t, F.lit(30)).alias("content_preview"))))
+    r = docs_of(spark, sf_dir).select(F.col("doc_id").alias("record_id"), "source", F.when(k < 3, F.col("lang")).alias("category"), F.col("source").alias("title"), meta.alias("metadata"), F.concat(F.lit("talks/"), (F.col("doc_id") % 3).cast("string"), F.lit(".jsonl")).alias("path"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("external_id"))
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("messages"))
+    lines = talks.select(F.concat(F.lit("talks/"), (F.col("conv_id") % 3).cast("string"), F.lit(".jsonl")).alias("path"), F.col("conv_id").alias("number"), F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), "messages")).alias("line"))
+    return R.with_text(r, lines).select(F.col("record_id").alias("doc_id"), F.length("record_text").cast("long").alias("n_chars"), F.sha2("record_text", 256).alias("hash"))
+
+
+@query
+def manifest_metadata(spark, sf_dir):
+    """A manifest of pages by their addresses: classified into the metadata they have, those that have gone are failed."""
+    p = table(spark, sf_dir, "pages")
+    ends = F.element_at(F.array(*[F.lit(e) for e in (".jsonl", ".zip", ".md", ".log", ".png")]), (F.col("page_id") % 5 + 1).cast("int"))
+    manifest = p.select("page_id", F.concat("url", ends).alias("path"), F.element_at(F.array(*map(F.lit, ["pending", "failed", "ingested"])), (F.col("page_id") % 3 + 1).cast("int")).alias("status"), F.when(F.col("page_id") % 2 == 0, F.to_json(F.struct("page_id", F.lit("old").alias("classification")))).alias("metadata"))
+    return files.classify_manifest(manifest, manifest.where("page_id % 7 <> 0")).select("page_id", "status", "error", F.get_json_object("metadata", "$.page_id").alias("kept"), F.get_json_object("metadata", "$.classification.extractor").alias("extractor"), F.get_json_object("metadata", "$.classification.processable").alias("processable"))
 
 
 # -- pages -----------------------------------------------------------------------------------------------
@@ -626,6 +642,19 @@ def daily_window_metrics(spark, sf_dir):
     return ingest.daily_metrics(metrics(spark, sf_dir)).select(F.col("day").cast("string").alias("day"), "n", dec("avg_ms"), *long("slow"))
 
 
+@query
+def incremental_ingest(spark, sf_dir):
+    """Documents that come in two deliveries, the second with all of them, a third of the first in a newer version; the stream is run after each, and once more."""
+    home, d = new_folder(spark, "ingest"), docs_of(spark, sf_dir).select("doc_id", "text")
+    first = d.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("earlier "), "text")).otherwise(F.col("text")))
+    for delivery in (first, d, None):
+        if delivery is not None:
+            delivery.write.mode("append").parquet(f"{home}/in")
+        ingest.ingest_documents(ingest.read_parquet_stream(spark, f"{home}/in", d), f"{home}/records", f"{home}/checkpoint")
+    records = ingest.current_records(spark.read.schema(ingest.RECORDS).parquet(f"{home}/records"))
+    return records.select(F.col("record_id").alias("doc_id"), "text_sha256", "category", dec("importance"), "batch")
+
+
 @query
 def enrichment(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where(F.length("text") >= 50)

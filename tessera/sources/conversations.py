@@ -80,8 +80,8 @@ def normalized_records(df: DataFrame, *keep: str) -> DataFrame:
     return out.withColumn("category", F.coalesce("given", T.category(joined(F.col("messages")), "normalized"))).drop("given")
 
 
-def event_sessions(df: DataFrame, form: str, session: str = "path") -> DataFrame:
-    """Event logs, one session a file, from (line, number, path): form `factory` or `qwen`. Events are grouped by session: a session is one user's."""
+def event_sessions(df: DataFrame, form: str, session: str = "path", *, keep_session: bool = False) -> DataFrame:
+    """Event logs, one session a file, from (line, number, path): form `factory` or `qwen`. Events are grouped by session: a session is one user's. keep_session adds its path and model."""
     v = F.col("v")
     src = parse(df).where(v.isNotNull()).select(F.col(session).alias("session"), "number", "v", field(v, "type").alias("type"))
     if form == "factory":
@@ -106,7 +106,8 @@ def event_sessions(df: DataFrame, form: str, session: str = "path") -> DataFrame
     if form == "qwen":
         category = F.when((category == "chat") & (F.col("n_tool_results") > 0), "tool").otherwise(category)
     title = F.coalesce(F.col("head.title"), F.nullif(T.strip(F.left(first, F.lit(100 if form == "factory" else 120))), F.lit("")), name)
-    return talks.select(name.alias("external_id"), title.alias("title"), category.alias("category"), body.alias("content_text"), F.size("m").cast("long").alias("n_messages"), "n_tool_results", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["timestamp"].alias("timestamp"))).alias("messages"))
+    more = [F.col("session").alias("path"), "model"] if keep_session else []
+    return talks.select(*more, name.alias("external_id"), title.alias("title"), category.alias("category"), body.alias("content_text"), F.size("m").cast("long").alias("n_messages"), "n_tool_results", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["timestamp"].alias("timestamp"))).alias("messages"))
 
 
 def list_items(path: Column, document: Column, depth: int = 64) -> Column:
@@ -135,9 +136,9 @@ def long_strings(v: Column, least: int = 50) -> Column:
 def takeout_records(df: DataFrame) -> DataFrame:
     """Takeout JSON documents (line, path), of objects in lists nested in any way: conversations, one conversation, a search, or any long strings. What has no id of its own goes by its place."""
     v = F.col("v")
-    items = parse(df).where(v.isNotNull()).select(F.explode(list_items(F.col("path"), v)).alias("x")).select(F.col("x.at").alias("at"), F.col("x.v").alias("v")).where(_is(v, "OBJECT"))
+    items = parse(df).where(v.isNotNull()).select("path", F.explode(list_items(F.col("path"), v)).alias("x")).select("path", F.col("x.at").alias("at"), F.col("x.v").alias("v")).where(_is(v, "OBJECT"))
     talks = F.try_variant_get(v, "$.conversations", "array<variant>")
-    items = items.select("at", F.explode_outer(talks).alias("talk"), "v", talks.isNotNull().alias("listed")).select("at", F.when(F.col("listed"), F.col("talk")).otherwise(v).alias("v"), "listed").where(_is(v, "OBJECT"))
+    items = items.select("path", "at", F.explode_outer(talks).alias("talk"), "v", talks.isNotNull().alias("listed")).select("path", "at", F.when(F.col("listed"), F.col("talk")).otherwise(v).alias("v"), "listed").where(_is(v, "OBJECT"))
     raw = F.coalesce(*[F.when(F.size(m) > 0, m) for m in (F.try_variant_get(v, "$.messages", "array<variant>"), F.try_variant_get(v, "$.turns", "array<variant>"))], F.array().cast("array<variant>"))
     text = lambda m: F.coalesce(F.nullif(flat_text(m, "content"), F.lit("")), F.nullif(flat_text(m, "text"), F.lit("")), F.try_variant_get(m, "$.parts[0].text", "string"), F.lit(""))
     messages = F.filter(F.transform(raw, lambda m: F.struct(F.coalesce(field(m, "role", "sender"), F.lit("user")).alias("role"), text(m).alias("content"), field(m, "timestamp").alias("timestamp"))), lambda m: m["content"] != "")
@@ -149,7 +150,7 @@ def takeout_records(df: DataFrame) -> DataFrame:
     ident = F.coalesce(F.when(kind != "document", field(v, "id")), F.when(kind == "conversation", field(v, "conversationId")), F.col("at"))
     title = F.when(kind == "conversation", F.coalesce(field(v, "name", "title"), F.concat(F.lit("Conversation "), F.left(ident, F.lit(8))))).when(kind == "search", F.coalesce(search, F.lit("Search"))).otherwise(F.regexp_extract("at", r"([^/\\]*?)(?:\.[^./\\]*)?$", 1))
     when = F.when(kind == "search", field(v, "time")).when(kind == "conversation", field(v, "createTime", "created_at", "timestamp"))
-    out = items.select(ident.alias("external_id"), kind.alias("record_type"), title.alias("title"), when.alias("created_at"), F.when(kind == "conversation", messages).when(kind == "search", one("user", F.coalesce(search, F.lit("")))).otherwise(one("document", F.array_join(strings, "\n"))).alias("messages"))
+    out = items.select("path", ident.alias("external_id"), kind.alias("record_type"), title.alias("title"), when.alias("created_at"), F.when(kind == "conversation", messages).when(kind == "search", one("user", F.coalesce(search, F.lit("")))).otherwise(one("document", F.array_join(strings, "\n"))).alias("messages"))
     return out.where(F.col("record_type").isNotNull()).withColumn("category", F.when(F.col("record_type") == "conversation", T.category(joined(F.col("messages")), "takeout")).otherwise("chat"))
 
 

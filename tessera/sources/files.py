@@ -25,6 +25,38 @@ def classify(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumns({"suffix": suffix, "file_type": F.coalesce(hit["t"], F.lit("unknown")), "extractor": F.when(takeout, "takeout_extractor").otherwise(F.coalesce(hit["e"], F.lit("none"))), "processable": F.coalesce(hit["p"], F.lit(False))})
 
 
+def merge_json(metadata: Column, key: str, value: Column) -> Column:
+    """A JSON object (or nothing) with the key set to a value; its other keys stay."""
+    old = F.coalesce(F.try_variant_get(F.try_parse_json(metadata), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: k != key), F.create_map(F.lit(key), F.parse_json(F.to_json(value)))))
+
+
+def classify_manifest(manifest: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The manifest (path, status, metadata as JSON) with `classification` in the metadata of pending and failed files, and error. Of these, files that are not among `found` (path) have failed."""
+    c = classify(manifest)
+    due = F.col("status").isin("pending", "failed")
+    if found is None:
+        c = c.withColumn("there", F.lit(True))
+    else:
+        c = c.join(found.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    verdict = F.struct("file_type", "extractor", "processable")
+    lost = due & ~F.col("there")
+    return c.select(*[x for x in manifest.columns if x not in ("status", "metadata", "error")], F.when(lost, "failed").otherwise(F.col("status")).alias("status"), F.when(lost, "File not found").alias("error"), F.when(due & F.col("there"), merge_json(F.col("metadata"), "classification", verdict)).otherwise(F.col("metadata")).alias("metadata"))
+
+
+def session_logs(spark: SparkSession, root: str, form: str) -> DataFrame:
+    """path of the session logs under root: of form `qwen` those right in a folder named chats."""
+    logs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root).select("path")
+    return logs.where(F.col("path").rlike(r"/chats/[^/]+$")) if form == "qwen" else logs
+
+
+def session_models(spark: SparkSession, root: str) -> DataFrame:
+    """session (a log's path without its suffix), model from the settings beside session logs."""
+    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.settings.json").text(root)
+    model = F.try_variant_get(F.try_parse_json("value"), "$.model", "string")
+    return raw.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.settings\.json$", "").alias("session"), F.coalesce(model, F.lit("unknown")).alias("model"))
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """The manifest (path, hash, status) after a discovery: new and changed files are pending, others keep their status."""
     was = old.select("path", F.col("hash").alias("old_hash"), F.col("status").alias("old_status"))
