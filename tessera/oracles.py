@@ -355,6 +355,9 @@ ORACLES: dict[str, str] = {
     "hash_embedding": r"""with w as (select doc_id, list_slice(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''), 1, 100) as ws from documents), e as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from w), h as (select doc_id, i, md5(w) as h from e),
         b as (select doc_id, i, cast('0x' || substr(h, 2 * j + 1, 2) as integer) as b from h, range(16) as r(j)), g as (select doc_id, b as pos, sum(b / 255.0::double * (1 - i * 0.01::double)) as raw from b group by doc_id, b),
         v as (select doc_id, pos, raw / sqrt(sum(raw * raw) over (partition by doc_id)) as v from g) select doc_id, count(*) as n, round(sum(v * v), 6) as norm, round(max(v), 6) as top, round(sum(v * pos), 4) as mass from v group by doc_id""",
+    "embedding_status": r"""with w as (select doc_id, left(coalesce(text, ''), 1000) as t, list_slice(list_filter(regexp_split_to_array(lower(left(coalesce(text, ''), 1000)), '\s+'), lambda x: x <> ''), 1, 100) as ws from documents),
+        b as (select distinct doc_id, substr(md5(w), 2 * j + 1, 2) as b from (select doc_id, unnest(ws) as w from w), range(16) as r(j)), n as (select doc_id, count(*) as n from b where b <> '00' group by doc_id)
+        select doc_id, 'embedded' as status, case when contains(t, '%') then 'hash' else 'picky' end as model, case when contains(t, '%') then 2 else 1 end as attempt, cast(384 as bigint) as n_places, coalesce(n, 0) as n_set from w left join n using (doc_id)""",
     "hybrid_merge": f"""with {BM25}, a as (select query_id * 50 as query_id, doc_id, score as a from sc where score > 0 qualify row_number() over (partition by query_id order by round(score, 9) desc, doc_id) <= 50),
         p as (select q.vec_id as query_id, v.vec_id as doc_id, list_distance(cast(v.embedding as double[]), cast(q.embedding as double[])) as d from embeddings v, embeddings q where q.vec_id % 50 = 0),
         b as (select query_id, doc_id, greatest(0, 10 - d) as b from p qualify row_number() over (partition by query_id order by d, doc_id) <= 50)

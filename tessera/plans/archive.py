@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
@@ -204,14 +204,11 @@ def run_chunking(spark: SparkSession, config: Config) -> DataFrame:
     return chunks.groupBy("strategy").agg(F.count("*").alias("n"))
 
 
-def run_embedding(spark: SparkSession, config: Config) -> DataFrame:
-    """Chunks not embedded yet to chunk_embeddings (record_id, chunk_index, at, value)."""
-    chunks, old = read(spark, config, "content_chunks"), read(spark, config, "chunk_embeddings")
-    key = F.concat_ws("/", "record_id", "chunk_index")
-    todo = chunks.select(key.alias("chunk"), "chunk_text")
-    todo = todo if old is None else todo.join(old.select("chunk").distinct(), "chunk", "left_anti")
-    vector.hash_embeddings(todo, "chunk", "chunk_text").write.mode("append").parquet(config.path("chunk_embeddings"))
-    return read(spark, config, "chunk_embeddings").agg(F.countDistinct("chunk").alias("n"))
+def run_embedding(spark: SparkSession, config: Config, model: Callable = vector.hash_model, name: str = "hash") -> DataFrame:
+    """Chunks that are pending, or have failed, to chunk_embeddings (chunk, status, model, embedding, error, attempt). Returns one row: n embedded, n_failed."""
+    chunks = read(spark, config, "content_chunks").select(F.concat_ws("/", "record_id", "chunk_index").alias("chunk"), "chunk_text")
+    states = vector.embed_pending(chunks, config.path("chunk_embeddings"), "chunk", "chunk_text", model, name=name)
+    return states.agg(F.count_if(F.col("status") == "embedded").alias("n"), F.count_if(F.col("status") == "failed").alias("n_failed"))
 
 
 def titles(records: DataFrame) -> DataFrame:

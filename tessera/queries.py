@@ -572,6 +572,28 @@ def hash_embedding(spark, sf_dir):
     return vector.hash_embeddings(docs_of(spark, sf_dir), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"), F.round(F.max("value"), 6).alias("top"), F.round(F.sum(F.col("value") * F.col("at")), 4).alias("mass"))
 
 
+def picky_model():
+    """A model that fails on texts with a percent sign."""
+    run = vector.hash_model()
+
+    def embed(texts: list[str]) -> list:
+        if any("%" in t for t in texts):
+            raise ValueError("a percent sign")
+        return run(texts)
+
+    return embed
+
+
+@query
+def embedding_status(spark, sf_dir):
+    """Documents embedded by a model that fails on some; a second run takes those only, by another model, and a third nothing."""
+    path, d = new_folder(spark, "embeddings"), docs_of(spark, sf_dir).select("doc_id", "text")
+    vector.embed_pending(d, path, "doc_id", "text", picky_model, name="picky")
+    for _ in range(2):
+        last = vector.embed_pending(d, path, "doc_id", "text")
+    return last.select("doc_id", "status", "model", "attempt", F.size("embedding").cast("long").alias("n_places"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n_set"))
+
+
 @query
 def hybrid_merge(spark, sf_dir):
     a = lexical.bm25(docs_of(spark, sf_dir), asked(spark, RETRIEVAL), top_k=50).select((F.col("query_id") * 50).alias("query_id"), "doc_id", "score")
