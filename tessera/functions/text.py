@@ -200,6 +200,21 @@ def title_heuristic(text: Column, category: Column) -> Column:
     return F.coalesce(F.get(titles, F.lit(0)), F.when(category == "code", F.concat(F.lit("Code: "), F.get(names, F.lit(0)))), F.get(spoken, F.lit(0)), fallback)
 
 
+# The metadata keys that may hold a title.
+TITLE_KEYS = ("title", "name", "subject", "topic")
+
+
+def titled_by_metadata(metadata: Column, otherwise: Column) -> Column:
+    """The first of the title keys in a JSON object that holds a string of 4 to 99 characters, else the other title."""
+    m = F.try_parse_json(metadata)
+    held = lambda k: F.when(F.schema_of_variant(F.try_variant_get(m, f"$.{k}", "variant")) == "STRING", F.try_variant_get(m, f"$.{k}", "string"))
+    return F.coalesce(*[F.when((F.length(held(k)) > 3) & (F.length(held(k)) < 100), held(k)) for k in TITLE_KEYS], otherwise)
+
+
+def fallback_summary(text: Column, chars: int = 200) -> Column:
+    return F.concat(F.left(text, F.lit(chars)), F.lit("..."))
+
+
 def fallback_title(text: Column) -> Column:
     return F.left(F.get(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x) > 20), F.lit(0)), F.lit(80))
 
@@ -209,6 +224,15 @@ def iso_timestamp(value: Column) -> Column:
     return F.when(value.rlike(r"^\d{13}$"), F.date_format(F.timestamp_millis(value.cast("long")), "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.nullif(value, F.lit("")))
 
 
+def iso_of_variant(value: Column) -> Column:
+    """A VARIANT's time: strings as iso_timestamp(), numbers are milliseconds since 1970, with microseconds shown where there are any."""
+    kind = F.schema_of_variant(value)
+    ms = F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|INT|FLOAT)"), F.try_variant_get(value, "$", "double"))
+    at = F.timestamp_micros(F.round(ms * 1000).cast("long"))
+    shown = F.when(F.round(ms * 1000) % 1_000_000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return F.coalesce(shown, iso_timestamp(F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))))
+
+
 def display_date(value: Column) -> Column:
     return F.coalesce(F.when(value.rlike(r"^\d{13}$"), F.date_format(F.timestamp_millis(value.cast("long")), "yyyy-MM-dd")).otherwise(F.left(F.nullif(value, F.lit("")), F.lit(10))), F.lit("unknown"))
 

@@ -40,3 +40,8 @@ def rubric(answers: DataFrame) -> DataFrame:
     low = F.lower(F.coalesce("answer", F.lit("")))
     points = F.when(F.col("n_passages") >= 1, 1).otherwise(0) + F.when(F.col("n_passages") >= 3, 1).otherwise(0) + F.when((low != "") & ~low.contains("error"), 1).otherwise(0) + F.when((low != "") & ~low.contains("i don't have"), 1).otherwise(0)
     return answers.agg(F.sum(points).alias("points"), (100.0 * F.sum(points) / (4 * F.count("*"))).alias("per_cent"))
+
+
+def latency(metrics: DataFrame, by: str, time: str = "elapsed_ms") -> DataFrame:
+    """n, min_ms, avg_ms, max_ms of each group."""
+    return metrics.groupBy(F.coalesce(by, F.lit("unknown")).alias(by)).agg(F.count("*").alias("n"), F.min(time).alias("min_ms"), F.avg(time).alias("avg_ms"), F.max(time).alias("max_ms"))

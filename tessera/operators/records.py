@@ -116,3 +116,39 @@ def answer_context(passages: DataFrame, most: int = 8, chars: int = 500) -> Data
     part = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), T.or_default(F.col("source"), "unknown"), F.lit(": "), F.left("text", F.lit(chars)))
     rows = passages.where(F.col("rank") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))).alias("ps"))
     return rows.select("query_id", F.array_join(F.transform("ps", lambda p: p["p"]), "\n\n").alias("context"))
+
+
+# What stands in a profile where nothing has been filled in, and the fields that are told, with their labels.
+PLACEHOLDERS = ("your name", "your location", "your timezone", "your gpu", "your ram", "your sbc", "your project", "your project 1", "your project 2", "your ram_system", "your hardware")
+PROFILE_FIELDS = {"name": "Name", "location": "Location", "timezone": "Timezone", "interests": "Interests", "hardware": "Hardware", "tools_used": "AI Tools Used", "projects": "Projects"}
+
+
+def profile_text(profile: Column) -> Column:
+    """What a profile (JSON: strings, lists of strings, an object of strings) tells: a line a field, without what is empty or still a placeholder; '' if nothing is."""
+    p = F.try_parse_json(profile)
+    real = lambda x: x.isNotNull() & (x != "") & ~F.lower(T.strip(x)).isin(*PLACEHOLDERS)
+    told = lambda e: F.concat(F.initcap(F.replace(e["key"], F.lit("_"), F.lit(" "))), F.lit(": "), e["value"])
+
+    def line(field: str, label: str) -> Column:
+        whole = F.try_variant_get(p, f"$.{field}", "variant")
+        items = F.array_join(F.filter(F.try_variant_get(p, f"$.{field}", "array<string>"), real), ", ")
+        parts = F.array_join(F.transform(F.array_sort(F.filter(F.map_entries(F.try_variant_get(p, f"$.{field}", "map<string,string>")), lambda e: real(e["value"]))), told), "; ")
+        kind = F.schema_of_variant(whole)
+        text = F.when(kind == "STRING", F.when(real(_string(whole)), _string(whole))).when(kind.startswith("ARRAY"), items).when(kind.startswith("OBJECT"), parts)
+        return F.concat(F.lit(f"- {label}: "), F.nullif(text, F.lit("")))
+
+    return F.array_join(F.array_compact(F.array(*[line(f, label) for f, label in PROFILE_FIELDS.items()])), "\n")
+
+
+def passage_blocks(passages: DataFrame, chars: int = 420) -> DataFrame:
+    """query_id, context: the passages (query_id, rank, source, title, created_at, text) in order of rank, each with its number and where it is from, as a local model is given them."""
+    line = lambda label, c, default: F.concat(F.lit(f"{label}: "), T.or_default(F.col(c).cast("string"), default))
+    block = F.concat_ws("\n", F.concat(F.lit("[Passage "), F.col("rank").cast("string"), F.lit("]")), line("Source", "source", "unknown"), line("Title", "title", "Untitled"), line("Created", "created_at", "unknown"), F.left(F.coalesce("text", F.lit("")), F.lit(chars)))
+    rows = passages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("p")))).alias("ps"))  # a result list, bounded by its top_k
+    return rows.select("query_id", F.array_join("ps.p", "\n\n").alias("context"))
+
+
+def with_profile(contexts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """contexts (query_id, context) with the text of profiles (query_id, profile as JSON) before them, where there is one."""
+    told = profiles.select("query_id", F.nullif(profile_text(F.col("profile")), F.lit("")).alias("told"))
+    return contexts.join(told, "query_id", "left").select("query_id", F.concat_ws("\n\n", "told", "context").alias("context"))

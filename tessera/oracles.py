@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions import fixed_values as V
 from .functions.text import COMMON_ENTITIES
-from .queries import PATHS, PLANNED, QUESTIONS, RETRIEVAL
+from .queries import EXPANDED, PATHS, PLANNED, QUESTIONS, RETRIEVAL
 
 
 def q(s: str) -> str:
@@ -46,6 +46,10 @@ def search_terms(norm: str) -> str:
     return tokens(norm, "[a-z0-9_-]{3,}", V.SEARCH_STOP_WORDS)
 
 
+def turns_asked(questions: list[str]) -> str:
+    return f"(select conv_id * 1000 + turn as query_id, {lst(questions)}[(conv_id + turn) % {len(questions)} + 1] || ' ' || left({ascii_lower('text')}, 60) as query from conversations where role = 'user')"
+
+
 def any_of(x: str, needles) -> str:
     return "(" + " or ".join(f"contains({x}, {q(n)})" for n in needles) + ")"
 
@@ -153,7 +157,7 @@ def planner_scores(x: str) -> str:
 
 
 OTHERS = [t for t in V.QUERY_PATTERNS if t != "personal"]
-PLANNER = f"""s as (select query_id, query, {planner_scores('query')} from {values(QUESTIONS)}),
+PLANNER = f"""s as (select query_id, query, {planner_scores('query')} from {turns_asked(QUESTIONS)}),
     o as (select *, greatest({', '.join(f's_{t}' for t in OTHERS)}) as other from s),
     p as (select *, s_personal > other and not (other >= s_personal * 0.7 and other > 0) as personal from o),
     c as (select query_id, query, case when greatest(other, s_personal) < 0.1 then 'exploratory' when personal then 'personal' {' '.join(f"when s_{t} = other then '{t}'" for t in OTHERS)} end as query_type,
@@ -192,6 +196,15 @@ def window_end(start: str) -> str:
     return f"case when {start} + 512 >= n then n {found} else {stop} end"
 
 
+def greedy(rows: str, name: str = "kept") -> str:
+    """CTEs up to kept(query_id, rank): of rows(query_id, rank from 1, text) those not too similar to one kept before."""
+    return f"""{name}_w as materialized (select *, {signature('text')} as w from {rows}),
+        {name}_bad as materialized (select x.query_id, x.rank as first, y.rank as second from {name}_w x join {name}_w y on x.query_id = y.query_id and x.rank < y.rank where {jaccard('x.w', 'y.w')} > 0.8),
+        {name}_walk as (select query_id, 0::bigint as rank, []::bigint[] as kept, max(rank) as last from {name}_w group by query_id
+          union all select k.query_id, k.rank + 1, case when exists (select 1 from {name}_bad b where b.query_id = k.query_id and b.second = k.rank + 1 and list_contains(k.kept, b.first)) then k.kept else list_append(k.kept, k.rank + 1) end, k.last from {name}_walk k where k.rank < k.last),
+        {name} as (select query_id, unnest(kept) as rank from {name}_walk where rank = last)"""
+
+
 SLIDING = f"""with recursive d as (select doc_id, text, length(text) as n from documents where length({strip('text')}) >= 50),
         walk as (select doc_id, cast(0 as bigint) as start, cast({window_end('0')} as bigint) as stop from d
           union all select doc_id, b, cast({window_end('b')} as bigint) from (select w.doc_id, greatest(w.stop - 64, w.start + 1) as b, text, n from walk w join d using (doc_id) where w.stop < n)),
@@ -218,7 +231,7 @@ def html_text(html: str) -> str:
 
 ORACLES: dict[str, str] = {
     "expand_queries": f"""select query_id, {EXPAND_INDEX} as index_query, array_to_string(list_concat(ts, flatten(list_transform(ts, lambda t: case t {WIDE} else [] end))), ' ') as retrieval_terms
-        from (select *, {retrieval_tokens(ascii_lower('query'))} as ts from {values([*QUESTIONS, 'docker gpu server', 'project age', 'fan model'])})""",
+        from (select *, {retrieval_tokens(ascii_lower('query'))} as ts from {turns_asked([*QUESTIONS, *EXPANDED])})""",
     "rerank_hook": f"""with l as (select doc_id // 40 as query_id, doc_id % 40 as rank, doc_id, text from documents),
         j as (select *, {signature("'the of and tion'")} as a, {signature('text').replace('200', '2000')} as b from l), r as (select query_id, doc_id, rank, {jaccard('a', 'b')} as rerank from j),
         k as (select query_id, row_number() over (partition by query_id order by round(rerank, 9) desc, rank) as rank, doc_id, rerank from r) select query_id, rank, doc_id, round(rerank, 6) as rerank from k where rank <= 10""",
@@ -238,8 +251,8 @@ ORACLES: dict[str, str] = {
     "manifest_upsert": """with d as (select cast(doc_id as varchar) as path, sha256(text) as hash, doc_id from documents),
         o as (select path, case when doc_id % 5 = 0 then 'stale' else hash end as hash from d where doc_id % 3 <> 0), n as (select path, hash from d where doc_id % 7 <> 0)
         select coalesce(n.path, o.path) as path, coalesce(n.hash, o.hash) as hash, case when o.hash is null or coalesce(n.hash, o.hash) <> o.hash then 'pending' else 'ingested' end as status from n full join o on n.path = o.path""",
-    "classify_sources": f"""with p as (select unnest({lst(PATHS)}) as path), s as (select path, {SUFFIX} as suffix, lower(regexp_extract(path, '([^/\\\\]+)$', 1)) as name, lower(path) as low from p)
-        select path, suffix, case suffix {' '.join(f"when '{k}' then '{v[0]}'" for k, v in V.FILE_TYPES.items())} else 'unknown' end as file_type,
+    "classify_sources": f"""with p as (select page_id, url || '/' || {lst(PATHS)}[page_id % {len(PATHS)} + 1] as path from pages), s as (select page_id, path, {SUFFIX} as suffix, lower(regexp_extract(path, '([^/\\\\]+)$', 1)) as name, lower(path) as low from p)
+        select page_id, path, suffix, case suffix {' '.join(f"when '{k}' then '{v[0]}'" for k, v in V.FILE_TYPES.items())} else 'unknown' end as file_type,
         case when suffix = '.zip' and contains(name, 'takeout') then 'takeout_extractor' else case suffix {' '.join(f"when '{k}' then '{v[1]}'" for k, v in V.FILE_TYPES.items())} else 'none' end end as extractor,
         suffix in ({', '.join(q(k) for k, v in V.FILE_TYPES.items() if v[2])}) as processable,
         suffix in ('.html', '.json', '.md', '.txt') and (regexp_matches(low, 'conversation|chat|dialogue|assistant|aplicaciones de gemini') or (contains(low, 'gemini') and suffix in ('.html', '.json', '.txt')) or ends_with(low, 'miactividad.html')) as takeout_text from s""",
@@ -328,7 +341,7 @@ ORACLES: dict[str, str] = {
     "chunk_strategy": rf"""with d as (select doc_id, case doc_id % 4 when 0 then '# a' || chr(10) || '## b' || chr(10) || '### c' || chr(10) || text when 1 then '```' || chr(10) || '```' || chr(10) || '```' || chr(10) || '```' || text when 2 then 'user: ' || text || chr(10) || 'assistant: ok' else text end as t,
         case when doc_id % 8 = 2 then 'codex' else source end as s from documents)
         select doc_id, {strategy_of('t', 's')} as strategy from d""",
-    "bm25_stats": f"with {POSTINGS} select term, df, round(idf, 6) as idf from idf where df >= 2",
+    "bm25_stats": f"with {POSTINGS} select term, df, round(idf, 6) as idf from idf",
     "bm25_topk": f"with {BM25}, k as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0) select query_id, rank, doc_id, round(score, 4) as score from k where rank <= 10",
     "index_search": f"with {BM25}, k as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0) select query_id, rank, doc_id, round(score, 4) as score from k where rank <= 10",
     "fts_rescore": f"""with n as (select doc_id, {ascii_lower('text')} as l from documents) select doc_id, round(3.0::double * len({matched('l', KEYWORD_TERMS)}) / 3 + {capped('l', KEYWORD_TERMS, 0.5, 2.0)}, 6) as overlap,
@@ -362,6 +375,33 @@ ORACLES: dict[str, str] = {
         p as (select q.vec_id as query_id, v.vec_id as doc_id, list_distance(cast(v.embedding as double[]), cast(q.embedding as double[])) as d from embeddings v, embeddings q where q.vec_id % 50 = 0),
         b as (select query_id, doc_id, greatest(0, 10 - d) as b from p qualify row_number() over (partition by query_id order by d, doc_id) <= 50)
         select query_id, doc_id, round(case when a is not null and b is not null then 1.3::double else 1.0::double end * (0.6::double * coalesce(a, 0) + 0.4::double * coalesce(b, 0)), 4) as score from a full join b using (query_id, doc_id)""",
+    "hybrid_search": f"""with recursive {BM25},
+        c as materialized (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0),
+        t as materialized (select c.query_id, rank, c.doc_id, left(text, 500) as text, query, round({capped('lower(text)', 'own', 0.5, 2.0)} + len({matched('lower(text)', 'own')}), 3) as score from c join documents using (doc_id) join qs using (query_id) where rank <= 50),
+        {greedy('t', 'plain')},
+        p as (select t.query_id, t.doc_id, t.score, row_number() over (partition by t.query_id order by t.score desc, t.rank) as rank from t join plain using (query_id, rank)),
+        j as (select query_id, doc_id, text, rank as was, score as s, {jaccard('sq', 'st')} as r from (select *, {signature('query')} as sq, {signature('text').replace('200', '2000')} as st from t)),
+        o as materialized (select query_id, doc_id, text, round(r, 4) as score, row_number() over (partition by query_id order by round(r, 4) desc, place) as rank from (select *, row_number() over (partition by query_id order by round(r, 9) desc, round(s, 9) desc, was) as place from j) where r > 0),
+        {greedy('o', 'again')},
+        a as (select o.query_id, o.doc_id, o.score, row_number() over (partition by o.query_id order by o.rank) as rank from o join again using (query_id, rank))
+        select 'plain' as form, query_id, rank, doc_id, round(score, 4) as score from p where rank <= 10 union all select 'reranked', query_id, rank, doc_id, score from a where rank <= 10""",
+    "passages_of_records": f"""with {FIXED}, {RECORDS}, n as (select rec.doc_id, importance, {ascii_lower('text')} as l, e.ts as created_at from rec join events e on e.event_id = doc_id), m as (select *, {matched('l', lst(['license', 'version', 'tion']))} as m from n),
+        b as (select *, importance + {capped('l', lst(['license', 'version', 'tion']), 0.7, 2.5)} + cast(1.8 as double) * len(m) + {proximity('l', 'm')} as own from m where len(m) >= 2),
+        best as (select * from b order by round(own, 9) desc, created_at desc, doc_id limit 240),
+        c as (select b.doc_id, chunk_index, piece, importance, l as whole, {ascii_lower('piece')} as x from best b join fixed f using (doc_id) where chunk_index < 12),
+        d as (select *, {matched('x', lst(['license', 'version', 'tion']))} as here, list_filter({lst(['license', 'version', 'tion'])}, lambda t: contains(x, t) or contains(whole, t)) as either from c),
+        s as (select doc_id, chunk_index, x, importance + {capped('x', lst(['license', 'version', 'tion']), 0.8, 3.0)} + cast(0.3 as double) * (len(either) - len(here)) + {proximity('x', 'here')} - {code_penalty('piece')} + cast(1.8 as double) * len(either) as score from d where len(either) > 0),
+        o as (select * from s qualify row_number() over (partition by doc_id, left(x, 220) order by round(score, 9) desc, chunk_index) = 1),
+        k as (select *, row_number() over (order by round(score, 9) desc, chunk_index, doc_id) as rank from o) select rank, doc_id, chunk_index, round(score, 4) as score from k where rank <= 20""",
+    "latency_report": f"with {METRICS} select coalesce(strategy, 'unknown') as strategy, count(*) as n, round(min(elapsed_ms), 6) as min_ms, round(avg(elapsed_ms), 6) as avg_ms, round(max(elapsed_ms), 6) as max_ms from m group by 1",
+    "profile_context": f"""with p as (select doc_id // 10 as query_id, doc_id % 10 + 1 as rank, source, text from documents), c as (select query_id, string_agg({CTX}, chr(10) || chr(10) order by rank) as c from p where rank <= 8 group by query_id),
+        x as (select query_id, concat_ws(chr(10) || chr(10), case when k is not null then concat_ws(chr(10), '- Name: user ' || k, case when k % 2 = 1 then '- Location: Lund' end,
+          '- Hardware: ' || nullif(concat_ws('; ', case when k % 6 >= 3 then 'Gpu: a card' end, case when k % 3 > 0 then 'Ram System: 64 GB' end), ''), '- Projects: p' || k) end, c) as c from c left join (select c_custkey as k from customer where c_custkey % 5 <> 0) on k = query_id)
+        select query_id, sha256(c) as hash, cast(length(c) as bigint) as n_chars from x""",
+    "passage_blocks": """with b as (select doc_id // 10 as query_id, doc_id % 10 + 1 as rank, concat_ws(chr(10), '[Passage ' || (doc_id % 10 + 1) || ']', 'Source: ' || coalesce(nullif(source, ''), 'unknown'), 'Title: ' || case when doc_id % 3 > 0 then coalesce(nullif(lang, ''), 'Untitled') else 'Untitled' end,
+          'Created: ' || case when doc_id % 4 > 0 then '2024-01-0' || (doc_id % 9) else 'unknown' end, left(coalesce(text, ''), 420)) as p from documents), c as (select query_id, string_agg(p, chr(10) || chr(10) order by rank) as c from b group by query_id)
+        select query_id, sha256(c) as hash, cast(length(c) as bigint) as n_chars from c""",
+    "title_from_metadata": "select page_id, case page_id % 4 when 0 then case when length(url) > 3 and length(url) < 100 then url else 'none' end when 1 then 'Topic ' || page_id else 'none' end as title, left(html, 200) || '...' as summary from pages",
     "recency_rank": f"""with {DATED}, w as (select doc_id, n_chars / 5000.0::double as s, case when doc_id % 2 = 0 then 0.0::double else doc_id % 7 / 7.0::double end as r, exp(-greatest(floor((epoch_us(timestamp '2024-02-01') - epoch_us(created_at)) / 86400000000.0::double), 0) / 365.0::double) as c from dated)
         select doc_id, round(case when r > 0 then 0.5::double * r + 0.3::double * s + c else s + 0.8::double * c end, 6) as score from w""",
     "jaccard_pairs": f"""with {LISTED}, w as (select *, {signature('text')} as w from l) select a.query_id, a.rank as first, b.rank as second, round({jaccard('a.w', 'b.w')}, 6) as similarity from w a join w b on a.query_id = b.query_id and a.rank < b.rank where {jaccard('a.w', 'b.w')} > 0.8""",
@@ -370,7 +410,7 @@ ORACLES: dict[str, str] = {
         walk as (select query_id, -1::bigint as rank, []::bigint[] as kept from (select distinct query_id from w)
           union all select k.query_id, k.rank + 1, case when exists (select 1 from bad where bad.query_id = k.query_id and bad.second = k.rank + 1 and list_contains(k.kept, bad.first)) or not exists (select 1 from w where w.query_id = k.query_id and w.rank = k.rank + 1) then k.kept else list_append(k.kept, k.rank + 1) end from walk k where k.rank < 39)
         select f.query_id, w.rank, w.doc_id from (select query_id, unnest(kept) as rank from walk where rank = 39) f join w on w.query_id = f.query_id and w.rank = f.rank""",
-    "hybrid_retrieve": f"""with recursive {PLANNER.replace(values(QUESTIONS), values(PLANNED))}, {DATED},
+    "hybrid_retrieve": f"""with recursive {PLANNER.replace(turns_asked(QUESTIONS), values(PLANNED))}, {DATED},
         pl as (select query_id, query, {", ".join(f"case query_type {' '.join(f"when '{t}' then {q(p[i]) if i == 0 else 10 * p[i] if i == 1 else str(p[i]).lower()}" for t, p in V.PLANS.items())} end as {n}" for i, n in enumerate(("strategy", "top_k", "use_reranker")))} from c),
         t0 as (select *, {retrieval_tokens(ascii_lower('query'))} as ts from pl),
         va as (select *, 0 as variant, ts as terms from t0 union all select *, 1, {retrieval_tokens(f"array_to_string(list_concat(ts, flatten(list_transform(ts, lambda t: case t {WIDE} else [] end))), ' ')")} from t0 where len(flatten(list_transform(ts, lambda t: case t {WIDE} else [] end))) > 0),
@@ -394,7 +434,7 @@ ORACLES: dict[str, str] = {
         select query_id, rank, doc_id, round(score, 4) as score from y where rank <= top_k""",
     "classify_queries": f"with {PLANNER} select query_id, query_type, round(confidence, 6) as confidence from c",
     "plan_queries": f"with {PLANNER} select query_id, " + ", ".join(f"case query_type {' '.join(f"when '{t}' then {(q(p[i]) if i == 0 else 10 * p[i] if i == 1 else str(p[i]).lower())}" for t, p in V.PLANS.items())} end as {n}" for i, n in enumerate(("strategy", "top_k", "use_reranker", "use_vectors", "recency_boost"))) + " from c",
-    "temporal_expansion": rf"""select query_id, unnest(list_filter([query, query || ' recent latest new', case when regexp_matches(lower(query), '(\d+)\s+(days?|weeks?|months?)\s+ago') then query || ' activity work discussion' end], lambda x: x is not null)) as expanded from {values(QUESTIONS)}""",
+    "temporal_expansion": rf"""select query_id, unnest(list_filter([query, query || ' recent latest new', case when regexp_matches(lower(query), '(\d+)\s+(days?|weeks?|months?)\s+ago') then query || ' activity work discussion' end], lambda x: x is not null)) as expanded from {turns_asked(QUESTIONS)}""",
     "daily_window_metrics": f"with {METRICS} select strftime(ts, '%Y-%m-%d') as day, count(*) as n, round(avg(elapsed_ms), 6) as avg_ms, cast(count(*) filter (elapsed_ms > 2000) as bigint) as slow from m group by 1",
     "enrichment": f"select conv_id, turn, {labels('text', V.TASKS)} as tasks, {summary('text')} as summary, {keywords('text')} as keywords from conversations where length(text) >= 50",
     "classification_report": """with m as (select doc_id % 5 as e from documents where doc_id % 3 <> 2) select count(*) as n_files, count(*) filter (e <= 2) as n_processable, count(*) filter (e > 2) as n_others,
@@ -402,6 +442,10 @@ ORACLES: dict[str, str] = {
     "title_pipeline": f"""with {RECORDS}, l as (select doc_id, text, category, list_transform(string_split(text, chr(10)), lambda x: {strip('x')}) as ls from rec where doc_id % 2 = 0),
         t as (select doc_id, coalesce({TITLES}[1], {SPOKEN}[1], case when {FIRST_WORDS} <> '' then '[' || upper(category) || '] ' || left({FIRST_WORDS}, 80) || '...' end) as title from l where category <> 'code') select * from t where title is not null""",
     "enrich_records": f"""select doc_id, {labels('text', V.TOOLS)} as tools, {labels('text', V.TASKS)} as tasks, array_to_string(list_slice(list_sort(list_distinct({FILES.replace("(x,", "(text,")})), 1, 10), '|') as files, {summary('text')} as summary from documents where length(text) >= 50""",
+    "enrichment_pipeline": f"""with {FIXED}, g as (select doc_id, string_agg(piece, chr(10) order by chunk_index) as parts from fixed where chunk_index < 5 group by doc_id),
+        d as (select doc_id, case when doc_id % 3 = 0 then left(coalesce(text, ''), 30) else coalesce(text, '') end as t from documents where doc_id not in (select doc_id from labels where quality = 0)),
+        e as (select doc_id, case when length(t) < 50 then parts else t end as text from d left join g using (doc_id))
+        select doc_id, {labels('text', V.TOOLS)} as tools, {labels('text', V.TASKS)} as tasks, array_to_string(list_slice(list_sort(list_distinct({FILES.replace("(x,", "(text,")})), 1, 10), '|') as files, {keywords('text')} as keywords, {summary('text')} as summary from e where length(text) >= 50""",
     "find_precedence": f"""with {RECORDS}, dt as (select rec.*, e.ts as created_at from rec join events e on e.event_id = doc_id),
         l as (select doc_id, text, importance, {ascii_lower('text')} as l, list_transform(string_split(text, chr(10)), lambda x: {strip('x')}) as ls from dt),
         n as (select *, coalesce({TITLES}[1], {SPOKEN}[1], case when {FIRST_WORDS} <> '' then '[CHAT] ' || left({FIRST_WORDS}, 80) || '...' end) as title, {matched('l', lst(['license', 'public', 'tion']))} as m from l),

@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions import text as T
 from ..operators import chunking, lexical, quality, vector
 from ..sources import archives, conversations, files
@@ -211,18 +212,25 @@ def run_embedding(spark: SparkSession, config: Config, model: Callable = vector.
     return states.agg(F.count_if(F.col("status") == "embedded").alias("n"), F.count_if(F.col("status") == "failed").alias("n_failed"))
 
 
-def titles(records: DataFrame) -> DataFrame:
-    """doc_id, title of the records without a real one."""
+def titles(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """doc_id, title of the records without a real one; of the first `limit` of them by id, if given."""
     todo = records.where("title is null or title = '' or title like '%Untitled%'")
+    todo = todo if limit is None else todo.orderBy("doc_id").limit(limit)
     return todo.select("doc_id", T.title_heuristic(F.col("text"), F.col("category")).alias("title")).where("title is not null")
 
 
 def enriched(records: DataFrame, least: int = 50) -> DataFrame:
-    """doc_id, tools, tasks, files, summary of records long enough."""
-    from ..functions import fixed_values as V
-
+    """doc_id, tools, tasks, files, summary, keywords of records long enough."""
     t = F.col("text")
-    return records.where(F.length("text") >= least).select("doc_id", T.labels_found(t, V.TOOLS).alias("tools"), T.labels_found(t, V.TASKS).alias("tasks"), T.files_named(t).alias("files"), T.summary(t).alias("summary"))
+    return records.where(F.length("text") >= least).select("doc_id", T.labels_found(t, V.TOOLS).alias("tools"), T.labels_found(t, V.TASKS).alias("tasks"), T.files_named(t).alias("files"), T.summary(t).alias("summary"), T.keywords(t).alias("keywords"))
+
+
+def enrich_pending(records: DataFrame, chunks: DataFrame, done: DataFrame, *, least: int = 50, first: int = 5) -> DataFrame:
+    """enriched() of the records (doc_id, text) that are not among `done` (doc_id). A record of too little text goes by its first chunks (doc_id, chunk_index, chunk_text)."""
+    todo = records.join(done.select("doc_id"), "doc_id", "left_anti")
+    short = F.length(F.coalesce("text", F.lit(""))) < least
+    parts = chunks.where(F.col("chunk_index") < first).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda c: c["chunk_text"]), "\n").alias("parts"))
+    return enriched(todo.join(parts, "doc_id", "left").withColumn("text", F.when(short, F.col("parts")).otherwise(F.col("text"))), least)
 
 
 def find(records: DataFrame, as_of: Column, *, record_id: int | None = None, recent: int | None = None, category: str | None = None, query: str | None = None, source: str | None = None, days: int = 30, limit: int = 20) -> DataFrame:

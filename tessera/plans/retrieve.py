@@ -40,6 +40,27 @@ def largest(queries: DataFrame, value: Column | str) -> int:
     return max((r[0] for r in queries.select(value).collect()), default=0)
 
 
+def search(docs: DataFrame, queries: DataFrame, *, top_k: int = 10, candidates: int = 50, most: int = 10, use_reranker: bool = False, reranker=None, key: str = "doc_id") -> DataFrame:
+    """query_id, rank, key, score: the quick search. The best `candidates` by BM25 are scored by how often they hold the query's terms, near-equal ones go, the rest are ranked.
+
+    With use_reranker, the reranker's score takes the place of that: only those above 0 stay, rounded to 4 places, and near-equal ones go after reranking."""
+    found = lexical.bm25(docs, queries, key=key, top_k=candidates).select("query_id", key, F.col("rank").cast("int").alias("rank"))
+    terms = T.index_tokens(F.col("query"))
+    own = queries.select("query_id", "query", F.when(F.size(terms) > 0, terms).otherwise(F.slice(F.split(F.lower("query"), r"\s+"), 1, 10)).alias("terms"))
+    rows = docs.select(key, "text").join(found, key).join(F.broadcast(own), "query_id")  # as many queries as BM25 broadcasts
+    rows = rows.withColumn("score", F.round(lexical.keyword_score(F.lower("text"), F.col("terms")), 3)).withColumn("text", F.left("text", F.lit(500))).drop("terms")
+    limit = min(top_k, most)
+    if use_reranker:
+        scored = fusion.rerank(rows, reranker, top_k=candidates).where("rerank > 0").withColumn("score", F.round("rerank", 4))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+        kept = fusion.drop_similar(scored.drop("rerank").withColumn("rank", F.row_number().over(w)))
+        w = Window.partitionBy("query_id").orderBy("rank")
+    else:
+        kept = fusion.drop_similar(rows)
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "rank", key, "score")
+
+
 def lexical_candidates(docs: DataFrame, queries: DataFrame, top: Column | int, key: str = "doc_id") -> DataFrame:
     """Rows that hold a query term, by overlap score: query_id, rank, key, score; `top` (of query columns) for each variant."""
     asked = variants(queries).select("query_id", "variant", T.retrieval_tokens(T.ascii_lower(F.col("query"))).alias("terms")).where(F.size("terms") > 0).collect()

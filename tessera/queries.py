@@ -25,7 +25,9 @@ RETRIEVAL = ["thtion license", "tion thon", "ther thble", "que ciónes de", "lic
 PLANNED = [*RETRIEVAL, "compare license and public work", "define tion version", "latest thble license", "explain the thon version", "fix the error in license work", "my public license"]
 #: Questions for the planner.
 QUESTIONS = ["what is my hardware setup", "compare docker and podman", "recent activity 3 days ago", "explain the overview of the project", "fix the bug in this function", "how many projects do i have", "where is the api endpoint defined", "tell me about llm inference", "difference between gpu and cpu", "hello world", "what did we do last week", "import error traceback in module", "define latency", "my config", "which files are missing from the summary"]
-#: Paths for file classification.
+#: Questions with words that have entries in the expansion tables.
+EXPANDED = ["docker gpu server", "project age", "fan model"]
+#: Ends of paths for file classification.
 PATHS = ["a/chat.jsonl", "b/Takeout-2024.ZIP", "c/export.zip", "d/x.json", "notes.md", "README.markdown", "fix.patch", "run.log", "photo.png", "noext", "e.tar/Gemini.txt"]
 
 
@@ -38,6 +40,13 @@ def asked(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
 
 
+def turns_asked(spark: SparkSession, sf_dir: str, questions: list[str]) -> DataFrame:
+    """query_id, query: the users' turns in conversations, each after one of the questions."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    at = ((F.col("conv_id") + F.col("turn")) % len(questions) + 1).cast("int")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.element_at(F.array(*map(F.lit, questions)), at), F.lit(" "), F.left(T.ascii_lower(F.col("text")), F.lit(60))).alias("query"))
+
+
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -62,7 +71,9 @@ def manifest_upsert(spark, sf_dir):
 
 @query
 def classify_sources(spark, sf_dir):
-    return files.classify(spark.createDataFrame([(p,) for p in PATHS], "path string")).withColumn("takeout_text", files.is_takeout_text(F.col("path")))
+    ends = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("page_id") % len(PATHS) + 1).cast("int"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("/"), ends).alias("path"))
+    return files.classify(p).withColumn("takeout_text", files.is_takeout_text(F.col("path")))
 
 
 # -- records ------------------------------------------------------------------------------------------
@@ -414,6 +425,14 @@ def title_heuristic(spark, sf_dir):
     return d.select("doc_id", T.title_heuristic(F.col("text"), F.lit("chat")).alias("title"), T.fallback_title(F.col("text")).alias("fallback"))
 
 
+@query
+def title_from_metadata(spark, sf_dir):
+    """Titles of pages, which metadata may give; and the summary that stands in for a model's."""
+    k = F.col("page_id") % 4
+    meta = F.when(k == 0, F.to_json(F.struct(F.lit("abc").alias("title"), F.col("url").alias("name")))).when(k == 1, F.to_json(F.struct(F.lit("").alias("title"), F.concat(F.lit("Topic "), F.col("page_id").cast("string")).alias("topic")))).when(k == 2, "{broken")
+    return table(spark, sf_dir, "pages").select("page_id", T.titled_by_metadata(meta, F.lit("none")).alias("title"), T.fallback_summary(F.col("html")).alias("summary"))
+
+
 @query
 def score_bands(spark, sf_dir):
     return metrics(spark, sf_dir).groupBy(T.score_band(F.col("top_score") * 1.5).alias("band")).agg(F.count("*").alias("n"))
@@ -480,7 +499,7 @@ def chunk_dispatch(spark, sf_dir):
 def bm25_stats(spark, sf_dir):
     d = docs_of(spark, sf_dir)
     index, stats = lexical.postings(d, "doc_id", "text"), lexical.corpus_stats(d, "doc_id", "text")
-    return lexical.term_stats(index, stats).where("df >= 2").select("term", "df", dec("idf"))
+    return lexical.term_stats(index, stats).select("term", "df", dec("idf"))
 
 
 @query
@@ -543,7 +562,7 @@ def match_forms(spark, sf_dir):
 
 @query
 def expand_queries(spark, sf_dir):
-    q = asked(spark, [*QUESTIONS, "docker gpu server", "project age", "fan model"])
+    q = turns_asked(spark, sf_dir, [*QUESTIONS, *EXPANDED])
     terms = T.retrieval_tokens(T.ascii_lower(F.col("query")))
     return q.select("query_id", lexical.expand_index_query(F.col("query")).alias("index_query"), F.array_join(lexical.expand_retrieval_query(terms), " ").alias("retrieval_terms"))
 
@@ -638,22 +657,57 @@ def hybrid_retrieve(spark, sf_dir):
     return retrieve.hybrid_retrieve(d, q, R.as_of(), embeddings=v).select("query_id", *long("rank"), "doc_id", dec("score", 4))
 
 
+@query
+def hybrid_search(spark, sf_dir):
+    """The quick search, plain and reranked."""
+    found = {"plain": retrieve.search(docs_of(spark, sf_dir), asked(spark, RETRIEVAL)), "reranked": retrieve.search(docs_of(spark, sf_dir), asked(spark, RETRIEVAL), use_reranker=True)}
+    return reduce(DataFrame.unionByName, [f.select(F.lit(name).alias("form"), "query_id", *long("rank"), "doc_id", dec("score", 4)) for name, f in found.items()])
+
+
+@query
+def passages_of_records(spark, sf_dir):
+    r = R.dated(R.records(spark, sf_dir), spark, sf_dir)
+    c = chunking.chunk_fixed(docs_of(spark, sf_dir), ["doc_id"])
+    return lexical.search_record_passages(r, c, "license version tion", top_k=20).select(*long("rank"), "doc_id", "chunk_index", dec("score", 4))
+
+
+@query
+def latency_report(spark, sf_dir):
+    return quality.latency(metrics(spark, sf_dir), "strategy").select("strategy", "n", *[dec(c) for c in ("min_ms", "avg_ms", "max_ms")])
+
+
+@query
+def profile_context(spark, sf_dir):
+    """Contexts with the profiles of customers before them, some fields of which haven't been filled in."""
+    p = docs_of(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("query_id"), (F.col("doc_id") % 10 + 1).cast("int").alias("rank"), "source", "text")
+    k, name = F.col("c_custkey"), F.concat(F.lit("user "), F.col("c_custkey").cast("string"))
+    fields = F.struct(name.alias("name"), F.when(k % 2 == 0, "Your Location ").otherwise("Lund").alias("location"), F.array(F.lit("your project"), F.concat(F.lit("p"), k.cast("string"))).alias("projects"), F.create_map(F.lit("ram_system"), F.when(k % 3 == 0, "your ram").otherwise("64 GB"), F.lit("gpu"), F.when(k % 6 < 3, "").otherwise("a card")).alias("hardware"))
+    people = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(k.alias("query_id"), F.to_json(fields).alias("profile"))
+    return R.with_profile(R.answer_context(p), people).select("query_id", F.sha2("context", 256).alias("hash"), F.length("context").cast("long").alias("n_chars"))
+
+
+@query
+def passage_blocks(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("query_id"), (F.col("doc_id") % 10 + 1).cast("int").alias("rank"), "source", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("title"), F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 9).cast("string"))).alias("created_at"), "text")
+    return R.passage_blocks(d).select("query_id", F.sha2("context", 256).alias("hash"), F.length("context").cast("long").alias("n_chars"))
+
+
 # -- planner ----------------------------------------------------------------------------------------------------------------------------
 
 
 @query
 def classify_queries(spark, sf_dir):
-    return planner.classify(asked(spark, QUESTIONS)).select("query_id", "query_type", dec("confidence"))
+    return planner.classify(turns_asked(spark, sf_dir, QUESTIONS)).select("query_id", "query_type", dec("confidence"))
 
 
 @query
 def plan_queries(spark, sf_dir):
-    return planner.plan(asked(spark, QUESTIONS)).select("query_id", "strategy", "top_k", "use_reranker", "use_vectors", "recency_boost")
+    return planner.plan(turns_asked(spark, sf_dir, QUESTIONS)).select("query_id", "strategy", "top_k", "use_reranker", "use_vectors", "recency_boost")
 
 
 @query
 def temporal_expansion(spark, sf_dir):
-    return asked(spark, QUESTIONS).select("query_id", F.explode(planner.temporal_expansions(F.col("query"))).alias("expanded"))
+    return turns_asked(spark, sf_dir, QUESTIONS).select("query_id", F.explode(planner.temporal_expansions(F.col("query"))).alias("expanded"))
 
 
 # -- streaming -----------------------------------------------------------------------------------------------------------------------------
@@ -700,6 +754,15 @@ def title_pipeline(spark, sf_dir):
     return archive.titles(r)
 
 
+@query
+def enrichment_pipeline(spark, sf_dir):
+    """Records that aren't enriched yet; those with too little text by their first chunks."""
+    d = docs_of(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(30))).otherwise(F.col("text")))
+    done = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    e = archive.enrich_pending(d, chunking.chunk_fixed(docs_of(spark, sf_dir), ["doc_id"]), done)
+    return e.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("tools", "tasks", "files", "keywords")], "summary")
+
+
 @query
 def enrich_records(spark, sf_dir):
     e = archive.enriched(docs_of(spark, sf_dir))

@@ -32,7 +32,8 @@ def field(v: Column, *keys: str) -> Column:
 
 
 def time_field(v: Column, *keys: str) -> Column:
-    return T.iso_timestamp(field(v, *keys))
+    """The first of the keys that holds a time: text, or a number of milliseconds."""
+    return F.coalesce(*[T.iso_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) for k in keys])
 
 
 def flat_text(v: Column, key: str) -> Column:
