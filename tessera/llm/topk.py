@@ -10,7 +10,7 @@ queries there are; every block meets all candidates, and no score is skipped.
 
 Cases: vectors that are null or empty of an id, or hold a null or non-finite component, take no part; shorter vectors
 count as zero beyond their end; ties go to the smaller id; repeated candidate rows count separately; a
-query id that is repeated asks once (its first vector in order of components); an empty table gives no rows; a score that a long can't hold
+query id that is repeated asks once (its first usable vector in order of components); an empty table gives no rows; a score that a long can't hold
 counts in full in the ranking of a task and is given as the nearest long.
 """
 
@@ -77,7 +77,8 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndar
 def exact_top_k(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, queries_per_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query(id column) holds, its k best other rows."""
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
-    asked = src.where(is_query(F.col("id")) & F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
+    usable = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    asked = src.where(is_query(F.col("id")) & usable).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // queries_per_block))
     spark, tables, parts = vectors.sparkSession, None, []
     if blocks > 1:  # written once, or each block would gather all queries anew

@@ -213,6 +213,9 @@ def test_top_k_is_exhaustive(spark, monkeypatch):
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     few = topk.exact_top_k(df.where("vec_id in (0, 1, 2)"), lambda c: c % 50 == 0).collect()
     assert len(few) == 2
+    twice = spark.createDataFrame([(50, [1.0, 2.0]), (50, [None, 2.0]), (50, [float("nan"), 0.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0]), (100, [None, 1.0])], "vec_id long, embedding array<double>")
+    again = topk.exact_top_k(twice, lambda c: c % 50 == 0).orderBy("rank").collect()  # the usable vector of a repeated id asks
+    assert [(r.query_id, r.vec_id, r.score) for r in again] == [(50, 1, 3 * 65536), (50, 2, 2 * 65536)]
     assert topk.exact_top_k(df.limit(0), lambda c: c % 50 == 0).count() == 0
 
 
