@@ -120,7 +120,7 @@ def test_partners_in_pieces_reach_all_classes():
     rng = np.random.default_rng(0)
     n = 500
     cols = np.zeros(n, np.int64), np.sort(rng.integers(0, 300, n)) << 3 | 7, np.arange(n) + 1, np.zeros(n, np.int32)
-    a, _, b, _, size = substring_dedup.partners(*cols, np.zeros(n, bool), k=5, min_words=50)
+    (a, _, b, _, size), often = substring_dedup.partners(*cols, np.zeros(n, bool), k=5, min_words=50)
     groups = Groups()
     for x, y in zip(a, b, strict=True):
         groups.join(int(x), int(y))
@@ -371,3 +371,43 @@ def test_components_of_paths_stars_and_rings(spark):
     random.Random(0).shuffle(edges)
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Tables(spark, "test")).collect()
     assert all(r.root == r.node // 1000 * 1000 for r in got) and len(got) == 61 + 50 + 30
+
+
+@pytest.mark.parametrize("parts", [2, 7])
+@pytest.mark.parametrize(("every", "others", "size"), [(10, 100, 26), (7, 45, 11), (7, 200, 11), (0, 45, 11)])
+def test_edited_passages_are_found_among_fragments(spark, parts, every, others, size):
+    """20 pairs share 80 words, one in `every` of them changed; for each pair, other documents hold fragments of it, so that all its seeds are frequent."""
+    rng = random.Random(every * others + size)
+    vocabulary = [f"w{i}" for i in range(60_000)]
+    fill = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    docs, pairs = [], set()
+    for _ in range(20):
+        passage = fill(80)
+        edited = [rng.choice(vocabulary) if every and i % every == every - 1 else w for i, w in enumerate(passage)]
+        pairs.add((len(docs) + 1, len(docs)))
+        docs += [fill(30) + passage + fill(30), fill(40) + edited + fill(20)]
+        docs += [fill(30) + passage[at : at + size] + fill(30) for at in (rng.randrange(81 - size) for _ in range(others))]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    rng.shuffle(rows)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, DOCS)).select("doc_id", "other_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == pairs
+
+
+def test_pairs_of_frequent_seeds_do_not_depend_on_batches():
+    rng = np.random.default_rng(4)
+    h = np.repeat(np.arange(30), rng.integers(1, 40, 30))
+    pos = np.concatenate([np.sort(rng.choice(200, n, replace=False)) for n in np.bincount(h)])
+    seed = rng.integers(-(2**62), 2**62, len(h))
+    whole = set(zip(*(x.tolist() for x in substring_dedup.paired(h, pos, seed)), strict=True))
+    for i in range(30):
+        own = np.flatnonzero(h == i)
+        part = substring_dedup.paired(h[own], pos[own], seed[own])
+        assert {(int(own[a]), b, c) for a, b, c in zip(*(x.tolist() for x in part), strict=True)} == {w for w in whole if h[w[0]] == i}
+    for at, _, far in whole:
+        low, stop = next(s for s in substring_dedup.STROBES if s[0] <= far < s[1])
+        assert low <= far < stop and pos[at] + far in pos[h == h[at]]
