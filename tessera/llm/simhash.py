@@ -6,7 +6,8 @@ and a radius, and sends a fingerprint inwards or outwards by its Hamming distanc
 tree is built on a sample (see SAMPLE) and cuts the classes into shards. By the triangle bound a fingerprint
 whose distance is within `distance` of a node's radius may have a partner on the other side: it also
 visits the shards over there (those of a higher number only, as the partner visits the others). Inside a
-shard the tree goes on to small leaves, where every remaining pair is compared. Nothing is missed.
+shard the tree goes on to small leaves, where every remaining pair is compared. Nothing is missed. A shard's visitors are dealt out
+in pieces, each with the shard's own classes, so that no group grows with the number of shards.
 
 A shard returns a spanning forest of its links, never all pairs of a group; components are found over
 these by distributed label passing.
@@ -32,6 +33,8 @@ from .components import connected_components
 
 #: The sample has SAMPLE fingerprints, or PER_SHARD for each shard where that is more (one class in 4,096).
 SAMPLE, PER_SHARD, SHARD, LEAF = 20_000, 4, 16_384, 256
+#: Guests of a shard that one group holds, and points that are compared at once with LEAF others.
+GUESTS, BLOCK = 65_536, 1024
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -139,9 +142,9 @@ class Forest:
                 np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
 
 
-def link(points: np.ndarray, home: np.ndarray, guests: np.ndarray, distance: int, forest: Forest, rng: np.random.Generator) -> None:
-    """Joins all pairs within distance among home, and between home and guests (indices into points), down a vantage-point tree."""
-    if not len(home):
+def link(points: np.ndarray, home: np.ndarray, guests: np.ndarray, distance: int, forest: Forest, rng: np.random.Generator, among: bool = True) -> None:
+    """Joins all pairs within distance among home (unless that is done elsewhere), and between home and guests (indices into points), down a vantage-point tree."""
+    if not len(home) or not (among or len(guests)):
         return
     v = None
     if len(home) > LEAF:
@@ -151,17 +154,17 @@ def link(points: np.ndarray, home: np.ndarray, guests: np.ndarray, distance: int
         if inside.all() or not inside.any():
             v = None
     if v is None:
-        everyone = np.r_[home, guests]
-        for i in range(0, len(everyone), 1 << 14):
-            part = everyone[i : i + (1 << 14)]
+        everyone = np.r_[home, guests] if among else guests
+        for i in range(0, len(everyone), BLOCK):  # in a tight group all of a block's pairs are links
+            part = everyone[i : i + BLOCK]
             for j in range(0, len(home), LEAF):
                 x, y = np.nonzero(hamming(points[home[j : j + LEAF]][:, None], points[part][None, :]) <= distance)
                 forest.join(home[j : j + LEAF][x], part[y])
         return
     # an inner point near the boundary looks in the outer part as a guest; the reverse would find the same pairs
-    near = inside & (d > r - distance)
-    link(points, home[inside], guests[g <= r + distance], distance, forest, rng)
-    link(points, home[~inside], np.r_[guests[g > r - distance], home[near]], distance, forest, rng)
+    near = home[inside & (d > r - distance)] if among else home[:0]
+    link(points, home[inside], guests[g <= r + distance], distance, forest, rng, among)
+    link(points, home[~inside], np.r_[guests[g > r - distance], near], distance, forest, rng, among)
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,11 +193,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = 3, id_co
         rows = rows.sort_values("fp")
         points, home = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["home"].to_numpy(bool)
         forest = Forest(len(points))
-        link(points, np.flatnonzero(home), np.flatnonzero(~home), distance, forest, np.random.default_rng(42))
+        link(points, np.flatnonzero(home), np.flatnonzero(~home), distance, forest, np.random.default_rng(42), key[1] == 0)
         at = np.flatnonzero(forest.parent != np.arange(len(points)))
         return pd.DataFrame({"a": points[at].view(np.int64), "b": points[forest.find(at)].view(np.int64)})
 
-    edges = tables.keep(classes.select("fp").mapInArrow(routed, "leaf long, fp long, home boolean").groupBy("leaf").applyInPandas(linked, "a long, b long"))
+    visits = tables.keep(classes.select("fp").mapInArrow(routed, "leaf long, fp long, home boolean"))
+    # guests needn't meet each other: a shard's are dealt out in pieces, each with all that are at home there
+    pieces = visits.groupBy("leaf").agg(F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("home")) / GUESTS)).cast("int").alias("pieces"))
+    seat = F.when(F.col("home"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")))
+    edges = tables.keep(visits.join(pieces, "leaf").select("leaf", "fp", "home", F.explode(seat).alias("piece")).groupBy("leaf", "piece").applyInPandas(linked, "a long, b long"))
     roots = connected_components(edges, tables).withColumnRenamed("node", "fp")
     group = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = group.groupBy("root").agg(F.min("least").alias("component_id"))

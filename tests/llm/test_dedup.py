@@ -2,6 +2,7 @@
 
 import ctypes
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -342,8 +343,11 @@ def test_tree_finds_all_close_pairs(leaves):
     assert (want.find(everyone) == got.find(everyone)).all()
 
 
-def test_near_duplicates(spark, monkeypatch):
+@pytest.mark.parametrize("guests", [4, 65_536])
+def test_near_duplicates(spark, monkeypatch, guests):
+    """Shards of 64 classes have more than 4 visitors, which then come in several pieces."""
     monkeypatch.setattr(simhash, "SHARD", 64)
+    monkeypatch.setattr(simhash, "GUESTS", guests)
     rng = random.Random(5)
     base = [[rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(rng.randint(0, 80))] for _ in range(150)]
     rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(1000 + i, " ".join(base[i % 20])) for i in range(60)]
@@ -366,6 +370,25 @@ def test_near_duplicates(spark, monkeypatch):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_tight_group_takes_little_memory():
+    rng = np.random.default_rng(3)
+    flips = np.array([np.uint64(1) << np.uint64(b) for b in range(64)], np.uint64)
+    center = rng.integers(0, 2**64, 1, dtype=np.uint64)
+    points = np.unique(np.r_[center, center ^ flips, (center ^ flips)[:, None].ravel() ^ flips[::-1], (center ^ flips[:, None] ^ flips[None, :]).ravel()])
+    forest = simhash.Forest(len(points))
+    tracemalloc.start()
+    simhash.link(points, np.arange(len(points)), np.arange(0), 3, forest, rng)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.unique(forest.find(np.arange(len(points))))) == 1 and most < 40e6
+    guests, forest = np.arange(0, len(points), 2), simhash.Forest(len(points))
+    simhash.link(points, np.arange(1, len(points), 2), guests, 3, forest, rng, False)
+    want = simhash.Forest(len(points))
+    x, y = np.nonzero(simhash.hamming(points[1::2][:, None], points[guests][None, :]) <= 3)
+    want.join(np.arange(1, len(points), 2)[x], guests[y])
+    assert (want.find(np.arange(len(points))) == forest.find(np.arange(len(points)))).all()
+
+
 def test_components_of_paths_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000 + i, 2000 + (i + 1) % 30) for i in range(30)] + [(5, 5)]
     random.Random(0).shuffle(edges)
