@@ -44,7 +44,7 @@ def parts(df: DataFrame, rows: int) -> int:
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """id, h, k (number among the non-blank lines), ln (among all), two hashes of the line, enough."""
-    many = F.col("line").rlike(r"(\S+\s+){%d}\S" % (min_words - 1)) if min_words > 1 else F.lit(True)
+    many = F.col("line").rlike(r"^(?:\S++\s++){%d}\S" % (min_words - 1)) if min_words > 1 else F.lit(True)  # possessive, so that long words are read once
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("ln"), F.trim(x, F.lit(BLANK)).alias("line"))), lambda s: s["line"] != "")
     out = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), lines.alias("lines")).select("id", "h", F.posexplode("lines").alias("k", "s"))
     return out.select("id", "h", "k", F.col("s.ln").alias("ln"), F.col("s.line").alias("line")).select("id", "h", "k", "ln", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2"), many.alias("enough"))

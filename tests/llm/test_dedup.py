@@ -434,3 +434,10 @@ def test_pairs_of_frequent_seeds_do_not_depend_on_batches():
     for at, _, far in whole:
         low, stop = next(s for s in substring_dedup.STROBES if s[0] <= far < s[1])
         assert low <= far < stop and pos[at] + far in pos[h == h[at]]
+
+
+def test_lines_of_one_very_long_word_or_many_words(spark):
+    long, many = "x" * 300_000, "word " * 100_000
+    rows = [(1, f"{long}\n{many}\nshort line"), (2, f"{long}\n{many}"), (3, f"{long}\nanother line"), (4, long)]
+    got = {r.doc_id: (r.n_lines, r.n_deleted) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (3, 0), 2: (2, 2), 3: (2, 0), 4: (1, 0)}  # one word alone isn't a run of two words
