@@ -38,7 +38,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # near_duplicates() is given a number for each distinct (id, text), so that rows that repeat an id, or have none, keep their own place
     tables = Tables(spark, "near")
     text_hash = F.sha2(F.coalesce("text", F.lit("")), 256)
-    rows = src.groupBy("doc_id", "text").agg(F.min(F.struct("source", "lang", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
+    # texts are grouped by their hashes: rows that share id and hash are one
+    rows = src.groupBy("doc_id", text_hash.alias("__text")).agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r")).select("doc_id", "r.*")
     rows = tables.keep(rows.withColumn("__row", F.monotonically_increasing_id()))
     groups = near_duplicates(rows, id_col="__row").select(F.col("__row").alias("__r"), "fingerprint", "component_id")
     marked = rows.join(groups, F.col("__row") == F.col("__r")).withColumn("__key", F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint", text_hash))
