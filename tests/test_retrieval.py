@@ -73,3 +73,31 @@ def test_enrichment_skips_and_falls_back(spark):
     assert got[3].summary.startswith("A python script")
     titled = archive.titles(spark.createDataFrame([(i, None, f"Title: number {i}x", "chat") for i in range(5)], "doc_id long, title string, text string, category string"), limit=2)
     assert {r.doc_id for r in titled.collect()} == {0, 1}
+
+
+def test_metrics_are_recorded_and_reported(spark, tmp_path):
+    from datetime import datetime
+
+    from tessera.operators import quality
+
+    kind = "metric_id long, ts timestamp_ntz, query string, strategy string, bm25_candidates long, final_count long, elapsed_ms double, top_score double, sources_count long"
+    usual = {"metric_id": 0, "ts": datetime(2024, 1, 31), "query": "q", "strategy": None, "bm25_candidates": 5, "final_count": 3, "elapsed_ms": 0.0, "top_score": 4.0, "sources_count": 2}
+    one_day = lambda i, **kw: tuple((usual | {"metric_id": i, "elapsed_ms": 10.0 * i} | kw).values())
+    path = str(tmp_path / "metrics")
+    quality.record(spark.createDataFrame([one_day(1), one_day(2, final_count=0, top_score=0.0)], kind), path)
+    quality.record(spark.createDataFrame([one_day(3, strategy="hybrid"), one_day(4, ts=datetime(2023, 1, 1))], kind), path)
+    stored = spark.read.parquet(path)
+    r = quality.report(stored, R.as_of()).first()
+    assert (r.total, r.avg_ms, r.silent) == (3, 20.0, 1) and round(r.zero_rate, 4) == 0.3333
+    assert {(x.strategy, x.n, x.min_ms, x.max_ms) for x in quality.latency(stored, "strategy").collect()} == {("unknown", 3, 10.0, 40.0), ("hybrid", 1, 30.0, 30.0)}
+
+
+def test_records_are_exported_as_json_lines(spark, tmp_path):
+    from tessera.sources import conversations
+
+    lines = [json.dumps({"id": f"c{i}", "messages": [{"role": "user", "content": f"text {i} é"}]}) for i in range(20)]
+    records = conversations.jsonl_records(spark.createDataFrame(list(enumerate(lines, 1)), "number long, line string"))
+    conversations.export_jsonl(records, str(tmp_path / "out"))
+    again = conversations.jsonl_records(conversations.lines(spark, str(tmp_path / "out")).select("number", F.replace("line", F.lit("external_id"), F.lit("id")).alias("line")))
+    shown = lambda df: sorted((r.external_id, r.messages[0].content) for r in df.collect())
+    assert shown(again) == shown(records) and len(shown(again)) == 20
