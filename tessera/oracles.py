@@ -169,8 +169,8 @@ SPOKEN = r"list_filter(list_transform(list_filter(list_slice(ls, 1, 5), lambda x
 FIRST_WORDS = r"array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 1, 15), ' ')"
 FILES = r"list_concat(regexp_extract_all(x, '[/\\][\w\-\.]+(?:/[\w\-\.]+){1,5}'), regexp_extract_all(x, '[\w\-]+\.(?:%s)'))" % "|".join(V.FILE_EXTENSIONS)
 HTML = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), '(?i)<br\s*/?>|</p>|</div>|</li>|</tr>|</h[1-6]>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g')"""
-for _e, _c in COMMON_ENTITIES.items():
-    HTML = f"replace({HTML}, {q(f'&{_e};')}, {q(_c)})"
+for _e, _c in COMMON_ENTITIES.items():  # these names, but for apos, count without their semicolon too, as where a title is cut
+    HTML = f"replace({HTML}, {q(f'&{_e};')}, {q(_c)})" if _e in ("#39", "apos") else f"regexp_replace({HTML}, {q(f'&{_e};?')}, {q(_c)}, 'g')"
 KEYWORD_TERMS = lst(["tion", "thon", "license"])
 CTX = "'[' || rank || '] ' || coalesce(nullif(source, ''), 'unknown') || ': ' || left(text, 500)"
 LISTED = "l as (select doc_id // 40 as query_id, doc_id % 40 as rank, doc_id, text from documents)"
