@@ -94,11 +94,12 @@ def run(spark: SparkSession, home: str, documents: str | None = None, pages: str
     if not types:
         raise ValueError("give at least one of documents, pages, conversations")
     read = {t: spark.read.parquet(given[t]) for t in types}
-    for t in types:
-        LOG.info("reading %ss of %s", t, given[t])
     form = {"document": document_texts, "page": page_texts, "conversation": conversation_texts}
     built = F.col("record_type").isin(types)
-    texts = write(texts_of(reduce(DataFrame.unionByName, [form[t](read[t]) for t in types])), f"{home}/texts")
+    seen = {t: Observation() for t in types}  # counted by the pass that writes the texts
+    texts = write(texts_of(reduce(DataFrame.unionByName, [form[t](read[t]).observe(seen[t], F.count("*").alias("rows")) for t in types])), f"{home}/texts")
+    for t in types:
+        LOG.info("read %d %ss from %s", seen[t].get.get("rows", 0), t, given[t])
     records = write(records_of(texts.where(built)), f"{home}/records")
     chunks = write(chunks_of(records.where(built), read.get("conversation")), f"{home}/chunks")
     counts = chunks.groupBy(*KEY).agg(F.count("*").alias("n_chunks"))

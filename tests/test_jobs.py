@@ -106,13 +106,15 @@ def tables(spark, root):
     return {t: f"{root}/{t}" for t in ("documents", "pages", "conversations")}
 
 
-def test_archive_of_odd_rows_and_repeated_runs(spark, tmp_path):
+def test_archive_of_odd_rows_and_repeated_runs(spark, tmp_path, caplog):
+    caplog.set_level(logging.INFO)
     given, home = tables(spark, tmp_path), str(tmp_path / "home")
     got = {(r.record_type, r.record_id): r for r in archive.run(spark, home, **given).collect()}
     assert sorted(got) == [("conversation", 1), ("conversation", 3), ("conversation", 4), ("document", 1), ("document", 2), ("document", 3), ("document", 5), ("page", 1), ("page", 2)]
     assert got["document", 2].n_copies == 2 and got["document", 2].source == "unknown" and got["document", 2].n_chunks == 0
     assert got["page", 1].n_copies == 2 and got["page", 1].source == "www.example.com" and got["page", 2].text == ""
     assert got["conversation", 1].text == "user: the question\n\nassistant: the answer to it" and got["conversation", 4].n_chunks == 3
+    assert "read 7 documents from" in caplog.text and "read 3 pages" in caplog.text and "read 4 conversations" in caplog.text and "wrote 9 rows to" in caplog.text
     chunks = spark.read.parquet(f"{home}/chunks")
     assert {r.strategy for r in chunks.where("record_type = 'document' and record_id = 5").collect()} == {"semantic"}
     again = {(r.record_type, r.record_id): r for r in archive.run(spark, home, **given).collect()}
