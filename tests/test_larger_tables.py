@@ -1,0 +1,27 @@
+"""Queries on small tables with what only larger ones hold, against their SQL."""
+
+import pytest
+
+from tessera.oracles import ORACLES
+from tessera.queries import QUERIES
+
+from .test_oracles import rows
+
+duckdb = pytest.importorskip("duckdb")
+
+
+def same_as_sql(spark, root, name, **tables):
+    """The query's rows, which are its SQL's, on tables of (rows, schema)."""
+    con = duckdb.connect()
+    for table, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{root}/{table}.parquet")
+        con.sql(f"create view {table} as select * from '{root}/{table}.parquet/*.parquet'")
+    ours, theirs = QUERIES[name](spark, str(root)).toPandas(), con.sql(ORACLES[name]).df()
+    assert rows(ours) == rows(theirs)
+    return ours
+
+
+def test_manifest_of_pages_that_share_an_address(spark, tmp_path):
+    pages = [(i, None if i % 11 == 0 else "https://a.org/takeout" if i % 2 else "https://a.org/same", "<p>x</p>") for i in range(211)]
+    got = same_as_sql(spark, tmp_path, "manifest_metadata", pages=(pages, "page_id long, url string, html string"))
+    assert len(got) == 211 and (got.error == "File not found").sum() == sum(i % 7 == 0 and i % 3 < 2 for i in range(211))
