@@ -3,6 +3,7 @@
 import pytest
 
 from tessera.oracles import ORACLES
+from tessera.plans import archive
 from tessera.queries import QUERIES
 
 from .test_oracles import rows
@@ -25,3 +26,12 @@ def test_manifest_of_pages_that_share_an_address(spark, tmp_path):
     pages = [(i, None if i % 11 == 0 else "https://a.org/takeout" if i % 2 else "https://a.org/same", "<p>x</p>") for i in range(211)]
     got = same_as_sql(spark, tmp_path, "manifest_metadata", pages=(pages, "page_id long, url string, html string"))
     assert len(got) == 211 and (got.error == "File not found").sum() == sum(i % 7 == 0 and i % 3 < 2 for i in range(211))
+
+
+def test_titles_of_records_some_of_which_are_code(spark, tmp_path):
+    texts = ["import os\ndef first(x):\n    return x", "a line about the code of some length\nmore", "# A title of its own\nimport x", "plain words in one line, long enough\nmore", "Title: the tool script\nmore", None, "", "reason enough"]
+    docs = [(2 * i + odd, t, "en", "src", 0) for i, t in enumerate(texts) for odd in (0, 1)]
+    got = same_as_sql(spark, tmp_path, "title_pipeline", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert set(got.doc_id) == {6, 8, 14}
+    records = spark.createDataFrame([(0, None, texts[0], "code"), (2, "", texts[3], "chat")], "doc_id long, title string, text string, category string")
+    assert {r.doc_id: r.title for r in archive.titles(records).collect()} == {0: "Code: first", 2: texts[3].split("\n")[0]}
