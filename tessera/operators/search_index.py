@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import read_if_there
+from ..session import new_folder, read_if_there
 from . import lexical
 
 SCHEMA = "term string, doc_id long, dl long, tf long, positions array<int>, hash string, replaces int, replaced_dl long, segment int, bucket int"
 COLUMNS = ["term", "doc_id", "dl", "tf", "positions", "hash", "replaces", "replaced_dl", "segment", "bucket"]
 DOCUMENTS = -1  # the bucket of the documents' own rows
+BROADCAST = 1_000_000  # terms at most that are sent to where the postings are read
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -45,20 +46,39 @@ def segment_rows(docs: DataFrame, earlier: DataFrame, segment: int, buckets: int
     text = F.coalesce("text", F.lit(""))
     one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(F.sha2(text, 256).alias("hash"), text.alias("text"))).alias("d")).select("doc_id", "d.*")
     new = one.join(versions(earlier), "doc_id", "left").where("old_hash is null or old_hash <> hash")
+    tokens = new.select("doc_id", "hash", "old_segment", "old_dl", T.index_tokens(F.col("text")).alias("tokens"))
     # the empty term stands for the document itself
-    tokens = new.select("doc_id", "hash", "old_segment", "old_dl", F.concat(F.array(F.lit("")), T.index_tokens(F.col("text"))).alias("tokens"))
-    each = tokens.select("doc_id", "hash", "old_segment", "old_dl", (F.size("tokens") - 1).cast("long").alias("dl"), F.posexplode_outer("tokens").alias("at", "term"))
-    rows = each.groupBy("term", "doc_id", "dl", "hash", "old_segment", "old_dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("at") - 1)).alias("positions"))
+    own = F.struct(F.lit("").alias("term"), F.lit(None).cast("array<int>").alias("positions"))
+    rows = tokens.select("doc_id", "hash", "old_segment", "old_dl", F.size("tokens").cast("long").alias("dl"), F.inline(F.concat(F.array(own), postings_of(F.col("tokens")))))
     own = F.col("term") == ""
     return rows.select(
-        "term", "doc_id", "dl", "tf", F.when(~own, F.col("positions")).alias("positions"), F.when(own, F.col("hash")).alias("hash"), F.when(own, F.col("old_segment")).alias("replaces"), F.when(own, F.col("old_dl")).alias("replaced_dl"),
+        "term", "doc_id", "dl", occurrences().alias("tf"), "positions", F.when(own, F.col("hash")).alias("hash"), F.when(own, F.col("old_segment")).alias("replaces"), F.when(own, F.col("old_dl")).alias("replaced_dl"),
         F.lit(segment).alias("segment"), F.when(own, DOCUMENTS).otherwise(bucket_of(F.col("term"), buckets)).alias("bucket"),
     )
 
 
+def postings_of(tokens: Column) -> Column:
+    """array of (term, positions) of one document's tokens: sorted by term, and cut where the next term begins. A document's tokens are in its row, so that nothing is grouped or shuffled."""
+
+    def cut(s: Column) -> Column:
+        begins = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i)))
+        each = lambda b: F.transform(b, lambda at, k: F.struct(F.get(s, at)["term"].alias("term"), F.transform(F.slice(s, at + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - at), lambda x: x["at"]).alias("positions")))
+        return T.let(begins, each)
+
+    return T.let(F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at")))), cut)
+
+
+def occurrences() -> Column:
+    """tf of a row: a document's own counts as 1."""
+    return F.when(F.col("positions").isNull(), 1).otherwise(F.size("positions")).cast("long")
+
+
 def write_segment(rows: DataFrame, home: str) -> None:
-    """Spark splits large buckets over several files (rebalance) and sorts by term, so that row groups can be skipped."""
-    dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("segment", "bucket", "term", "doc_id")
+    """Spark splits large buckets over several files (rebalance) and sorts by term, so that row groups can be skipped. What follows from other columns, or belongs to documents' own rows alone, isn't shuffled as columns."""
+    of_document = ["hash", "replaces", "replaced_dl"]
+    slim = rows.select("term", "doc_id", F.col("dl").cast("int").alias("dl"), "positions", F.when(F.col("bucket") == DOCUMENTS, F.struct(of_document)).alias("own"), "segment", "bucket")
+    whole = slim.hint("rebalance", "bucket").withColumns({"dl": F.col("dl").cast("long"), "tf": occurrences()} | {c: F.col("own")[c] for c in of_document}).select(COLUMNS)
+    dealt = whole.sortWithinPartitions("segment", "bucket", "term", "doc_id")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment", "bucket").parquet(home)
 
 
@@ -74,8 +94,11 @@ def replaced(index: DataFrame) -> DataFrame:
 
 
 def current(index: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """The rows (all of the index, unless given) that belong to current versions."""
-    return (index if rows is None else rows).join(replaced(index), ["doc_id", "segment"], "left_anti")
+    """The rows (all of the index, unless given) that belong to current versions. What is replaced is written first: Spark estimates it by the whole index's size otherwise, and shuffles all postings to leave out a few."""
+    path = new_folder(index.sparkSession, "replaced")
+    gone = replaced(index).withColumn("bucket", F.lit(DOCUMENTS))
+    gone.write.partitionBy("bucket").parquet(path)
+    return (index if rows is None else rows).join(index.sparkSession.read.schema(gone.schema).parquet(path).drop("bucket"), ["doc_id", "segment"], "left_anti")
 
 
 def compact(spark: SparkSession, home: str, to: str) -> None:
@@ -86,8 +109,10 @@ def compact(spark: SparkSession, home: str, to: str) -> None:
 
 def of_terms(index: DataFrame, terms: DataFrame, buckets: int) -> DataFrame:
     """Current postings of the terms (column term), from their buckets' files only: the list of buckets that prunes them is as long as there are buckets at most."""
-    numbers = [r.b for r in terms.select(bucket_of(F.col("term"), buckets).alias("b")).distinct().collect()]
-    read = index.where(F.col("bucket").isin(numbers)).join(terms.select("term").distinct(), "term", "left_semi")
+    known = terms.select("term").distinct()
+    found = known.groupBy(bucket_of(F.col("term"), buckets).alias("b")).agg(F.count("*").alias("n")).collect()
+    known = F.broadcast(known) if sum(r.n for r in found) <= BROADCAST else known  # else Spark, which knows no size of them, shuffles the buckets' postings
+    read = index.where(F.col("bucket").isin([r.b for r in found])).join(known, "term", "left_semi")
     return current(index, read)
 
 

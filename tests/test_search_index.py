@@ -110,3 +110,18 @@ def test_a_search_reads_its_buckets(spark, home):
     assert files <= {str(n) for n in range(-1, 16)}
     n = spark.range(1).select(S.bucket_of(F.lit("license"), 16)).first()[0]
     assert index.where(F.col("bucket") == n).where("term = 'license'").count() > 0
+
+
+def test_a_document_is_cut_into_postings_where_it_is(spark, home):
+    """Neither the terms of a document nor the postings of the index are shuffled but to their buckets."""
+    texts = [(0, "gamma alpha beta alpha"), (1, ""), (2, "alpha"), (3, "the of"), (4, "alpha " * 3000 + "omega")]
+    rows = S.segment_rows(spark.createDataFrame(texts, DOCS), S.stored(spark, home), 0, 4)
+    got = {(r.doc_id, r.term): r for r in rows.collect()}
+    assert {k: (r.dl, r.tf, r.positions[:3]) for k, r in got.items() if k[1]} == {(0, "alpha"): (4, 2, [1, 3]), (0, "beta"): (4, 1, [2]), (0, "gamma"): (4, 1, [0]), (2, "alpha"): (1, 1, [0]), (4, "alpha"): (3001, 3000, [0, 1, 2]), (4, "omega"): (3001, 1, [3000])}
+    assert {k[0]: (r.dl, r.tf, r.positions) for k, r in got.items() if not k[1]} == {0: (4, 1, None), 1: (0, 1, None), 2: (1, 1, None), 3: (0, 1, None), 4: (3001, 1, None)}
+    assert "collect_list" not in rows._jdf.queryExecution().executedPlan().toString()
+    S.update(spark.createDataFrame(texts, DOCS), home, 0)
+    S.update(spark.createDataFrame([(2, "omega")], DOCS), home, 1)
+    live = S.current(S.stored(spark, home))
+    assert "Exchange hashpartitioning" not in live._jdf.queryExecution().executedPlan().toString()
+    assert {r.term for r in live.where("doc_id = 2").collect()} == {"", "omega"}
