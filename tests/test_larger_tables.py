@@ -1,7 +1,13 @@
 """Queries on small tables with what only larger ones hold, against their SQL."""
 
+import unicodedata
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+from tessera.operators import chunking
 from tessera.oracles import ORACLES
 from tessera.plans import archive
 from tessera.queries import QUERIES
@@ -35,3 +41,17 @@ def test_titles_of_records_some_of_which_are_code(spark, tmp_path):
     assert set(got.doc_id) == {6, 8, 14}
     records = spark.createDataFrame([(0, None, texts[0], "code"), (2, "", texts[3], "chat")], "doc_id long, title string, text string, category string")
     assert {r.doc_id: r.title for r in archive.titles(records).collect()} == {0: "Code: first", 2: texts[3].split("\n")[0]}
+
+
+def test_normalised_texts_of_any_character_and_without_python_for_latin_ones(spark):
+    texts = [*map(chr, range(1, 0x2200, 3)), "".join(map(chr, range(0x80, 0x250))), None, "", "İstanbul Straße ŁÓDŹ ﬁ ½ ™ é 한 x"]
+    made = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.normalize_text(F.col("t")).alias("n"))
+    want = [unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode("ascii").lower() for t in texts]
+    assert [r.n for r in made.orderBy("i").collect()] == want
+    assert len(T.ACCENTED) > 200 and all(T._ascii(x).isalpha() for x in T.ACCENTED)
+
+
+def test_chunks_are_cut_from_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1001))], ["n"])
+    parts = list(chunking.few_rows([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in parts) == chunking.ROWS and [n for p in parts for n in p.column(0).to_pylist()] == list(range(1001))
