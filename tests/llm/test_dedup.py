@@ -421,6 +421,36 @@ def test_edited_passages_are_found_among_fragments(spark, parts, every, others,
     assert got == pairs
 
 
+@pytest.mark.parametrize("cell", [16, 1024])
+def test_all_classes_of_frequent_seeds_are_compared(spark, monkeypatch, cell):
+    """As above, with an edit every six words: few pairs of frequent seeds are left, and neighbours alone find 17 of 20."""
+    monkeypatch.setattr(substring_dedup, "CELL", cell)
+    rng = random.Random(626)
+    vocabulary = [f"w{i}" for i in range(60_000)]
+    fill = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    docs, pairs = [], set()
+    for _ in range(20):
+        passage = fill(80)
+        edited = [rng.choice(vocabulary) if i % 6 == 5 else w for i, w in enumerate(passage)]
+        pairs.add((len(docs) + 1, len(docs)))
+        docs += [fill(30) + passage + fill(30), fill(40) + edited + fill(20)]
+        docs += [fill(30) + passage[at : at + 26] + fill(30) for at in (rng.randrange(55) for _ in range(100))]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    rng.shuffle(rows)
+    found = lambda **kw: {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, DOCS), **kw).select("doc_id", "other_id").collect()}
+    assert found() == pairs and (cell == 16 or found(exact=False) < pairs)
+
+
+def test_rows_that_agree_to_the_ends_of_their_texts_are_compared(spark):
+    """All end with the same 39 words, too few for a passage; only two share the twelve before them."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"r{rng.getrandbits(60)}" for _ in range(n)]
+    end, before = fresh(39), fresh(12)
+    texts = [fresh(60) + end, fresh(30) + before + end, fresh(45) + before + end, *[fresh(60) + end for _ in range(40)]]
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert got == {(2, 1)}
+
+
 def test_pairs_of_frequent_seeds_do_not_depend_on_batches():
     rng = np.random.default_rng(4)
     h = np.repeat(np.arange(30), rng.integers(1, 40, 30))
