@@ -58,12 +58,12 @@ def texts_of(raw: DataFrame) -> DataFrame:
 def records_of(texts: DataFrame) -> DataFrame:
     """One record of each text, enriched. Which ones stay is found from ids and hashes alone; a text with many copies is summed up before it is shuffled."""
     first = texts.groupBy("record_type", "text_sha256").agg(F.min("record_id").alias("record_id"), F.count("*").alias("n_copies")).drop("text_sha256")
-    x = F.col("text")
-    form = F.when(F.col("record_type") == "page", T.category(x, "takeout")).when(F.col("record_type") == "conversation", T.category(x, "factory")).otherwise(T.category(x))
-    kept = texts.join(first, KEY).withColumn("category", form)
+    x, low = F.col("text"), F.col("low")  # lowered once, not for each of the words that are looked for
+    form = F.when(F.col("record_type") == "page", T.category(x, "takeout", low)).when(F.col("record_type") == "conversation", T.category(x, "factory", low)).otherwise(T.category(x, low=low))
+    kept = texts.join(first, KEY).withColumn("low", F.lower(x)).withColumn("category", form)
     return kept.select(
         *KEY, "source", "category", T.importance(F.col("category"), x).alias("importance"), T.or_default(T.fallback_title(x), "Untitled").alias("title"), F.length(x).cast("long").alias("n_chars"), "n_copies",
-        T.labels_found(x, V.TOOLS).alias("tools"), T.labels_found(x, V.TASKS).alias("tasks"), T.summary(x).alias("summary"), T.keywords(x).alias("keywords"), "text_sha256", x,
+        T.labels_found(x, V.TOOLS, low).alias("tools"), T.labels_found(x, V.TASKS, low).alias("tasks"), T.summary(x).alias("summary"), T.keywords(x).alias("keywords"), "text_sha256", x,
     )
 
 

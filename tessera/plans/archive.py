@@ -221,8 +221,8 @@ def titles(records: DataFrame, limit: int | None = None) -> DataFrame:
 
 def enriched(records: DataFrame, least: int = 50) -> DataFrame:
     """doc_id, tools, tasks, files, summary, keywords of records long enough."""
-    t = F.col("text")
-    return records.where(F.length("text") >= least).select("doc_id", T.labels_found(t, V.TOOLS).alias("tools"), T.labels_found(t, V.TASKS).alias("tasks"), T.files_named(t).alias("files"), T.summary(t).alias("summary"), T.keywords(t).alias("keywords"))
+    t, low = F.col("text"), F.col("low")  # lowered once
+    return records.where(F.length("text") >= least).withColumn("low", F.lower(t)).select("doc_id", T.labels_found(t, V.TOOLS, low).alias("tools"), T.labels_found(t, V.TASKS, low).alias("tasks"), T.files_named(t).alias("files"), T.summary(t).alias("summary"), T.keywords(t).alias("keywords"))
 
 
 def enrich_pending(records: DataFrame, chunks: DataFrame, done: DataFrame, *, least: int = 50, first: int = 5) -> DataFrame:

@@ -6,6 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from jobs import archive as archive_job
+from tessera.functions import fixed_values as V
 from tessera.functions import text as T
 from tessera.operators import chunking
 from tessera.oracles import ORACLES
@@ -55,3 +57,14 @@ def test_chunks_are_cut_from_few_rows_at_a_time():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1001))], ["n"])
     parts = list(chunking.few_rows([batch, batch.slice(0, 0)]))
     assert max(p.num_rows for p in parts) == chunking.ROWS and [n for p in parts for n in p.column(0).to_pylist()] == list(range(1001))
+
+
+def test_texts_are_lowered_once_not_for_each_word(spark):
+    """Keywords lower the text for themselves."""
+    texts = spark.createDataFrame([("document", 1, "s", "Docker and CLAUDE in one line of text", "h")], "record_type string, record_id long, source string, text string, text_sha256 string")
+    records = archive_job.records_of(texts)
+    x = F.col("text")
+    want = texts.select(T.category(x), T.labels_found(x, V.TOOLS), T.labels_found(x, V.TASKS)).first()
+    assert tuple(records.select("category", "tools", "tasks").first()) == tuple(want) and want[1] == ["claude"]
+    for df in (records, archive.enriched(texts.withColumnRenamed("record_id", "doc_id"))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 2
