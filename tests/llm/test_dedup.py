@@ -441,6 +441,40 @@ def test_all_classes_of_frequent_seeds_are_compared(spark, monkeypatch, cell):
     assert found() == pairs and (cell == 16 or found(exact=False) < pairs)
 
 
+def test_pairs_of_seeds_that_cannot_be_passages_are_not_shuffled(spark, monkeypatch):
+    """200 texts share 14 words, 19,900 pairs for each of its seeds; two of them share an edited passage around it."""
+    rng = random.Random(14)
+    fresh = lambda n: [f"r{rng.getrandbits(60)}" for _ in range(n)]
+    line, passage = fresh(14), fresh(80)
+    edited = lambda: [w if i % 6 != 5 else fresh(1)[0] for i, w in enumerate(passage)]
+    rows = [(i, " ".join([*fresh(40), *line, *fresh(40)])) for i in range(200)] + [(200 + i, " ".join([*fresh(30), *passage[:40], *line, *passage[40:], *fresh(30)] if not i else [*fresh(50), *edited()[:40], *line, *edited()[40:]])) for i in range(2)]
+    counts, chained = [], substring_dedup.chained
+    monkeypatch.setattr(substring_dedup, "chained", lambda links, **kw: (counts.append(links.count()), chained(links, **kw))[1])
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(201, 200)} and max(counts) < 100 * len(rows)
+
+
+def test_joined_matches_give_the_same_chains(spark):
+    rng = random.Random(3)
+    rows = sorted({(9, x, b, x + d, rng.choice((5, 12))) for b in (1, 2) for d in (-3, 0, 40) for x in (rng.randrange(3, 300) for _ in range(60))})
+    cols = [np.array(c) for c in zip(*rows, strict=True)]
+    less = substring_dedup.joined(*cols)
+    chains = [sorted(map(tuple, substring_dedup.chained(spark.createDataFrame([tuple(map(int, r)) for r in zip(*c, strict=True)], "a long, x int, b long, y int, n int"), k=5).collect())) for c in (cols, less)]
+    assert chains[0] == chains[1] and len(less[0]) < len(rows)
+
+
+def test_passages_have_as_many_bigrams_in_common_as_the_bound():
+    rng = np.random.default_rng(5)
+    need = substring_dedup.least_bigrams(50, 0.8)
+    for _ in range(50):
+        words = rng.integers(0, 30, 50).astype(np.uint32)
+        lost, put = (np.sort(rng.choice(49, 10, replace=False)) for _ in range(2))
+        other = np.insert(np.delete(words, lost), np.minimum(put, 40), 1 << 20)
+        one, two = (substring_dedup.bigrams(w, need) for w in (words, other))
+        assert len(np.intersect1d(one, two)) >= need
+    assert need == 19 and (substring_dedup.bigrams(np.zeros(500, np.uint32), need) > 0).sum() == need
+
+
 def test_rows_that_agree_to_the_ends_of_their_texts_are_compared(spark):
     """All end with the same 39 words, too few for a passage; only two share the twelve before them."""
     rng = random.Random(8)
