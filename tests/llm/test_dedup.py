@@ -475,6 +475,71 @@ def test_passages_have_as_many_bigrams_in_common_as_the_bound():
     assert need == 19 and (substring_dedup.bigrams(np.zeros(500, np.uint32), need) > 0).sum() == need
 
 
+def test_words_in_a_window_are_counted_as_often_as_the_other_has_them():
+    rng = np.random.default_rng(8)
+    a, b = ([rng.integers(0, n, rng.integers(1, 90)).astype(np.uint32) for n in (2, 4, 9, 30) for _ in range(25)] for _ in range(2))
+    least = lambda u, v: sum(min(int((u == w).sum()), int((v == w).sum())) for w in set(u.tolist()))
+    want = [max(least(u[i : i + 20], v) for i in range(len(u))) for u, v in zip(a, b, strict=True)]
+    assert substring_dedup.counted(a, b, 20).tolist() == want
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.95])
+def test_a_passage_has_its_least_words_in_a_window_of_both_texts(similarity):
+    rng = np.random.default_rng(9)
+    wide, least = substring_dedup.window_words(50, similarity), substring_dedup.least_words(50, similarity)
+    a, b = [], []
+    for n in [50, 51, 59, 60, 61, 75, 99, 100, 101, 119, 140, 180, 181, 300] * 4:
+        matched = int(np.ceil(similarity * n - 1e-9))
+        for rows in (a, b):  # the others are anywhere, also in one place
+            words = np.arange(1000, 1000 + n, dtype=np.uint32)
+            at = rng.integers(0, n - 1) if rng.random() < 0.5 else None
+            lost = rng.choice(np.arange(1, n - 1), (n - matched) // 2, replace=False) if at is None else np.arange(max(1, at), min(n - 1, max(1, at) + (n - matched) // 2))
+            words[lost] = rng.integers(1 << 20, 1 << 30, len(lost))
+            rows.append(words)
+    assert substring_dedup.counted_in_both(a, b, wide, least).all()
+
+
+def test_the_sieve_counts_a_word_no_oftener_than_both_texts_have_it():
+    run = lambda word, n: np.full(n, word, np.uint32)
+    a, b = np.r_[run(1, 21), run(2, 19), run(3, 90)], np.r_[run(4, 60), run(3, 19), run(2, 70)]
+    got = substring_dedup.Sieve(50, 0.8)([a, a, b], [b, np.r_[run(2, 5), run(3, 45)], b])
+    assert got.tolist() == [False, True, True]
+
+
+def test_bits_of_tokens_bound_what_stretches_have_in_common():
+    rng = np.random.default_rng(10)
+    owner = np.sort(rng.integers(0, 1500, 150_000))
+    tokens = substring_dedup.Tokens(1501, *substring_dedup.numbered(owner, rng.integers(0, 400, len(owner)).astype(np.uint32), 19))
+    which = np.arange(1501)
+    for s in (0, 7, 1499, 1500):
+        there = np.zeros(1 << 16, bool)
+        there[tokens.own(s)] = True
+        assert (tokens.most(s, tokens, which) >= tokens.hits(there, which)).all() and tokens.most(s, tokens, which[s : s + 1])[0] == len(tokens.own(s))
+
+
+def test_runs_of_one_word_make_no_chains_where_no_passage_is(spark, monkeypatch):
+    """60 texts have a run of the same word, 21 long, between runs of their own, 1,770 pairs; two of them share an edited passage with such a run."""
+    rng = random.Random(15)
+    fresh = lambda n: [f"r{rng.getrandbits(60)}" for _ in range(n)]
+    passage = fresh(60)
+    edited = lambda: [w if i % 7 != 6 else fresh(1)[0] for i, w in enumerate(passage)]
+    docs = [[*fresh(1) * 30, *["same"] * 21, *fresh(1) * 30] for _ in range(60)] + [[*fresh(20), *edited()[:30], *["same"] * 21, *edited()[30:], *fresh(20)] for _ in range(2)]
+    counts, aligned = [], substring_dedup.aligned
+    monkeypatch.setattr(substring_dedup, "aligned", lambda spans, texts, **kw: (counts.append(spans.count()), aligned(spans, texts, **kw))[1])
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], DOCS)).collect()}
+    assert got == {(61, 60)} and counts[1] < 100
+
+
+def test_chains_in_runs_of_one_word(spark):
+    """Runs that are the only words in common: too short ones hold no passage, unless a chain leads out of them (by equal hashes of contexts) and is one as a whole."""
+    run = lambda word, n: np.full(n, word, np.uint32)
+    texts = [(1, np.r_[run(1, 90), run(9, 56), run(2, 90)]), (2, np.r_[run(3, 90), run(9, 49), run(4, 90)]), (3, np.r_[run(5, 90), run(9, 70), run(6, 90)]), (4, np.r_[run(7, 90), run(9, 20), run(8, 1), run(9, 30)])]
+    table = spark.createDataFrame([(h, bytearray(w.tobytes())) for h, w in texts], "h long, words binary")
+    chains = [(2, 1, 90, 139, 90, 139), (2, 1, 90, 139, 97, 146), (2, 1, 90, 150, 90, 150), (3, 1, 100, 156, 90, 146), (4, 1, 90, 110, 90, 110)]
+    got = sorted(map(tuple, substring_dedup.aligned(spark.createDataFrame(chains, "a long, b long, x0 long, x1 long, y0 long, y1 long"), table, margin=50, min_words=50, similarity=0.8).collect()))
+    assert got == [(2, 1, 90, 150, 90, 150, 49 / 60), (3, 1, 100, 156, 90, 146, 1.0), (4, 1, 90, 141, 90, 140, 50 / 51)]
+
+
 def test_rows_that_agree_to_the_ends_of_their_texts_are_compared(spark):
     """All end with the same 39 words, too few for a passage; only two share the twelve before them."""
     rng = random.Random(8)
